@@ -85,16 +85,21 @@ def tokens(c: Column) -> Column:
 
 
 def word_ngrams(toks: Column, n_min: int = 1, n_max: int = 2) -> Column:
-    """all word n-grams for n in [n_min, n_max], unigrams first, joined by one space."""
+    """all word n-grams for n in [n_min, n_max], unigrams first, joined by one space.
+
+    Built from shifted slices combined by ``zip_with``: no lambda refers to ``toks``, so
+    the token array is evaluated once per row, not once per element."""
     parts = []
     for n in range(n_min, n_max + 1):
         if n == 1:
             parts.append(toks)
             continue
-        idx = F.sequence(F.lit(0), F.size(toks) - n)
-        grams = F.transform(idx, lambda i, n=n: F.array_join(F.slice(toks, i + 1, n), " "))
-        parts.append(F.when(F.size(toks) >= n, grams)
-                     .otherwise(F.array().cast("array<string>")))
+        length = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+        grams = F.slice(toks, 1, length)
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(toks, k + 1, length),
+                               lambda a, b: F.concat(a, F.lit(" "), b))
+        parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

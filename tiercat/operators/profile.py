@@ -29,14 +29,22 @@ def ranked_counts(counts: DataFrame, col: str) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w))
 
 
+def _head(counts: DataFrame, k: int, order) -> DataFrame:
+    # orderBy + limit plans a TakeOrderedAndProject (a per-task top-k, then a merge of
+    # k rows per task); the rank window then runs over k rows only.
+    limited = counts.orderBy(*order).limit(k)
+    return limited.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def top_classes(counts: DataFrame, col: str, k: int = 20) -> DataFrame:
-    """K1 head: the ``k`` largest classes (count desc, name asc)."""
-    return counts.orderBy(F.col("n").desc(), F.col(col)).limit(k)
+    """K1 head: the ``k`` largest classes (count desc, name asc) with a 1-based rank."""
+    return _head(counts, k, (F.col("n").desc(), F.col(col)))
 
 
 def bottom_classes(counts: DataFrame, col: str, k: int = 20) -> DataFrame:
-    """K1 tail: the last ``k`` classes of the (count desc, name asc) order."""
-    return counts.orderBy(F.col("n").asc(), F.col(col).desc()).limit(k)
+    """K1 tail: the last ``k`` classes of the (count desc, name asc) order, ranked from the
+    smallest."""
+    return _head(counts, k, (F.col("n").asc(), F.col(col).desc()))
 
 
 def distinct_classes(df: DataFrame, col: str) -> DataFrame:

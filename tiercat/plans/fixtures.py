@@ -134,3 +134,29 @@ def with_scores(df: DataFrame, k_cat: int, k_sub: int, coarse: bool = False) ->
     cat = coarse_scores(key, k_cat) if coarse else fine_scores(key, k_cat)
     return df.select("doc_id", "category_id", "subcategory_id",
                      cat.alias("cat_prob"), fine_scores(key, k_sub).alias("sub_prob"))
+
+
+@dataclass
+class TextFeatures:
+    prepared: Prepared
+    tf: DataFrame        # (doc_id, category_id, subcategory_id, split, term, tf), all splits
+    model: "object"      # tfidf.TfidfModel fitted on the train split
+
+    def weights(self, split: str | None = None) -> DataFrame:
+        tf = self.tf if split is None else self.tf.where(F.col("split") == split)
+        return self.model.weights(tf, "doc_id")
+
+
+def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
+                  max_features: int | None = 200_000) -> TextFeatures:
+    """M8: the vectorizer fitted on the train split of the prepared table; ``tf`` holds
+    every split so validation documents are transformed with the train vocabulary."""
+    from tiercat.operators import tfidf
+    p = prepared_txn(spark, sf_dir)
+    rows = p.rows.select("doc_id", "clean_description", "category_id", "subcategory_id",
+                         "split")
+    tf = tfidf.term_frequencies(rows, "doc_id", "clean_description",
+                                carry=("category_id", "subcategory_id", "split"))
+    n_train = int(p.split("train").count())
+    model = tfidf.fit(tf.where(F.col("split") == "train"), n_train, min_df, max_features)
+    return TextFeatures(p, tf, model)

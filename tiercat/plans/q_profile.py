@@ -1 +1,156 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: profile of the raw table."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tiercat.operators import profile as pr
+from tiercat.plans import fixtures as fx
+from tiercat.plans import sql as S
+from tiercat.plans.registry import register
+
+LEVELS = ("category", "sub_category")
+
+
+def _r6(c):
+    return F.round(c.cast("double"), 6)
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@register("p1_null_counts", S.with_ctes(S.TXN_NULLS, body="""
+SELECT count(*) FILTER (WHERE clean_description IS NULL) AS null_clean_description,
+       count(*) FILTER (WHERE category IS NULL) AS null_category,
+       count(*) FILTER (WHERE sub_category IS NULL) AS null_sub_category
+FROM txn_nulls"""))
+def p1_null_counts(spark, sf_dir):
+    return pr.null_counts(fx.txn_nulls(spark, sf_dir),
+                          ("clean_description", "category", "sub_category"))
+
+
+@register("p6_text_sample", S.with_ctes(S.TXN_NULLS, body="""
+SELECT doc_id, substring(clean_description, 1, 80) AS sample,
+       (SELECT count(*) FROM txn_nulls WHERE clean_description IS NOT NULL) AS n_nonnull
+FROM txn_nulls WHERE clean_description IS NOT NULL ORDER BY doc_id LIMIT 10"""))
+def p6_text_sample(spark, sf_dir):
+    """P6 + F16: ten first non-null texts (cut to 80 characters) and the non-null count."""
+    return pr.text_sample(fx.txn_nulls(spark, sf_dir), "clean_description", "doc_id", 10, 80)
+
+
+@register("a1_value_counts", S.with_ctes(S.TXN, body="""
+SELECT level, label, n, row_number() OVER (PARTITION BY level ORDER BY n DESC, label) AS rank
+FROM (SELECT 'category' AS level, category AS label, count(*) AS n FROM txn
+      WHERE category IS NOT NULL GROUP BY category
+      UNION ALL
+      SELECT 'sub_category', sub_category, count(*) FROM txn
+      WHERE sub_category IS NOT NULL GROUP BY sub_category)"""))
+def a1_value_counts(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    out = []
+    for lvl in LEVELS:
+        c = pr.ranked_counts(pr.value_counts(t, lvl), lvl)
+        out.append(c.select(F.lit(lvl).alias("level"), F.col(lvl).alias("label"),
+                            F.col("n").cast("long"), F.col("rank").cast("long")))
+    return _union(out)
+
+
+@register("a3_distinct_classes", S.with_ctes(S.TXN_NULLS, body="""
+SELECT 'category' AS level, count(DISTINCT category) AS n_distinct,
+       count(DISTINCT category) + max(CASE WHEN category IS NULL THEN 1 ELSE 0 END) AS n_distinct_with_null
+FROM txn_nulls
+UNION ALL
+SELECT 'sub_category', count(DISTINCT sub_category),
+       count(DISTINCT sub_category) + max(CASE WHEN sub_category IS NULL THEN 1 ELSE 0 END)
+FROM txn_nulls"""))
+def a3_distinct_classes(spark, sf_dir):
+    """A3 (nulls excluded) and A4 (null counted as a class)."""
+    t = fx.txn_nulls(spark, sf_dir)
+    return _union([pr.distinct_classes(t, lvl).select(F.lit(lvl).alias("level"), "*")
+                   for lvl in LEVELS])
+
+
+@register("a5_count_stats", S.with_ctes(S.TXN, body="""
+SELECT level, round(avg(n), 6) AS mean_n, round(median(n), 6) AS median_n,
+       min(n) AS min_n, max(n) AS max_n, round(stddev_samp(n), 6) AS std_n
+FROM (SELECT 'category' AS level, category AS label, count(*) AS n FROM txn
+      WHERE category IS NOT NULL GROUP BY category
+      UNION ALL
+      SELECT 'sub_category', sub_category, count(*) FROM txn
+      WHERE sub_category IS NOT NULL GROUP BY sub_category)
+GROUP BY level"""))
+def a5_count_stats(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    out = []
+    for lvl in LEVELS:
+        s = pr.count_stats(pr.value_counts(t, lvl))
+        out.append(s.select(F.lit(lvl).alias("level"), _r6(F.col("mean_n")).alias("mean_n"),
+                            _r6(F.col("median_n")).alias("median_n"), "min_n", "max_n",
+                            _r6(F.col("std_n")).alias("std_n")))
+    return _union(out)
+
+
+@register("a7_imbalance_ratio", S.with_ctes(S.TXN, body="""
+SELECT level, round(max(n) / min(n), 6) AS imbalance_ratio
+FROM (SELECT 'category' AS level, count(*) AS n FROM txn
+      WHERE category IS NOT NULL GROUP BY category
+      UNION ALL
+      SELECT 'sub_category', count(*) FROM txn
+      WHERE sub_category IS NOT NULL GROUP BY sub_category)
+GROUP BY level"""))
+def a7_imbalance_ratio(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    return _union([pr.imbalance_ratio(pr.value_counts(t, lvl))
+                   .select(F.lit(lvl).alias("level"),
+                           _r6(F.col("imbalance_ratio")).alias("imbalance_ratio"))
+                   for lvl in LEVELS])
+
+
+K1_SUB = """sub AS (SELECT sub_category AS label, count(*) AS n FROM txn
+            WHERE sub_category IS NOT NULL GROUP BY 1)"""
+K1_CAT = """cat AS (SELECT category AS label, count(*) AS n FROM txn
+            WHERE category IS NOT NULL GROUP BY 1)"""
+
+
+@register("k1_top_bottom_classes", S.with_ctes(S.TXN, K1_SUB, K1_CAT, body="""
+SELECT * FROM (
+  SELECT 'top20_sub' AS which, label, n, row_number() OVER (ORDER BY n DESC, label) AS rank FROM sub)
+WHERE rank <= 20
+UNION ALL
+SELECT * FROM (
+  SELECT 'bottom20_sub' AS which, label, n,
+         row_number() OVER (ORDER BY n ASC, label DESC) AS rank FROM sub)
+WHERE rank <= 20
+UNION ALL
+SELECT * FROM (
+  SELECT 'top10_cat' AS which, label, n, row_number() OVER (ORDER BY n DESC, label) AS rank
+  FROM cat)
+WHERE rank <= 10"""))
+def k1_top_bottom_classes(spark, sf_dir):
+    """K1: top 20 / bottom 20 subcategories and top 10 categories by count."""
+    t = fx.txn(spark, sf_dir)
+    sub, cat = pr.value_counts(t, "sub_category"), pr.value_counts(t, "category")
+    parts = ((pr.top_classes(sub, "sub_category", 20), "sub_category", "top20_sub"),
+             (pr.bottom_classes(sub, "sub_category", 20), "sub_category", "bottom20_sub"),
+             (pr.top_classes(cat, "category", 10), "category", "top10_cat"))
+    return _union([df.select(F.lit(which).alias("which"), F.col(col).alias("label"),
+                             F.col("n").cast("long"), F.col("rank").cast("long"))
+                   for df, col, which in parts])
+
+
+@register("k3_sorted_labels", S.with_ctes(S.TXN, body="""
+SELECT 'category' AS level, category AS label,
+       row_number() OVER (ORDER BY category) - 1 AS pos
+FROM (SELECT DISTINCT category FROM txn WHERE category IS NOT NULL)
+UNION ALL
+SELECT 'sub_category', sub_category, row_number() OVER (ORDER BY sub_category) - 1
+FROM (SELECT DISTINCT sub_category FROM txn WHERE sub_category IS NOT NULL)"""))
+def k3_sorted_labels(spark, sf_dir):
+    t = fx.txn(spark, sf_dir)
+    return _union([pr.sorted_labels(t, lvl).select(F.lit(lvl).alias("level"),
+                                                    F.col(lvl).alias("label"),
+                                                    F.col("pos").cast("long"))
+                   for lvl in LEVELS])

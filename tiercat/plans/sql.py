@@ -102,12 +102,12 @@ preds AS (
 
 
 def fine(key: str, k: str) -> str:
-    return (f"list_transform(range({k}), j -> "
+    return (f"list_transform(range({k}), lambda j: "
             f"CAST(({key} * 7919 + j * 104729) % 1009 AS DOUBLE) / 1009.0)")
 
 
 def coarse(key: str, k: str) -> str:
-    return (f"list_transform(range({k}), j -> "
+    return (f"list_transform(range({k}), lambda j: "
             f"CAST(({key} * 31 + j * j * 17) % 5 AS DOUBLE) / 5.0)")
 
 
@@ -121,3 +121,32 @@ scores AS (
   FROM prepared p, k WHERE p.split = 'val'),
 cmap AS (SELECT category_id, list_sort(list(DISTINCT subcategory_id)) AS sub_ids
          FROM prepared GROUP BY category_id)"""
+
+
+TOKEN_RE = r"[\p{L}\p{N}_]+"
+
+
+def tfidf(src: str = "prepared", min_df: int = 10, max_features: int = 200000) -> str:
+    """tokens -> grams -> tf (per document) -> vocabulary on train -> idf -> weights."""
+    return f"""toks AS (
+  SELECT doc_id, category_id, subcategory_id, split,
+         regexp_extract_all(strip_accents(lower(clean_description)), '{TOKEN_RE}') AS t
+  FROM {src}),
+grams AS (
+  SELECT doc_id, category_id, subcategory_id, split,
+         unnest(list_concat(t, list_transform(range(greatest(len(t) - 1, 0)),
+                                              lambda i: t[i + 1] || ' ' || t[i + 2]))) AS term
+  FROM toks),
+tf AS (SELECT doc_id, category_id, subcategory_id, split, term, count(*) AS tf
+       FROM grams GROUP BY ALL),
+n_train AS (SELECT count(*) AS n FROM {src} WHERE split = 'train'),
+vocab AS (
+  SELECT term, df, total,
+         ln((1 + (SELECT n FROM n_train)) / (1 + df)) + 1 AS idf
+  FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE split = 'train'
+        GROUP BY term HAVING count(*) >= {min_df}
+        ORDER BY total DESC, term LIMIT {max_features})),
+w AS (SELECT tf.*, (1 + ln(tf.tf)) * v.idf AS w FROM tf JOIN vocab v USING (term)),
+weights AS (SELECT doc_id, category_id, subcategory_id, split, term, tf,
+                   w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight
+            FROM w)"""
