@@ -150,3 +150,20 @@ w AS (SELECT tf.*, (1 + ln(tf.tf)) * v.idf AS w FROM tf JOIN vocab v USING (term
 weights AS (SELECT doc_id, category_id, subcategory_id, split, term, tf,
                    w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight
             FROM w)"""
+
+
+def report(src: str, y: str, p: str, name: str) -> str:
+    """Per-label report over truth ∪ prediction (zero on zero denominators)."""
+    return f"""{name}_labels AS (SELECT {y} AS label FROM {src} UNION SELECT {p} FROM {src}),
+{name}_counts AS (
+  SELECT l.label,
+         (SELECT count(*) FROM {src} WHERE {y} = l.label AND {p} = l.label) AS tp,
+         (SELECT count(*) FROM {src} WHERE {y} = l.label) AS support,
+         (SELECT count(*) FROM {src} WHERE {p} = l.label) AS predicted
+  FROM {name}_labels l),
+{name} AS (
+  SELECT label, tp, support, predicted,
+         CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+         CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + (predicted - tp) + (support - tp)) END AS f1
+  FROM {name}_counts)"""
