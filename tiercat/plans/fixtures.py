@@ -94,8 +94,36 @@ def prepare(df: DataFrame, min_count: int, key: str = "doc_id") -> Prepared:
     return Prepared(rows, enc.categories, enc.subcategories)
 
 
+# Stage outputs reused by many queries are materialised once per session and data folder
+# with a reliable checkpoint (files in spark.checkpoint.dir): that cuts the lineage, keeps
+# query plans small and lets a lost executor's work be re-read instead of recomputed.
+_MEMO: dict = {}
+
+
+def reset_memo() -> None:
+    _MEMO.clear()
+
+
+def _memo(spark: SparkSession, sf_dir: str, what: str, build):
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
+    from tiercat.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
+
+
 def prepared_txn(spark: SparkSession, sf_dir: str) -> Prepared:
-    return prepare(txn(spark, sf_dir), rare_threshold(sf_dir))
+    def build():
+        p = prepare(txn(spark, sf_dir), rare_threshold(sf_dir))
+        return Prepared(materialize(spark, p.rows), materialize(spark, p.categories),
+                        materialize(spark, p.subcategories))
+    return _memo(spark, sf_dir, "prepared_txn", build)
 
 
 # ---------------------------------------------------------------- deterministic stand-ins
@@ -152,11 +180,41 @@ def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
     """M8: the vectorizer fitted on the train split of the prepared table; ``tf`` holds
     every split so validation documents are transformed with the train vocabulary."""
     from tiercat.operators import tfidf
-    p = prepared_txn(spark, sf_dir)
-    rows = p.rows.select("doc_id", "clean_description", "category_id", "subcategory_id",
-                         "split")
-    tf = tfidf.term_frequencies(rows, "doc_id", "clean_description",
-                                carry=("category_id", "subcategory_id", "split"))
-    n_train = int(p.split("train").count())
-    model = tfidf.fit(tf.where(F.col("split") == "train"), n_train, min_df, max_features)
-    return TextFeatures(p, tf, model)
+
+    def build():
+        p = prepared_txn(spark, sf_dir)
+        rows = p.rows.select("doc_id", "clean_description", "category_id", "subcategory_id",
+                             "split")
+        tf = materialize(spark, tfidf.term_frequencies(
+            rows, "doc_id", "clean_description",
+            carry=("category_id", "subcategory_id", "split")))
+        n_train = int(p.split("train").count())
+        model = tfidf.fit(tf.where(F.col("split") == "train"), n_train, min_df, max_features)
+        model.vocab = materialize(spark, model.vocab)
+        return TextFeatures(p, tf, model)
+    return _memo(spark, sf_dir, f"text_features/{min_df}/{max_features}", build)
+
+
+def keyword_inputs(spark: SparkSession, sf_dir: str):
+    """Training presence rows (vocabulary terms only) and training documents."""
+    f = text_features(spark, sf_dir)
+    presence = f.model.presence(f.tf.where(F.col("split") == "train"))
+    docs = f.prepared.split("train").select("doc_id", "category_id", "subcategory_id")
+    return f, presence, docs
+
+
+def stand_in_weights(f: TextFeatures, presence: DataFrame, docs: DataFrame, cls: str,
+                     k: int) -> DataFrame:
+    """``weights``: dominance - class share, rounded to 6 digits, for every class and
+    vocabulary term (dense, like a linear model's coefficients: one generated row per class
+    for each vocabulary row, no join product)."""
+    from tiercat.operators import keywords as kw
+    from tiercat.plans.broadcast import bounded_broadcast
+    stats = kw.term_statistics(presence, docs, cls).select("class_id", "term", "dominance")
+    sizes = bounded_broadcast(kw.class_sizes(docs, cls), 100_000)
+    grid = f.model.vocab.select("term", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+                                .alias("class_id"))
+    w = (grid.join(stats, ["class_id", "term"], "left").join(sizes, "class_id", "inner"))
+    return w.select("class_id", "term", F.round(
+        F.coalesce(F.col("dominance"), F.lit(0.0)) - F.col("n_class") / F.lit(float(f.model.n_docs)),
+        6).alias("weight"))

@@ -1 +1,150 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: keyword mining on deterministic weights (A13, W1, J7/J8, P12, A21,
+M10, F11/F15/S8 as flat rows)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tiercat.operators import keywords as kw
+from tiercat.plans import fixtures as fx
+from tiercat.plans import sql as S
+from tiercat.plans.registry import register
+
+LEVELS = (("category", "category_id"), ("sub_category", "subcategory_id"))
+BASE = (S.prepared_txn(), S.tfidf(), S.keyword_stats("category_id", "c"),
+        S.keyword_stats("subcategory_id", "s"))
+
+
+def _r6(c):
+    return F.round(c.cast("double"), 6)
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def _levels(spark, sf_dir):
+    f, presence, docs = fx.keyword_inputs(spark, sf_dir)
+    p = f.prepared
+    ks = {"category_id": fx.class_count(p.categories),
+          "subcategory_id": fx.class_count(p.subcategories)}
+    for lvl, cls in LEVELS:
+        w = fx.stand_in_weights(f, presence, docs, cls, ks[cls])
+        yield lvl, cls, w, presence, docs
+
+
+@register("a13_term_statistics", S.with_ctes(*BASE, body="""
+SELECT 'category' AS level, CAST(class_id AS BIGINT) AS class_id, term, support_class,
+       support_total, n_class, round(dominance, 6) AS dominance, round(p_in_class, 6) AS p_in_class
+FROM c_stats
+UNION ALL
+SELECT 'sub_category', class_id, term, support_class, support_total, n_class,
+       round(dominance, 6), round(p_in_class, 6)
+FROM s_stats"""))
+def a13_term_statistics(spark, sf_dir):
+    f, presence, docs = fx.keyword_inputs(spark, sf_dir)
+    return _union([kw.term_statistics(presence, docs, cls).select(
+        F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "term",
+        F.col("support_class").cast("long"), F.col("support_total").cast("long"),
+        F.col("n_class").cast("long"), _r6(F.col("dominance")).alias("dominance"),
+        _r6(F.col("p_in_class")).alias("p_in_class")) for lvl, cls in LEVELS])
+
+
+@register("w1_top_terms", S.with_ctes(*BASE, body="""
+SELECT 'category' AS level, CAST(class_id AS BIGINT) AS class_id, direction,
+       CAST(rank AS BIGINT) AS rank, term, weight FROM c_cand
+UNION ALL
+SELECT 'sub_category', class_id, direction, rank, term, weight FROM s_cand"""))
+def w1_top_terms(spark, sf_dir):
+    """W1 (and M10 with apply_filtering=False): top 40 terms each way per class."""
+    return _union([kw.top_terms(w, 40).select(
+        F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
+        F.col("rank").cast("long"), "term", "weight") for lvl, cls, w, _, _ in _levels(spark, sf_dir)])
+
+
+@register("j8_candidate_statistics", S.with_ctes(*BASE, body="""
+SELECT 'sub_category' AS level, CAST(c.class_id AS BIGINT) AS class_id, c.direction,
+       CAST(c.rank AS BIGINT) AS rank, c.term, coalesce(s.support_class, 0) AS support_class,
+       t.support_total, round(coalesce(s.support_class, 0) / t.support_total, 6) AS dominance
+FROM s_cand c JOIN s_st t ON t.term = c.term
+LEFT JOIN s_sc s ON s.class_id = c.class_id AND s.term = c.term"""))
+def j8_candidate_statistics(spark, sf_dir):
+    """J7 + J8: ranked candidates with their statistics, zero support kept."""
+    for lvl, cls, w, presence, docs in _levels(spark, sf_dir):
+        if cls != "subcategory_id":
+            continue
+        stats = kw.term_statistics(presence, docs, cls)
+        c = kw.candidate_statistics(kw.top_terms(w, 40), stats, docs, cls)
+        return c.select(F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
+                        F.col("rank").cast("long"), "term", F.col("support_class").cast("long"),
+                        F.col("support_total").cast("long"),
+                        _r6(F.col("dominance")).alias("dominance"))
+
+
+@register("p12_keyword_filter", S.with_ctes(*BASE, body="""
+SELECT CAST(class_id AS BIGINT) AS class_id, term, support_class, round(dominance, 6) AS dominance
+FROM c_stats
+WHERE (support_class >= 3 AND dominance >= 0.05) OR dominance >= 0.5"""))
+def p12_keyword_filter(spark, sf_dir):
+    """P12 over every observed (category, term) pair."""
+    f, presence, docs = fx.keyword_inputs(spark, sf_dir)
+    st = kw.term_statistics(presence, docs, "category_id").where(kw.keep_predicate())
+    return st.select(F.col("class_id").cast("long"), "term", F.col("support_class").cast("long"),
+                     _r6(F.col("dominance")).alias("dominance"))
+
+
+@register("m10_keywords", S.with_ctes(*BASE, body="""
+SELECT 'category' AS level, CAST(class_id AS BIGINT) AS class_id, direction,
+       CAST(rank AS BIGINT) AS rank, term, weight, support_class, round(dominance, 6) AS dominance
+FROM c_kw
+UNION ALL
+SELECT 'sub_category', class_id, direction, rank, term, weight, support_class, round(dominance, 6)
+FROM s_kw"""))
+def m10_keywords(spark, sf_dir):
+    """Ranked (W1), looked up (J7/J8) and filtered (P12) keywords per class."""
+    return _union([kw.keywords(w, presence, docs, cls, 40).select(
+        F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
+        F.col("rank").cast("long"), "term", "weight", F.col("support_class").cast("long"),
+        _r6(F.col("dominance")).alias("dominance"))
+        for lvl, cls, w, presence, docs in _levels(spark, sf_dir)])
+
+
+@register("a21_keyword_totals", S.with_ctes(*BASE, body="""
+SELECT 'category' AS level, count(DISTINCT class_id) AS n_classes,
+       count(*) FILTER (WHERE direction = 'include') AS n_include,
+       count(*) FILTER (WHERE direction = 'exclude') AS n_exclude FROM c_kw
+UNION ALL
+SELECT 'sub_category', count(DISTINCT class_id), count(*) FILTER (WHERE direction = 'include'),
+       count(*) FILTER (WHERE direction = 'exclude') FROM s_kw"""))
+def a21_keyword_totals(spark, sf_dir):
+    rows = _union([kw.keywords(w, presence, docs, cls, 40).withColumn("level", F.lit(lvl))
+                   for lvl, cls, w, presence, docs in _levels(spark, sf_dir)])
+    t = kw.keyword_totals(rows)
+    return t.select("level", F.col("n_classes").cast("long"), F.col("n_include").cast("long"),
+                    F.col("n_exclude").cast("long"))
+
+
+@register("a22_metadata_counts", S.with_ctes(S.prepared_txn(), S.tfidf(), body="""
+SELECT (SELECT count(*) FROM vocab) AS vocabulary_size,
+       (SELECT count(*) FROM cat_dict) AS n_categories,
+       (SELECT count(*) FROM sub_dict) AS n_subcategories,
+       count(*) FILTER (WHERE split = 'train') AS n_train,
+       count(*) FILTER (WHERE split = 'val') AS n_val,
+       round(100.0 * count(*) FILTER (WHERE split = 'train') / count(*), 6) AS train_pct,
+       round(100.0 * count(*) FILTER (WHERE split = 'val') / count(*), 6) AS val_pct
+FROM prepared"""))
+def a22_metadata_counts(spark, sf_dir):
+    """A22 + F12: vocabulary size, class counts, split sizes and shares."""
+    f = fx.text_features(spark, sf_dir)
+    p = f.prepared
+    n_cat, n_sub = fx.class_count(p.categories), fx.class_count(p.subcategories)
+    tr, va = F.count_if(F.col("split") == "train"), F.count_if(F.col("split") == "val")
+    return p.rows.agg(
+        F.lit(f.model.size).cast("long").alias("vocabulary_size"),
+        F.lit(n_cat).cast("long").alias("n_categories"),
+        F.lit(n_sub).cast("long").alias("n_subcategories"),
+        tr.cast("long").alias("n_train"), va.cast("long").alias("n_val"),
+        _r6(tr * 100.0 / F.count(F.lit(1))).alias("train_pct"),
+        _r6(va * 100.0 / F.count(F.lit(1))).alias("val_pct"))

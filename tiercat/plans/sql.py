@@ -167,3 +167,40 @@ def report(src: str, y: str, p: str, name: str) -> str:
          CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
          CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + (predicted - tp) + (support - tp)) END AS f1
   FROM {name}_counts)"""
+
+
+def keyword_stats(cls: str, name: str) -> str:
+    """Term statistics of training documents for one level, as ``{name}_stats``; class sizes
+    as ``{name}_ncls``; stand-in weights as ``{name}_w``."""
+    return f"""{name}_pres AS (SELECT DISTINCT doc_id, {cls} AS class_id, term FROM tf
+                 WHERE split = 'train' AND term IN (SELECT term FROM vocab)),
+{name}_ncls AS (SELECT {cls} AS class_id, count(*) AS n_class FROM prepared
+                WHERE split = 'train' GROUP BY 1),
+{name}_sc AS (SELECT class_id, term, count(*) AS support_class FROM {name}_pres GROUP BY 1, 2),
+{name}_st AS (SELECT term, count(*) AS support_total FROM {name}_pres GROUP BY 1),
+{name}_stats AS (
+  SELECT class_id, term, support_class, support_total, n_class,
+         support_class / support_total AS dominance, support_class / n_class AS p_in_class
+  FROM {name}_sc JOIN {name}_st USING (term) JOIN {name}_ncls USING (class_id)),
+{name}_w AS (
+  SELECT c.class_id, v.term,
+         round(coalesce(s.dominance, 0.0) - c.n_class / (SELECT n FROM n_train), 6) AS weight
+  FROM {name}_ncls c CROSS JOIN vocab v
+  LEFT JOIN {name}_stats s ON s.class_id = c.class_id AND s.term = v.term),
+{name}_cand AS (
+  SELECT * FROM (SELECT class_id, 'include' AS direction, term, weight,
+                        row_number() OVER (PARTITION BY class_id ORDER BY weight DESC, term) AS rank
+                 FROM {name}_w) WHERE rank <= 40
+  UNION ALL
+  SELECT * FROM (SELECT class_id, 'exclude' AS direction, term, weight,
+                        row_number() OVER (PARTITION BY class_id ORDER BY weight ASC, term) AS rank
+                 FROM {name}_w) WHERE rank <= 40),
+{name}_kw AS (
+  SELECT c.class_id, c.direction, c.rank, c.term, c.weight,
+         coalesce(s.support_class, 0) AS support_class,
+         coalesce(s.support_class, 0) / t.support_total AS dominance
+  FROM {name}_cand c
+  JOIN {name}_st t ON t.term = c.term
+  LEFT JOIN {name}_sc s ON s.class_id = c.class_id AND s.term = c.term
+  WHERE (coalesce(s.support_class, 0) >= 3 AND coalesce(s.support_class, 0) / t.support_total >= 0.05)
+     OR coalesce(s.support_class, 0) / t.support_total >= 0.5)"""

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "tiercat") -> SparkSession:
+                app_name: str = "tiercat", driver_memory: str | None = "8g") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
     On a cluster the master, memory and ``spark.checkpoint.dir`` come from the cluster's
@@ -20,6 +20,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local") and driver_memory:
+        # local mode runs every task in the driver JVM
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder
         .config("spark.ui.enabled", "false")
