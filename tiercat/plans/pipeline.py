@@ -1,0 +1,73 @@
+"""End-to-end API: fit both levels, then score batches (or streams) of texts.
+
+``HierarchicalClassifier`` is the Spark form of the reference's inference object: two
+Spark ML models, the two label dictionaries and the category map; ``transform`` scores a
+DataFrame of texts (M6/M7) with no per-row Python.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tiercat.operators import features as fe
+from tiercat.operators import predict as pd_
+from tiercat.operators import prepare as prep
+from tiercat.operators import train as tr
+from tiercat.sources.io import write_parquet
+
+
+@dataclass
+class HierarchicalClassifier:
+    cat_model: PipelineModel
+    sub_model: PipelineModel
+    cat_names: list[str]
+    sub_names: list[str]
+    cmap: DataFrame
+    dim: int = fe.TEXT_DIM
+
+    @classmethod
+    def fit(cls, prepared: DataFrame, categories: DataFrame, subcategories: DataFrame,
+            family: str = "logreg", dim: int = fe.TEXT_DIM, max_iter: int | None = None,
+            text: str = prep.TEXT, type_col: str = prep.TYPE) -> "HierarchicalClassifier":
+        """Train both levels on the rows of ``prepared`` (already split: pass the train
+        rows). The category map is built from the same rows."""
+        d = tr.dense_vectors(fe.dense_features(prepared, text, type_col,
+                                               fe.HashingEncoder(dim)), "features")
+        d = d.select("features", prep.CATEGORY_ID, prep.SUBCATEGORY_ID).cache()
+        cat = tr.fit(d, family, prep.CATEGORY_ID, max_iter=max_iter)
+        sub = tr.fit(d, family, prep.SUBCATEGORY_ID, max_iter=max_iter)
+        return cls(cat, sub, prep.label_names(categories), prep.label_names(subcategories),
+                   prep.category_map(prepared), dim)
+
+    def transform(self, df: DataFrame, text: str = prep.TEXT, type_col: str = prep.TYPE,
+                  top_k: int | None = None) -> DataFrame:
+        """M6/M7: adds category, subcategory, both confidences (and top-k lists)."""
+        d = tr.dense_vectors(fe.dense_features(df, text, type_col,
+                                               fe.HashingEncoder(self.dim)), "features")
+        s = tr.probabilities(self.cat_model, d, "cat_prob").drop("prediction")
+        s = tr.probabilities(self.sub_model, s, "sub_prob").drop("prediction", "features")
+        return pd_.classify(s, self.cmap, self.cat_names, self.sub_names, k=top_k)
+
+    def save(self, path: str) -> None:
+        """S6 + S7: models by Spark ML persistence, map as parquet, names as JSON."""
+        tr.save(self.cat_model, os.path.join(path, "category_model"))
+        tr.save(self.sub_model, os.path.join(path, "subcategory_model"))
+        write_parquet(self.cmap, os.path.join(path, "category_map"))
+        spark = self.cmap.sparkSession
+        meta = json.dumps({"categories": self.cat_names, "subcategories": self.sub_names,
+                           "dim": self.dim})
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write \
+            .mode("overwrite").text(os.path.join(path, "labels"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "HierarchicalClassifier":
+        meta = json.loads(spark.read.text(os.path.join(path, "labels")).first()[0])
+        return cls(tr.load(os.path.join(path, "category_model")),
+                   tr.load(os.path.join(path, "subcategory_model")),
+                   meta["categories"], meta["subcategories"],
+                   spark.read.parquet(os.path.join(path, "category_map")), meta["dim"])

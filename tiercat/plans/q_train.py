@@ -1 +1,161 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: training inputs (A10, J6, A23) and learned models (M2, M3, M4, M6,
+M11). Learned models have no exact oracle: their queries are rows-only checks, except
+invariants that hold for any model (probability arrays of k entries summing to 1)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tiercat.operators import features as fe
+from tiercat.operators import keywords as kw
+from tiercat.operators import predict as pd_
+from tiercat.operators import prepare as prep
+from tiercat.operators import train as tr
+from tiercat.plans import fixtures as fx
+from tiercat.plans import sql as S
+from tiercat.plans.registry import register
+from tiercat.sources.io import read_table
+
+PREP = S.prepared_txn()
+LEVELS = (("category", "category_id"), ("sub_category", "subcategory_id"))
+
+
+def _r6(c):
+    return F.round(c.cast("double"), 6)
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@register("a10_class_weights", S.with_ctes(PREP, """
+tr AS (SELECT * FROM prepared WHERE split = 'train')""", body="""
+SELECT 'category' AS level, CAST(category_id AS BIGINT) AS class_id, count(*) AS n,
+       round((SELECT count(*) FROM tr) / ((SELECT count(DISTINCT category_id) FROM tr) * count(*)), 6) AS weight
+FROM tr GROUP BY category_id
+UNION ALL
+SELECT 'sub_category', subcategory_id, count(*),
+       round((SELECT count(*) FROM tr) / ((SELECT count(DISTINCT subcategory_id) FROM tr) * count(*)), 6)
+FROM tr GROUP BY subcategory_id"""))
+def a10_class_weights(spark, sf_dir):
+    t = fx.prepared_txn(spark, sf_dir).split("train")
+    return _union([tr.class_weights(t, cls).select(
+        F.lit(lvl).alias("level"), F.col(cls).cast("long").alias("class_id"),
+        F.col("n").cast("long"), _r6(F.col("weight")).alias("weight")) for lvl, cls in LEVELS])
+
+
+@register("j6_class_weight_join", S.with_ctes(PREP, """
+tr AS (SELECT * FROM prepared WHERE split = 'train')""", body="""
+SELECT doc_id, round((SELECT count(*) FROM tr) /
+       ((SELECT count(DISTINCT subcategory_id) FROM tr) *
+        count(*) OVER (PARTITION BY subcategory_id)), 6) AS weight
+FROM tr"""))
+def j6_class_weight_join(spark, sf_dir):
+    t = fx.prepared_txn(spark, sf_dir).split("train")
+    return tr.with_class_weights(t, "subcategory_id").select(
+        "doc_id", _r6(F.col("weight")).alias("weight"))
+
+
+@register("a23_distinct_train_labels", S.with_ctes(PREP, body="""
+SELECT 'category' AS level, count(DISTINCT category_id) AS n_labels FROM prepared WHERE split = 'train'
+UNION ALL
+SELECT 'sub_category', count(DISTINCT subcategory_id) FROM prepared WHERE split = 'train'"""))
+def a23_distinct_train_labels(spark, sf_dir):
+    t = fx.prepared_txn(spark, sf_dir).split("train")
+    return _union([tr.distinct_labels(t, cls).select(F.lit(lvl).alias("level"),
+                                                     F.col("n_labels").cast("long"))
+                   for lvl, cls in LEVELS])
+
+
+def _tfidf_vectors(spark, sf_dir):
+    f = fx.text_features(spark, sf_dir)
+    w = f.weights()
+    docs = f.prepared.rows.select("doc_id", "category_id", "subcategory_id", "split")
+    vec = tr.sparse_vectors(w, "doc_id", f.model.size)
+    # documents without any vocabulary term get an empty vector
+    empty = F.lit(None)
+    out = docs.join(vec, "doc_id", "left")
+    return f, out.withColumn("features", F.coalesce(F.col("features"), empty)) \
+        .where(F.col("features").isNotNull())
+
+
+@register("m3_logreg_tfidf")
+def m3_logreg_tfidf(spark, sf_dir):
+    """M3 + M11: multinomial logistic regression (balanced weights) on TF-IDF vectors,
+    category level; validation predictions with confidence."""
+    f, data = _tfidf_vectors(spark, sf_dir)
+    model = tr.fit(data.where(F.col("split") == "train"), "logreg", "category_id")
+    scored = tr.probabilities(model, data.where(F.col("split") == "val"))
+    return scored.select("doc_id", F.col("prediction").cast("long").alias("prediction"),
+                         _r6(F.array_max("prob")).alias("confidence"))
+
+
+@register("m4_svc_keywords")
+def m4_svc_keywords(spark, sf_dir):
+    """M4 -> M10: one-vs-rest linear SVM (hinge loss, balanced weights) on TF-IDF, then
+    keywords mined from its learned weights (category level)."""
+    f, data = _tfidf_vectors(spark, sf_dir)
+    model = tr.fit(data.where(F.col("split") == "train"), "svc_ovr", "category_id",
+                   max_iter=50)
+    lw = tr.linear_weights(spark, model).join(f.model.vocab.select("term", "term_idx"),
+                                              "term_idx")
+    presence = f.model.presence(f.tf.where(F.col("split") == "train"))
+    docs = f.prepared.split("train").select("doc_id", "category_id")
+    k = kw.keywords(lw.select("class_id", "term", "weight"), presence, docs, "category_id", 40)
+    return k.select(F.col("class_id").cast("long"), "direction", F.col("rank").cast("long"),
+                    "term", _r6(F.col("weight")).alias("weight"),
+                    F.col("support_class").cast("long"), _r6(F.col("dominance")).alias("dominance"))
+
+
+def _dense(spark, sf_dir):
+    p = fx.prepared_txn(spark, sf_dir)
+    d = fe.dense_features(p.rows, "clean_description", "type")
+    return p, tr.dense_vectors(d, "features")
+
+
+@register("m2_forest_dense")
+def m2_forest_dense(spark, sf_dir):
+    """M2: random forest (100 trees, depth 6) on text-vector ‖ type features, category
+    level; validation predictions with confidence."""
+    p, data = _dense(spark, sf_dir)
+    model = tr.fit(data.where(F.col("split") == "train"), "forest", "category_id")
+    scored = tr.probabilities(model, data.where(F.col("split") == "val"))
+    return scored.select("doc_id", F.col("prediction").cast("long").alias("prediction"),
+                         _r6(F.array_max("prob")).alias("confidence"))
+
+
+@register("m6_batch_scoring")
+def m6_batch_scoring(spark, sf_dir):
+    """M6: two dense logistic-regression models, hierarchical masking, decoded labels."""
+    p, data = _dense(spark, sf_dir)
+    train = data.where(F.col("split") == "train")
+    cat = tr.fit(train, "logreg", "category_id", max_iter=50)
+    sub = tr.fit(train, "logreg", "subcategory_id", max_iter=50)
+    val = data.where(F.col("split") == "val").select("doc_id", "features")
+    s = tr.probabilities(cat, val, "cat_prob").drop("prediction")
+    s = tr.probabilities(sub, s, "sub_prob").drop("prediction")
+    out = pd_.classify(s, prep.category_map(p.rows), prep.label_names(p.categories),
+                       prep.label_names(p.subcategories), k=3)
+    return out.select("doc_id", "category", "subcategory",
+                      _r6(F.col("category_confidence")).alias("category_confidence"),
+                      _r6(F.col("subcategory_confidence")).alias("subcategory_confidence"))
+
+
+@register("m11_predict_proba", """
+SELECT vec_id, CAST((SELECT count(DISTINCT label) FROM embeddings) AS BIGINT) AS n_probs,
+       1.0 AS prob_sum
+FROM embeddings""")
+def m11_predict_proba(spark, sf_dir):
+    """M11 invariants on any model: one probability per class, summing to 1 (logistic
+    regression on the 64-wide embeddings ‖ type feature)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    t = F.when(F.col("vec_id") % 3 == 0, F.lit("credit")).when(F.col("vec_id") % 3 == 1,
+                                                                F.lit("DEBIT"))
+    d = e.select("vec_id", "label", fe.concat_type(F.col("embedding"), t).alias("features"))
+    d = tr.dense_vectors(d, "features")
+    model = tr.fit(d, "logreg", "label", max_iter=50)
+    s = tr.probabilities(model, d)
+    return s.select("vec_id", F.size("prob").cast("long").alias("n_probs"),
+                    _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"))
