@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tiercat.operators import prepare as prep
 from tiercat.operators.prepare import class_sizes
 from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
 
@@ -55,16 +56,28 @@ def stratified_split(df: DataFrame, stratify: str, key: str, test_size: float =
              .withColumn("_b", F.substring("_h", 1, HASH_PREFIX_CHARS))
     quotas = split_quotas(class_sizes(df, stratify), stratify, test_size)
     hist = rows.groupBy(stratify, "_b").agg(F.count(F.lit(1)).alias("cnt"))
+    bounds = _boundaries(hist, quotas, stratify)
+    # classes with n_train == 0 have no bound row: all of their rows go to validation
+    tagged = rows.join(bounded_broadcast(bounds, max_classes), stratify, "left")
+    return _assign(tagged, stratify, key, split_col).drop("_h", "_b", "_bstar", "_take")
+
+
+def _boundaries(hist: DataFrame, quotas: DataFrame, stratify: str) -> DataFrame:
+    """Per class: the hash bucket where the training quota ends and how many of its rows
+    (in hash order) are still training rows. ``hist`` is ``(stratify, _b, cnt)``."""
     w = (Window.partitionBy(stratify).orderBy("_b")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hist = hist.withColumn("cum", F.sum("cnt").over(w))
-    bounds = (hist.join(quotas, stratify)
-              .where((F.col("n_train") > 0) & (F.col("cum") >= F.col("n_train")) &
-                     (F.col("cum") - F.col("cnt") < F.col("n_train")))
-              .select(stratify, F.col("_b").alias("_bstar"),
-                      (F.col("n_train") - (F.col("cum") - F.col("cnt"))).alias("_take")))
-    # classes with n_train == 0 have no bound row: all of their rows go to validation
-    tagged = rows.join(bounded_broadcast(bounds, max_classes), stratify, "left")
+    return (hist.join(quotas, stratify)
+            .where((F.col("n_train") > 0) & (F.col("cum") >= F.col("n_train")) &
+                   (F.col("cum") - F.col("cnt") < F.col("n_train")))
+            .select(stratify, F.col("_b").alias("_bstar"),
+                    (F.col("n_train") - (F.col("cum") - F.col("cnt"))).alias("_take")))
+
+
+def _assign(tagged: DataFrame, stratify: str, key: str, split_col: str) -> DataFrame:
+    """Rows carrying ``_h``, ``_b``, ``_bstar``, ``_take`` -> ``split_col``. Only rows of
+    the boundary bucket are ranked (a window over about n_class / 65,536 rows)."""
     decided = (tagged.where(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar")))
                .withColumn(split_col, F.when(F.col("_bstar").isNotNull() &
                                              (F.col("_b") < F.col("_bstar")), "train")
@@ -73,7 +86,44 @@ def stratified_split(df: DataFrame, stratify: str, key: str, test_size: float =
     wr = Window.partitionBy(stratify).orderBy("_h", key)
     edge = edge.withColumn(split_col, F.when(F.row_number().over(wr) <= F.col("_take"), "train")
                            .otherwise("val"))
-    return decided.unionByName(edge).drop("_h", "_b", "_bstar", "_take")
+    return decided.unionByName(edge)
+
+
+def prepare_and_split(df: DataFrame, min_count: int, key: str = "doc_id",
+                      test_size: float = 0.2, seed: int = 42, text: str = prep.TEXT,
+                      category: str = prep.CATEGORY, sub: str = prep.SUBCATEGORY,
+                      split_col: str = "split",
+                      max_classes: int = DEFAULT_MAX_ROWS) -> prep.Encoded:
+    """The whole preparation stage in two passes over the data.
+
+    Pass 1 is one aggregation of the cleaned rows by (category, subcategory, hash bucket)
+    with map-side partial counts; its small result gives the rare filter (J1), both label
+    dictionaries (W2), the split quotas (W3) and each class's boundary bucket. Pass 2 joins
+    the rows once with one broadcast dictionary keyed by (category, subcategory) that holds
+    both ids and the split bound (rare pairs are absent, so the inner join is the filter),
+    and ranks only boundary-bucket rows. Same result as clean -> filter_rare ->
+    encode_both -> stratified_split."""
+    c = prep.clean(df, text, category, sub)
+    h = row_hash(key, seed)
+    hist = (c.select(category, sub, F.substring(h, 1, HASH_PREFIX_CHARS).alias("_b"))
+            .groupBy(category, sub, "_b").agg(F.count(F.lit(1)).alias("cnt"))).cache()
+    sub_n = hist.groupBy(sub).agg(F.sum("cnt").alias("n"))
+    kept = hist.join(bounded_broadcast(sub_n.where(F.col("n") >= min_count).select(sub),
+                                       max_classes),
+                     sub, "left_semi").cache()
+    cats = prep.label_dictionary(kept, category, prep.CATEGORY_ID).cache()
+    subs = prep.label_dictionary(kept, sub, prep.SUBCATEGORY_ID).cache()
+    sid = prep.SUBCATEGORY_ID
+    per_sub = kept.groupBy(sub, "_b").agg(F.sum("cnt").alias("cnt")).join(subs, sub)
+    sizes = per_sub.groupBy(sid).agg(F.sum("cnt").alias("n"))
+    bounds = _boundaries(per_sub.select(sid, "_b", "cnt"),
+                         split_quotas(sizes, sid, test_size), sid)
+    pairs = (kept.select(category, sub).distinct().join(cats, category).join(subs, sub)
+             .join(bounds, sid, "left"))
+    rows = (c.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, HASH_PREFIX_CHARS))
+            .join(bounded_broadcast(pairs, max_classes), [category, sub], "inner"))
+    out = _assign(rows, sid, key, split_col).drop("_h", "_b", "_bstar", "_take")
+    return prep.Encoded(out, cats, subs)
 
 
 def split_shares(df: DataFrame, label: str, split_col: str = "split") -> DataFrame:

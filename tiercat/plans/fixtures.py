@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiercat.operators import prepare as prep
-from tiercat.operators.split import stratified_split
+from tiercat.operators.split import prepare_and_split
 from tiercat.sources.io import read_table
 
 SEED = 42
@@ -86,12 +86,10 @@ class Prepared:
 
 
 def prepare(df: DataFrame, min_count: int, key: str = "doc_id") -> Prepared:
-    """The reference's preparation stage as one lazy plan: clean -> rare filter ->
-    label ids -> stratified split on the subcategory id."""
-    kept = prep.filter_rare(prep.clean(df), prep.SUBCATEGORY, min_count)
-    enc = prep.encode_both(kept)
-    rows = stratified_split(enc.df, prep.SUBCATEGORY_ID, key, TEST_SIZE, SEED)
-    return Prepared(rows, enc.categories, enc.subcategories)
+    """The reference's preparation stage: clean -> rare filter -> label ids -> stratified
+    split on the subcategory id, fused into two passes over the data."""
+    enc = prepare_and_split(df, min_count, key, TEST_SIZE, SEED)
+    return Prepared(enc.df, enc.categories, enc.subcategories)
 
 
 # Stage outputs reused by many queries are materialised once per session and data folder
