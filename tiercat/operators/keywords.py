@@ -85,13 +85,15 @@ def keep_predicate(min_support_class: int = MIN_SUPPORT_CLASS,
 def keywords(weights: DataFrame, presence: DataFrame, docs: DataFrame, cls: str,
              top_n: int = TOP_N, apply_filtering: bool = True,
              min_support_class: int = MIN_SUPPORT_CLASS,
-             min_dominance: float = MIN_DOMINANCE) -> DataFrame:
+             min_dominance: float = MIN_DOMINANCE, stats: DataFrame | None = None) -> DataFrame:
     """Rank first, then filter (T9): ``(class_id, direction, rank, term, weight
-    [, support_class, dominance])``. Without filtering the ranked lists are returned."""
+    [, support_class, dominance])``. Without filtering the ranked lists are returned.
+    ``stats`` may pass already computed :func:`term_statistics`."""
     cands = top_terms(weights, top_n)
     if not apply_filtering:
         return cands.select("class_id", "direction", "rank", "term", "weight")
-    stats = term_statistics(presence, docs, cls)
+    if stats is None:
+        stats = term_statistics(presence, docs, cls)
     c = candidate_statistics(cands, stats, docs, cls)
     return (c.where(keep_predicate(min_support_class, min_dominance))
              .select("class_id", "direction", "rank", "term", "weight", "support_class",

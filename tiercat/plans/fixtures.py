@@ -202,13 +202,15 @@ def keyword_inputs(spark: SparkSession, sf_dir: str):
 
 
 def stand_in_weights(f: TextFeatures, presence: DataFrame, docs: DataFrame, cls: str,
-                     k: int) -> DataFrame:
+                     k: int, stats: DataFrame | None = None) -> DataFrame:
     """``weights``: dominance - class share, rounded to 6 digits, for every class and
     vocabulary term (dense, like a linear model's coefficients: one generated row per class
     for each vocabulary row, no join product)."""
     from tiercat.operators import keywords as kw
     from tiercat.plans.broadcast import bounded_broadcast
-    stats = kw.term_statistics(presence, docs, cls).select("class_id", "term", "dominance")
+    if stats is None:
+        stats = kw.term_statistics(presence, docs, cls)
+    stats = stats.select("class_id", "term", "dominance")
     sizes = bounded_broadcast(kw.class_sizes(docs, cls), 100_000)
     grid = f.model.vocab.select("term", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
                                 .alias("class_id"))

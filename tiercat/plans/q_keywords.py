@@ -31,8 +31,10 @@ def _levels(spark, sf_dir):
     ks = {"category_id": fx.class_count(p.categories),
           "subcategory_id": fx.class_count(p.subcategories)}
     for lvl, cls in LEVELS:
-        w = fx.stand_in_weights(f, presence, docs, cls, ks[cls])
-        yield lvl, cls, w, presence, docs
+        # statistics are computed once per level and shared by the weights and the lookup
+        stats = kw.term_statistics(presence, docs, cls).cache()
+        w = fx.stand_in_weights(f, presence, docs, cls, ks[cls], stats)
+        yield lvl, cls, w, presence, docs, stats
 
 
 @register("a13_term_statistics", S.with_ctes(*BASE, body="""
@@ -61,7 +63,7 @@ def w1_top_terms(spark, sf_dir):
     """W1 (and M10 with apply_filtering=False): top 40 terms each way per class."""
     return _union([kw.top_terms(w, 40).select(
         F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
-        F.col("rank").cast("long"), "term", "weight") for lvl, cls, w, _, _ in _levels(spark, sf_dir)])
+        F.col("rank").cast("long"), "term", "weight") for lvl, cls, w, _, _, _ in _levels(spark, sf_dir)])
 
 
 @register("j8_candidate_statistics", S.with_ctes(*BASE, body="""
@@ -72,10 +74,9 @@ FROM s_cand c JOIN s_st t ON t.term = c.term
 LEFT JOIN s_sc s ON s.class_id = c.class_id AND s.term = c.term"""))
 def j8_candidate_statistics(spark, sf_dir):
     """J7 + J8: ranked candidates with their statistics, zero support kept."""
-    for lvl, cls, w, presence, docs in _levels(spark, sf_dir):
+    for lvl, cls, w, presence, docs, stats in _levels(spark, sf_dir):
         if cls != "subcategory_id":
             continue
-        stats = kw.term_statistics(presence, docs, cls)
         c = kw.candidate_statistics(kw.top_terms(w, 40), stats, docs, cls)
         return c.select(F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
                         F.col("rank").cast("long"), "term", F.col("support_class").cast("long"),
@@ -104,11 +105,11 @@ SELECT 'sub_category', class_id, direction, rank, term, weight, support_class, r
 FROM s_kw"""))
 def m10_keywords(spark, sf_dir):
     """Ranked (W1), looked up (J7/J8) and filtered (P12) keywords per class."""
-    return _union([kw.keywords(w, presence, docs, cls, 40).select(
+    return _union([kw.keywords(w, presence, docs, cls, 40, stats=st).select(
         F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction",
         F.col("rank").cast("long"), "term", "weight", F.col("support_class").cast("long"),
         _r6(F.col("dominance")).alias("dominance"))
-        for lvl, cls, w, presence, docs in _levels(spark, sf_dir)])
+        for lvl, cls, w, presence, docs, st in _levels(spark, sf_dir)])
 
 
 @register("a21_keyword_totals", S.with_ctes(*BASE, body="""
@@ -120,7 +121,7 @@ SELECT 'sub_category', count(DISTINCT class_id), count(*) FILTER (WHERE directio
        count(*) FILTER (WHERE direction = 'exclude') FROM s_kw"""))
 def a21_keyword_totals(spark, sf_dir):
     rows = _union([kw.keywords(w, presence, docs, cls, 40).withColumn("level", F.lit(lvl))
-                   for lvl, cls, w, presence, docs in _levels(spark, sf_dir)])
+                   for lvl, cls, w, presence, docs, st in _levels(spark, sf_dir)])
     t = kw.keyword_totals(rows)
     return t.select("level", F.col("n_classes").cast("long"), F.col("n_include").cast("long"),
                     F.col("n_exclude").cast("long"))
