@@ -49,3 +49,9 @@ def test_keywords_brute_force(spark, tmp_path):
     assert len(docs_json) == 3
     one = json.loads(docs_json[0].keywords)
     assert set(one) == {"include", "exclude"}
+    # One JSON line per class, read back unchanged
+    from tiercat.sources.io import write_json_lines
+    out = str(tmp_path / "kw")
+    write_json_lines(kw.keyword_documents(res, names, "category"), out)
+    back = {r.class_name: json.loads(r.keywords) for r in spark.read.json(out).collect()}
+    assert back == {r.class_name: json.loads(r.keywords) for r in docs_json}
