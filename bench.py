@@ -1,6 +1,6 @@
 """Benchmark: the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Stages run in pipeline order in one session (prepare -> TF-IDF -> statistics -> keywords
+Stages run in stage order in one session (prepare -> TF-IDF -> statistics -> keywords
 -> metrics -> prediction -> training); each time is the stage's own work, every result is
 fully computed (noop sink). Prints one JSON line.
 """
@@ -50,7 +50,7 @@ def main() -> None:
         times[out_name] = round(time.time() - t0, 3)
     fx.reset_memo()
     print(json.dumps({
-        "metric": "pipeline_seconds",
+        "metric": "total_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,

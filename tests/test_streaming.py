@@ -3,7 +3,7 @@
 import os
 
 from tiercat.plans import fixtures as fx
-from tiercat.plans.pipeline import HierarchicalClassifier
+from tiercat.plans.classifier import HierarchicalClassifier
 from tiercat.streaming.scoring import score_stream
 
 from conftest import SF_SMALL

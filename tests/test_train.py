@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tiercat.operators import train as tr
 from tiercat.plans import fixtures as fx
-from tiercat.plans.pipeline import HierarchicalClassifier
+from tiercat.plans.classifier import HierarchicalClassifier
 
 from conftest import SF_MID
 

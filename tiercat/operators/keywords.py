@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
 
+# The reference's keyword defaults (top-n per direction, support and
+# dominance thresholds, the high-dominance escape).
 TOP_N = 40
 MIN_SUPPORT_CLASS = 3
 MIN_DOMINANCE = 0.05

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tiercat.functions.text import normalize_text, sublinear_tf, tokens, word_ngrams
 from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, small_rows
 
+# The reference's vectorizer defaults (minimum document frequency, cap).
 MIN_DF = 10
 MAX_FEATURES = 200_000
 

@@ -17,6 +17,7 @@ from tiercat.operators import prepare as prep
 from tiercat.operators.split import prepare_and_split
 from tiercat.sources.io import read_table
 
+# The reference's split seed and validation share.
 SEED = 42
 TEST_SIZE = 0.2
 

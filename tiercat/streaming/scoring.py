@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tiercat.plans.pipeline import HierarchicalClassifier
+from tiercat.plans.classifier import HierarchicalClassifier
 
 
 def score_stream(model: HierarchicalClassifier, stream: DataFrame, text: str = "clean_description",
