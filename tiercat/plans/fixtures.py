@@ -110,18 +110,23 @@ def _memo(spark: SparkSession, sf_dir: str, what: str, build):
     return _MEMO[key]
 
 
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
-    from tiercat.session import checkpoint_dir
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+def materialize(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it
+    back: the plan runs once, lineage is cut, a lost executor's partitions are re-read
+    from files, and later readers get column pruning and filter pushdown."""
+    import uuid
+    from tiercat.session import scratch_path
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def prepared_txn(spark: SparkSession, sf_dir: str) -> Prepared:
     def build():
         p = prepare(txn(spark, sf_dir), rare_threshold(sf_dir))
-        return Prepared(materialize(spark, p.rows), materialize(spark, p.categories),
-                        materialize(spark, p.subcategories))
+        return Prepared(materialize(spark, p.rows, "prepared"),
+                        materialize(spark, p.categories, "categories"),
+                        materialize(spark, p.subcategories, "subcategories"))
     return _memo(spark, sf_dir, "prepared_txn", build)
 
 
@@ -186,10 +191,10 @@ def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
                              "split")
         tf = materialize(spark, tfidf.term_frequencies(
             rows, "doc_id", "clean_description",
-            carry=("category_id", "subcategory_id", "split")))
+            carry=("category_id", "subcategory_id", "split")), "term_frequencies")
         n_train = int(p.split("train").count())
         model = tfidf.fit(tf.where(F.col("split") == "train"), n_train, min_df, max_features)
-        model.vocab = materialize(spark, model.vocab)
+        model.vocab = materialize(spark, model.vocab, "vocabulary")
         return TextFeatures(p, tf, model)
     return _memo(spark, sf_dir, f"text_features/{min_df}/{max_features}", build)
 
