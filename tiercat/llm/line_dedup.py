@@ -9,9 +9,10 @@ order of (key, line number). Shorter lines always stay.
 2. A screen that loses nothing: two different lines within one edit agree on all words of the
    first or of the second half (of their length, or of the shorter's), so a class has a
    partner only if one of its four half keys is shared by another class.
-3. The classes that pass emit all variants with one word deleted, as hashed keys. Lines
-   of n words that differ by a replacement share the variant with the same place deleted; a
-   line of n - 1 words is itself the variant of a longer line.
+3. The classes that pass emit all variants with one word deleted, as hashed keys, at the
+   places that the shared half leaves open. Lines of n words that differ by a replacement
+   share the variant with the same place deleted; a line of n - 1 words is itself the
+   variant of a longer line.
 4. Equal variants join through the earliest class of each key (an aggregate, never a list of
    a key's members): all members of a key are alike, so only the earliest decides.
 5. The words of a line and of the earlier one are compared: the edit distance is verified.
@@ -24,15 +25,13 @@ before all others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercat.llm.common import WORD, body, col, stored
 
 
-def _hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
-
-
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, words) of every line."""
     return (docs.select(col(key).alias("key"), F.posexplode(F.split(body(text), "\n")).alias("line", "raw"))
@@ -48,94 +47,117 @@ def hashed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
         # up the second half (for a longer line, one word lies between)
         a = F.floor(total / 2).cast("int")
         tag = total * 2
-        return [_hash(tag, F.slice(w, F.lit(1), a)),
-                _hash(tag + 1, F.slice(w, a + 1 + skipped, total - a))]
+        return [F.xxhash64(tag, F.slice(w, F.lit(1), a)),
+                F.xxhash64(tag + 1, F.slice(w, a + 1 + skipped, total - a))]
 
     base = lines(docs, key, text).withColumn("n", F.size("words")).where(n >= min_words)
     return base.select(
-        "key", "line", "n", _hash(w).alias("h1"), _hash(w, n).alias("h2"),
+        "key", "line", "n", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"),
         F.array(*halves(n, 0), *halves(n - 1, 1)).alias("halves"))
 
 
+def partnered(each: DataFrame) -> DataFrame:
+    """(h1, sides): the lines that share a half key with a different line, and which: 0, 1 with
+    a line of as many words whose first or second half is the same, 2, 3 with a line of one
+    word less, 4 with one of one word more."""
+    halves = each.select("h1", F.posexplode("halves").alias("side", "half"))
+    level = F.when(F.col("side") < 2, F.col("h1"))
+    shared = halves.groupBy("half").agg(
+        F.min(level).alias("a"), F.max(level).alias("b"), F.max("side").alias("top")) \
+        .where("a <> b OR (a IS NOT NULL AND top >= 2)") \
+        .select("half", (F.col("a") != F.col("b")).alias("equal"), (F.col("top") >= 2).alias("longer"))
+    met = halves.join(shared, "half").where("side >= 2 OR equal OR longer")
+    sides = F.when(F.col("side") >= 2, F.array("side")).otherwise(F.filter(
+        F.array(F.when(F.col("equal"), F.col("side")), F.when(F.col("longer"), F.lit(4))),
+        lambda x: x.isNotNull()))
+    return met.select("h1", F.explode(sides).alias("side")).groupBy("h1") \
+        .agg(F.collect_set("side").alias("sides"))
+
 
 def variants(candidates: DataFrame) -> DataFrame:
-    """(id, first, v, place, kind) of candidates (id, first, n, words): kind 's' meets lines of
-    as many words with the same place deleted, kind 'd' meets the line of one word less."""
-    w = candidates.select("id", "first", "n", F.posexplode("words").alias("place", "word"))
-    here, before = F.xxhash64("word", "place"), F.xxhash64("word", F.col("place") - 1)
-    line = Window.partitionBy("id")
+    """(no, v, role) of candidates (no, n, sides, words): hashes of the line without one word, at
+    the places that the shared halves leave open. Role s meets lines of as many words with the
+    same place deleted; x, a variant, meets y, the whole line of one word less."""
+    w = candidates.repartition("no").select(
+        "no", "n", "sides", F.posexplode("words").alias("place", "word")).select(
+        "no", "n", "sides", "place", F.xxhash64("word", "place").alias("here"),
+        F.xxhash64("word", F.col("place") - 1).alias("before"))
+    line = Window.partitionBy("no")
     run = line.orderBy("place")
-    w = (w.withColumn("head", F.coalesce(F.bit_xor(here).over(run.rowsBetween(Window.unboundedPreceding, -1)),
-                                         F.lit(0)))
-         .withColumn("run_tail", F.bit_xor(before).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("whole_tail", F.bit_xor(before).over(line))
-         .withColumn("whole", F.bit_xor(here).over(line)))
+    w = (w.withColumn("head", F.bit_xor("here").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("tail", F.bit_xor("before").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("all_tail", F.bit_xor("before").over(line)))
     # without the word at a place: words before it count with their place, words behind it with
     # the place before
-    left = F.col("head").bitwiseXOR(F.col("whole_tail")).bitwiseXOR(F.col("run_tail"))
-    cut = w.select("id", "first", "n", "place", left.alias("v"))
-    same = cut.select("id", "first", F.xxhash64(F.lit("s"), "n", "place", "v").alias("v"))
-    less = cut.select("id", "first", F.xxhash64(F.lit("d"), F.col("n") - 1, "v").alias("v"))
-    full = w.where("place = 0").select("id", "first", F.xxhash64(F.lit("d"), "n", "whole").alias("v"))
-    return (same.withColumn("role", F.lit("s")).unionByName(less.withColumn("role", F.lit("x")))
-            .unionByName(full.withColumn("role", F.lit("y"))))
+    x = lambda *c: reduce(lambda a, b: a.bitwiseXOR(b), c)
+    left = x(F.col("head"), F.col("here"), F.col("tail"), F.col("all_tail"))
+    has = lambda k: F.array_contains("sides", k)
+    n, place = F.col("n"), F.col("place")
+    half, less = F.floor(n / 2), F.floor((n - 1) / 2)
+    role = lambda name, when, *parts: F.when(
+        when, F.struct(F.xxhash64(*parts).alias("v"), F.lit(name).alias("role")))
+    found = F.array(
+        role("s", (has(0) & (place >= half)) | (has(1) & (place < half)), F.lit(0), n, place, left),
+        role("x", (has(2) & (place >= less)) | (has(3) & (place <= less)), F.lit(1), n - 1, left),
+        role("y", has(4) & (place == n - 1), F.lit(1), n, F.col("head")))
+    w = w.select("no", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r"))
+    return w.select("no", "r.v", "r.role")
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """Whether word lists a, b are within one word edit: the words left between their common
-    beginning and their common end are at most one on either side."""
+    """Whether word lists a, b are within one word edit: their common beginning and their common
+    end leave at most one word of the longer."""
     short = F.least(F.size(a), F.size(b))
-    differ = F.zip_with(F.slice(a, F.lit(1), short), F.slice(b, F.lit(1), short), lambda x, y: x != y)
-    tail_differ = F.zip_with(F.slice(F.reverse(a), F.lit(1), short), F.slice(F.reverse(b), F.lit(1), short),
-                             lambda x, y: x != y)
-    first = F.array_position(differ, True)
-    last = F.array_position(tail_differ, True)
-    head = F.when(first == 0, short.cast("long")).otherwise(first - 1)
-    tail = F.when(last == 0, short.cast("long")).otherwise(last - 1)
-    return head + tail >= F.greatest(F.size(a), F.size(b)) - 1
+    unlike = lambda p, q: F.array_position(F.zip_with(
+        F.slice(p, F.lit(1), short), F.slice(q, F.lit(1), short), lambda x, y: x != y), True)
+    alike = lambda at: F.when(at == 0, short.cast("long")).otherwise(at - 1)
+    return alike(unlike(a, b)) + alike(unlike(F.reverse(a), F.reverse(b))) \
+        >= F.greatest(F.size(a), F.size(b)) - 1
+
+
+def candidate_words(docs: DataFrame, key: str, text: str, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``chosen`` (key, line, ...) with the words of each line. At most ``broadcast_rows`` places
+    travel to the texts; more meet them by a shuffle."""
+    places = stored(chosen, "line-places")
+    small = places.limit(broadcast_rows + 1).count() <= broadcast_rows
+    at = places.groupBy("key").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "key"])).alias("at"))
+    d = docs.select(col(key).alias("doc_key"), body(text).alias("body"))
+    got = d.join(F.broadcast(at) if small else at, F.col("doc_key").eqNullSafe(F.col("key"))).select(
+        "key", F.split("body", "\n").alias("parts"), F.explode("at").alias("a"))
+    words = F.regexp_extract_all(F.get("parts", F.col("a.line")), F.lit(WORD), F.lit(0))
+    return got.select("key", "a.*", words.alias("words")).where(F.xxhash64("words") == F.col("h1"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
+                  broadcast_rows: int = 500_000) -> DataFrame:
     """(key, line) of every line that goes."""
     each = stored(hashed_lines(docs, key, text, min_words), "lines")
-    classes = stored(each.groupBy("n", "h1", "h2").agg(
-        F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.first("halves").alias("halves")), "line-classes")
-    halves = classes.select("h1", "h2", "first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-
-    # the words of the classes that have a partner, read at their first place
-    at = chosen.select(F.col("first.key").alias("key"), F.col("first.line").alias("line"), "h1", "h2")
-    places = at.groupBy("key").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("at"))
-    d = docs.select(col(key).alias("doc_key"), body(text).alias("body"))
-    got = d.join(places, F.col("doc_key").eqNullSafe(F.col("key"))).select(
-        "key", F.split("body", "\n").alias("all"), F.explode("at").alias("a"))
-    words = F.regexp_extract_all(F.get("all", F.col("a.line")), F.lit(WORD), F.lit(0))
-    got = got.select("key", "a.line", "a.h1", "a.h2", words.alias("words")) \
-        .where((_hash(F.col("words")) == F.col("h1")))
-    candidates = stored(got.select(
-        F.struct("h1", "h2").alias("id"), F.struct("key", "line").alias("first"),
-        F.size("words").alias("n"), "words").dropDuplicates(["id"]), "line-candidates")
-
-    v = variants(candidates)
-    low = v.groupBy("v").agg(
-        F.count(F.lit(1)).alias("m"),
-        F.min(F.struct("first", "id")).alias("any"),
-        F.min(F.when(F.col("role") == "y", F.struct("first", "id"))).alias("y")).where("m > 1")
-    met = v.join(low, "v").where(F.col("first") > F.col("any.first"))
-    # role x is alike to the line y only; roles s and y to the earliest of their key
-    pair = met.select("id", "first", F.when(F.col("role") == "x", F.col("y")).otherwise(F.col("any")).alias("e"))
-    pair = pair.where("e.first < first").select("id", F.col("e.id").alias("earlier")).distinct()
-    a = candidates.select("id", "words")
-    b = candidates.select(F.col("id").alias("earlier"), F.col("words").alias("words_b"))
-    near = (pair.join(a, "id").join(b, "earlier").where(_alike(F.col("words"), F.col("words_b")))
-            .select("id.h1", "id.h2").distinct())
-
-    marked = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left") \
-        .where("copies > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    classes = stored(each.groupBy("h1", "h2").agg(
+        F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    # the classes that have a partner, with their words, numbered in order of their first places
+    chosen = classes.join(partnered(each), "h1").select("first.key", "first.line", "h1", "h2", "sides")
+    got = candidate_words(docs, key, text, chosen, broadcast_rows).dropDuplicates(["h1", "h2"])
+    candidates = stored(got.repartitionByRange("key", "line").sortWithinPartitions("key", "line").select(
+        F.monotonically_increasing_id().alias("no"), "h1", "h2", "sides", F.size("words").alias("n"), "words"),
+        "line-candidates")
+
+    v = stored(variants(candidates), "line-variants")
+    low = v.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("no").alias("least"),
+                             F.min(F.when(F.col("role") == "y", F.col("no"))).alias("y")) \
+        .where("m > 1").drop("m")
+    # a variant is alike to the whole line y only; the others to the earliest of their key
+    earlier = F.when(F.col("role") == "x", F.col("y")).otherwise(F.col("least"))
+    pair = v.join(low, "v").select("no", earlier.alias("earlier")).where("earlier < no").distinct()
+    a = candidates.select("no", "h1", "h2", "words")
+    b = candidates.select(F.col("no").alias("earlier"), F.col("words").alias("words_b"))
+    near = (pair.join(a, "no").join(b, "earlier").where(_alike(F.col("words"), F.col("words_b")))
+            .select("h1", "h2").distinct().withColumn("near", F.lit(True)))
+
+    marked = classes.join(near, ["h1", "h2"], "left").where("copies > 1 OR near").select(
+        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     is_first = F.struct("key", "line").eqNullSafe(F.col("first"))
-    return each.join(marked, ["h1", "h2"]).where(F.col("near") | ~is_first).select("key", "line")
+    return each.select("key", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
+        .where(F.col("near") | ~is_first).select("key", "line")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
