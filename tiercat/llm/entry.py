@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash, sql
+from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash, sql, topk
 from tiercat.sources.io import read_table
 
 
@@ -42,12 +42,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer products of every 50th vector."""
+    return topk.search(read_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op4_source_mixing, op5_line_dedup, op7_simhash, op8_decontamination, pipeline)}
+    op1_quality_classifier, op4_source_mixing, op5_line_dedup, op7_simhash, op8_decontamination, op9_topk,
+    pipeline)}
 
 ORACLE_SQL = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
 if corpus_pipeline.ORACLE_SQL is not None:
