@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash, sql, topk
+from tiercat.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, sql, topk
 from tiercat.sources.io import read_table
 
 
@@ -47,12 +47,18 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    t = html_text.main_text(read_table(spark, sf_dir, "pages"))
+    return t.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op4_source_mixing, op5_line_dedup, op7_simhash, op8_decontamination, op9_topk,
+    op1_quality_classifier, op4_source_mixing, op5_line_dedup, op7_simhash, op8_decontamination, op9_topk, op10_html_text,
     pipeline)}
 
 ORACLE_SQL = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
