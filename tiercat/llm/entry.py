@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, sql, topk
+from tiercat.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, sql, suffix_dedup, token_count, topk
 from tiercat.sources.io import read_table
 
 
@@ -15,6 +15,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumnRenamed("key", "doc_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that repeat."""
+    d = suffix_dedup.dedup(read_table(spark, sf_dir, "documents"), length=400)
+    return d.select(
+        F.col("key").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     p = mixing.plan(read_table(spark, sf_dir, "documents"))
@@ -29,6 +37,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: at a quarter of the text five
+    characters are replaced, at a half words are put in, at three quarters twelve are dropped."""
+    d = read_table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    edits = F.array(*[
+        F.struct(F.floor(n * share / 4).alias("at"), F.lit(drop).cast("long").alias("drop"),
+                 F.coalesce(put, F.lit("")).alias("put"))
+        for share, drop, put in ((1, 5, F.lit("x1 ")), (2, 0, F.concat(F.lit(" "), F.col("source"), F.lit(" "))),
+                                 (3, 12, F.lit("")))])
+    t = token_count.recount(d, edits)
+    return t.select(F.col("key").alias("doc_id"), "n_pieces", "n_tokens", "n_after", "n_encoded")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     n = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -58,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op4_source_mixing, op5_line_dedup, op7_simhash, op8_decontamination, op9_topk, op10_html_text,
+    op1_quality_classifier, op2_suffix_dedup, op4_source_mixing, op5_line_dedup, op6_token_counts,
+    op7_simhash, op8_decontamination, op9_topk, op10_html_text,
     pipeline)}
 
 ORACLE_SQL = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
