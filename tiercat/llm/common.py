@@ -47,6 +47,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into rows of about ``size`` bytes, so a task holds few texts as objects."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def lower_words(raw: bytes) -> list[bytes]:
     """Words after lower-casing A-Z: bytes.lower and bytes.split know ASCII only, and the
     white space that split knows is exactly 0x20 and 0x09-0x0D."""

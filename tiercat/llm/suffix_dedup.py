@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tiercat.llm.common import body, col, stored, texts_of, whole_groups
+from tiercat.llm.common import body, col, parts, stored, texts_of, whole_groups
 
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 20
@@ -113,6 +114,32 @@ class Dealer:
         return (rows, place, end - begin, anchor[first] - begin, h[anchor[first]].view(np.int64),
                 content[:, 0], content[:, 1])
 
+    @staticmethod
+    def once(rows, place, size, off, h, c1, c2):
+        """The runs with those of equal bytes in one text told once, and the ranges of all that a
+        text holds twice: a text that repeats a short phrase has thousands of equal runs."""
+        order = np.lexsort((place, c2, c1, rows))
+        r, a, b = rows[order], c1[order], c2[order]
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (r[1:] == r[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        again = np.zeros(len(order), bool)
+        again[order] = same[:-1] | same[1:]
+        first = np.zeros(len(order), bool)
+        first[order] = ~same[:-1]
+        at = np.flatnonzero(again)
+        at = at[np.lexsort((place[at], rows[at]))]
+        owner, begin, end = rows[at], place[at], place[at] + size[at]
+        # runs of a text stand in order and end in order, so a gap is where one begins past the last end
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (begin[1:] > end[:-1])
+        i = np.flatnonzero(new)
+        j = np.append(i[1:], len(at))[:len(i)] - 1
+        zero = np.zeros(len(i), np.int64)
+        known = (owner[i], begin[i], end[j] - begin[i], zero, zero, zero, zero)
+        keep = np.flatnonzero(first)
+        return [np.concatenate([x[keep], y]) for x, y in zip((rows, place, size, off, h, c1, c2), known)], \
+            np.arange(len(keep) + len(i)) >= len(keep)
+
     @staticmethod
     def _sliding(x: np.ndarray, w: int) -> np.ndarray:
         """Minimum of every w neighbours, from running minima within blocks of w."""
@@ -128,21 +155,23 @@ class Dealer:
 
 
 def runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(key, tid, place, size, off, h, c1, c2) of ``texts`` (key, tid, body)."""
+    """(key, tid, place, size, off, h, c1, c2, known) of ``texts`` (key, tid, body): runs, and (known)
+    ranges that one text alone shows to repeat."""
     def run(batches):
         dealer = Dealer(length, anchor)
-        for b in batches:
+        for b in parts(batches):
             for group in dealer.pieces(texts_of(b.column(2))):
-                rows, *rest = dealer.runs(group)
+                (rows, *rest), known = dealer.once(*dealer.runs(group))
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), b.column(1).take(at)]
-                    + [pa.array(x.astype(t)) for x, t in zip(rest, "i8 i4 i4 i8 i8 i8".split())],
-                    ["key", "tid", "place", "size", "off", "h", "c1", "c2"])
+                    + [pa.array(x.astype(t)) for x, t in zip(rest, "i8 i8 i4 i8 i8 i8".split())]
+                    + [pa.array(known)],
+                    ["key", "tid", "place", "size", "off", "h", "c1", "c2", "known"])
 
     kind = texts.schema["key"].dataType.simpleString()
     return texts.select("key", "tid", "body").mapInArrow(
-        run, f"key {kind}, tid long, place long, size int, off int, h long, c1 long, c2 long")
+        run, f"key {kind}, tid long, place long, size long, off int, h long, c1 long, c2 long, known boolean")
 
 
 class Suffixes:
@@ -273,17 +302,15 @@ class Suffixes:
 
 def _fetched(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``classes`` (h, c1, c2, at: key, tid, place, size, off) with their bytes: one run per class is
-    cut from its text."""
+    cut from its text. Rows that repeat key and text bring the same classes again."""
     at = classes.select(F.col("at.key").alias("k"), F.col("at.tid").alias("t"), F.struct(
         F.col("at.place").alias("place"), F.col("at.size").alias("size"), F.col("at.off").alias("off"),
         "h", "c1", "c2").alias("r"))
     at = at.groupBy("k", "t").agg(F.collect_list("r").alias("r"))
     d = texts.join(at, F.col("key").eqNullSafe(F.col("k")) & (F.col("tid") == F.col("t"))).select("body", "r")
-    # rows that repeat key and text bring the same classes again
-    cut = d.select("body", F.explode("r").alias("r")).select(
+    return d.select("body", F.explode("r").alias("r")).select(
         "r.h", "r.c1", "r.c2", "r.off",
-        F.substring(F.col("body"), (F.col("r.place") + 1).cast("int"), F.col("r.size")).alias("bytes"))
-    return cut.dropDuplicates(["h", "c1", "c2"])
+        F.substring(F.col("body"), (F.col("r.place") + 1).cast("int"), F.col("r.size").cast("int")).alias("bytes"))
 
 
 def _sorted_out(pieces: DataFrame, length: int) -> DataFrame:
@@ -294,11 +321,14 @@ def _sorted_out(pieces: DataFrame, length: int) -> DataFrame:
         for table in whole_groups(batches, "h"):
             h = table.column("h").to_numpy()
             c1, c2 = table.column("c1").to_numpy(), table.column("c2").to_numpy()
+            _, single = np.unique(np.stack([h, c1, c2]), axis=1, return_index=True)
+            table = table.take(pa.array(np.sort(single)))
+            h, c1, c2 = (table.column(x).to_numpy() for x in ("h", "c1", "c2"))
             off = table.column("off").to_numpy().astype(np.int64)
-            raw = table.column("bytes").to_pylist()
-            for a, b in _slices(h, [len(x) for x in raw]):
-                found = Suffixes(raw[a:b], h[a:b], off[a:b], length).repeated()
-                rows = [(a + u, *r) for u, rs in found.items() for r in rs]
+            for a, b in _slices(h, pc.binary_length(table.column("bytes")).to_numpy()):
+                raw = table.column("bytes").slice(a, b - a).to_pylist()
+                found = Suffixes(raw, h[a:b], off[a:b], length).repeated()
+                rows = [(a + u, *r) for u, rs in found.items() for r in merged(rs)]
                 if rows:
                     u, first, end = (np.array(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays(
@@ -307,12 +337,23 @@ def _sorted_out(pieces: DataFrame, length: int) -> DataFrame:
     return p.mapInArrow(run, "c1 long, c2 long, a long, b long")
 
 
-def _slices(h: np.ndarray, sizes: list[int], most: int = 1 << 21):
+def merged(ranges) -> list[tuple[int, int]]:
+    """The union of ranges as maximal ranges in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def _slices(h: np.ndarray, sizes: np.ndarray, most: int = 1 << 21):
     """Ranges of rows with whole groups and about ``most`` bytes, which bounds the sort's memory."""
     cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1])).tolist() + [len(h)]
     a, held = 0, 0
     for x, y in zip(cuts, cuts[1:]):
-        n = sum(sizes[x:y])
+        n = int(sizes[x:y].sum())
         if held and held + n > most:
             yield a, x
             a, held = x, 0
@@ -325,14 +366,15 @@ def repeats(texts: DataFrame, length: int = 400, anchors: tuple[int, ...] = (64,
             most_classes: int = 1024) -> DataFrame:
     """(key, tid, a, b): byte ranges of ``texts`` (key, tid, body binary) that go; ranges overlap."""
     anchor = min(anchors[0], length) if anchors else length
-    r = stored(runs(texts, length, anchor), "runs")
+    dealt = stored(runs(texts, length, anchor), "runs")
+    r = dealt.where("NOT known").drop("known")
     many = r.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"),
                               F.min("c2").alias("lo2"), F.max("c2").alias("hi2")).where("n > 1") \
         .select("h", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("same"))
     met = stored(r.join(many, "h"), "met-runs")
     span = lambda d: d.select(
         "key", "tid", F.col("place").alias("a"), (F.col("place") + F.col("size")).alias("b"))
-    out = span(met.where("same"))
+    out = span(dealt.where("known")).unionByName(span(met.where("same")))
     mixed = met.where("NOT same")
     classes = stored(mixed.groupBy("h", "c1", "c2").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -343,13 +385,14 @@ def repeats(texts: DataFrame, length: int = 400, anchors: tuple[int, ...] = (64,
         return out
     crowds = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_classes).select("h")
     crowds = stored(crowds, "crowds")
-    parts = [_sorted_out(_fetched(texts, classes.join(crowds, "h", "left_anti")), length)]
+    pieces = stored(_fetched(texts, classes), "run-bytes")
+    found = [_sorted_out(pieces.join(crowds, "h", "left_anti"), length)]
     if not crowds.isEmpty():
-        crowd = stored(_fetched(texts, classes.join(crowds, "h", "left_semi")), "crowd-runs")
+        crowd = stored(pieces.join(crowds, "h", "left_semi").dropDuplicates(["c1", "c2"]), "crowd-runs")
         deeper = repeats(crowd.select(F.col("c1").alias("key"), F.col("c2").alias("tid"), F.col("bytes").alias("body")),
                          length, anchors[1:], most_classes)
-        parts.append(deeper.select(F.col("key").alias("c1"), F.col("tid").alias("c2"), "a", "b"))
-    for part in parts:
+        found.append(deeper.select(F.col("key").alias("c1"), F.col("tid").alias("c2"), "a", "b"))
+    for part in found:
         ranges = part.groupBy("c1", "c2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
         hit = mixed.join(ranges, ["c1", "c2"]).select("key", "tid", "place", F.explode("ranges").alias("x"))
         out = out.unionByName(hit.select(
@@ -371,21 +414,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             spans, kept, sizes = [], [], []
             for raw, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                merged: list[list[int]] = []
-                for r in ranges or ():
-                    if merged and r["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["b"])
-                    else:
-                        merged.append([r["a"], r["b"]])
+                gone = merged((r["a"], r["b"]) for r in ranges or ())
                 at, left = 0, []
-                for x, y in merged:
+                for x, y in gone:
                     left.append(raw[at:x])
                     at = y
-                spans.append([{"first": x, "end": y} for x, y in merged])
-                kept.append(b"".join(left) + raw[at:] if merged else raw)
+                spans.append([{"first": x, "end": y} for x, y in gone])
+                kept.append(b"".join(left) + raw[at:] if gone else raw)
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
