@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tiercat.llm.common import body, col, stored, texts_of
+from tiercat.llm.common import body, col, parts, stored, texts_of
 
 
 def normal(raw: bytes) -> str:
@@ -143,9 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     def one(block):
         def run(batches):
             m = Matcher(block, errors)
-            kind = None
-            for b in batches:
-                kind = b.column(0).type
+            for b in parts(batches):
                 hits = [(i, *x) for i, t in enumerate(texts_of(b.column(1))) for x in m.matches(normal(t))]
                 if not hits:
                     continue

@@ -24,7 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tiercat.llm.common import col, stored
+from tiercat.llm.common import col, parts, stored
 
 # HTML's elements by their part in a page.
 RAW = "script|style|textarea|title|iframe|noscript|noframes|template|xmp|svg|math|object|select"
@@ -205,7 +205,7 @@ def consensus(pages: DataFrame, url: str = "url", html: str = "html", winners: i
     d = pages.select(host(url).alias("host"), col(html).cast("string").alias("html")).where("host IS NOT NULL")
 
     def vote(batches):
-        for b in batches:
+        for b in parts(batches):
             votes = [best_path(blocks(h or "")) for h in b.column(1).to_pylist()]
             paths, weights = zip(*votes) if votes else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -232,7 +232,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in ("key", "url"))
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = [extract(h or "", p or []) for h, p in
                      zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tiercat.llm import gam
-from tiercat.llm.common import col, fold, stored, texts_of
+from tiercat.llm.common import col, fold, parts, stored, texts_of
 
 FEATURES = ("log_words", "word_len", "long_word", "distinct", "twin", "upper", "title", "digit",
             "space", "mark", "odd_mark", "shout", "wide", "end", "comma", "line_words",
@@ -62,7 +62,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = f"key {d.schema['key'].dataType.simpleString()}, fold long, x array<float>"
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             x = [features(t) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32()))], ["key", "fold", "x"])

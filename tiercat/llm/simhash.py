@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tiercat.llm.common import col, lower_words, stored, texts_of, whole_groups
+from tiercat.llm.common import col, lower_words, parts, stored, texts_of, whole_groups
 from tiercat.llm.components import components
 
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     d = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts_of(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 

@@ -26,7 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tiercat.llm.common import col
+from tiercat.llm.common import col, parts
 
 # The public byte-level BPE's pre-token pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +164,7 @@ def recount(docs: DataFrame, edits: Column, key: str = "doc_id", text: str = "te
 
     def run(batches):
         counter = Counter(ranks)
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for t, es in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 t = t or ""
