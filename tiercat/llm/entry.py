@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, sql, suffix_dedup, token_count, topk
+from tiercat.llm import decontaminate, html_text, line_dedup, lm, mixing, quality, simhash, sql, suffix_dedup, token_count, topk
 from tiercat.sources.io import read_table
 
 
@@ -23,6 +23,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return lm.scores(read_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     p = mixing.plan(read_table(spark, sf_dir, "documents"))
@@ -80,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_suffix_dedup, op4_source_mixing, op5_line_dedup, op6_token_counts,
+    op1_quality_classifier, op2_suffix_dedup, op3_lm_scores,
+    op4_source_mixing, op5_line_dedup, op6_token_counts,
     op7_simhash, op8_decontamination, op9_topk, op10_html_text,
     pipeline)}
 
