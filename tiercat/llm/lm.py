@@ -23,6 +23,8 @@ texts all counts are 0 and the model is uniform over its classes.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,7 +49,7 @@ def word_counts(texts: DataFrame, held_fold: int, rare: int, held: int = 200_000
     """(word, kind, n) over the training texts (text, fold): tasks add up what they meet, and hand on
     their sums before they hold more than ``held`` words."""
     def run(batches):
-        tally: dict[bytes, int] = {}
+        tally: Counter[bytes] = Counter()
 
         def told():
             words = list(tally)
@@ -57,12 +59,10 @@ def word_counts(texts: DataFrame, held_fold: int, rare: int, held: int = 200_000
             tally.clear()
             return out
 
-        get = tally.get
         for b in parts(batches):
             for t in texts_of(b.column(0)):
-                for w in lower_words(t):
-                    tally[w] = get(w, 0) + 1
-            tally[END] = get(END, 0) + b.num_rows
+                tally.update(lower_words(t))
+            tally[END] += b.num_rows
             if len(tally) > held:
                 yield told()
         if tally:
@@ -134,8 +134,7 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary, held_fold: int) -> DataFra
             for t in texts_of(b.column(3)):
                 said = lower_words(t)
                 said.append(END)
-                at = [get(w, -1) for w in said]
-                a = np.array(at, np.int64)
+                a = np.fromiter(map(get, said, repeat(-1)), np.int64, len(said))
                 known = a >= 0
                 out, extra, tail = np.empty(len(a), np.uint16), 0.0, {}
                 if not known.all():
