@@ -122,37 +122,40 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary, held_fold: int) -> DataFra
     ids = np.where(np.arange(len(v.words)) < v.model_words, np.arange(len(v.words)), v.model_words + classes)
     beside = np.where(np.arange(len(v.words)) < v.model_words, 0.0, logs - np.log10(v.rare_mass)[classes])
     held = spark.sparkContext.broadcast((v.words, ids.astype(np.uint16), logs, beside))
-    rare, first, mass = v.rare, v.model_words, np.log10(v.rare_mass).tolist()
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    rare, first, mass = v.rare, v.model_words, np.log10(v.rare_mass)
 
     def run(batches):
         words, ids_, logs_, beside_ = held.value
         place = {w: i for i, w in enumerate(words)}
-        get = place.get
+        get, crc = place.get, zlib.crc32
         for b in parts(batches):
-            rows = []
+            rows, tail_words, tail_n, ends = [], [], [], [0]
             for t in texts_of(b.column(3)):
                 said = lower_words(t)
                 said.append(END)
                 a = np.fromiter(map(get, said, repeat(-1)), np.int64, len(said))
                 known = a >= 0
-                out, extra, tail = np.empty(len(a), np.uint16), 0.0, {}
+                out, extra = np.empty(len(a), np.uint16), 0.0
                 if not known.all():
-                    for i in np.flatnonzero(~known).tolist():
-                        w = said[i]
-                        k = rare_class(w, rare)
-                        out[i] = first + k
-                        extra -= mass[k]
-                        tail[w] = tail.get(w, 0) + 1
+                    at = np.flatnonzero(~known)
+                    missed = [said[i] for i in at.tolist()]
+                    kinds = [crc(w[-2:]) % rare for w in missed]
+                    out[at] = np.array(kinds, np.uint16) + first
+                    extra = -float(mass[kinds].sum())
+                    tail = Counter(missed)
+                    tail_words += tail
+                    tail_n += tail.values()
+                ends.append(len(tail_words))
                 inside = a[known]
                 out[known] = ids_[inside]
                 rows.append((len(a), len(inside), float(logs_[inside].sum()),
-                             float(beside_[inside].sum()) + extra, out.tobytes(),
-                             [{"word": w, "n": n} for w, n in tail.items()]))
+                             float(beside_[inside].sum()) + extra, out.tobytes()))
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2)] + [pa.array(x, kind) for x, kind in zip(
-                    zip(*rows) if rows else [()] * 6,
-                    (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), tail_type))],
+                    zip(*rows) if rows else [()] * 5,
+                    (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))] + [tails],
                 ["key", "fold", "share", "n_tokens", "n_known", "logs", "rare_logs", "ids", "tail"])
 
     kind = texts.schema["key"].dataType.simpleString()
