@@ -18,12 +18,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash  # noqa: E402
-from tiercat.llm.common import stored  # noqa: E402
+from tiercat.llm.common import WORD, stored  # noqa: E402
 from tiercat.sources.io import read_table  # noqa: E402
 
 # The classifier cannot be written in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
+# Lines of fewer words are not judged by the line stage.
+MIN_WORDS = 5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.3) go."""
@@ -31,12 +34,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines alike to an earlier line go, and with them texts of which no line is left; n_chars
-    follows the text. Texts that were empty before stay."""
-    d = line_dedup.dedup_lines(docs)
-    d = d.where("__removed = 0 OR length(text) > 0")
+    """Lines alike to an earlier line go, and with them texts that lose lines and keep none of five
+    words (what is left of a copy); n_chars follows the text. Texts that lose nothing stay."""
+    d = line_dedup.dedup_lines(docs, min_words=MIN_WORDS)
+    d = d.where((F.col("__removed") == 0) | F.exists(
+        F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(WORD)) >= MIN_WORDS))
     return d.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long"))
-                        .otherwise(F.col("n_chars"))).select(*docs.columns)
+                        .otherwise(F.col("n_chars"))).drop("__lines", "__removed")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
