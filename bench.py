@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import time
 
@@ -54,7 +55,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
-        "sf": float(fx.scale_of(sf_dir)),
+        "sf": float((re.search(r"sf([0-9.]+)", sf_dir) or [0, "0"])[1].rstrip(".")),
     }))
 
 

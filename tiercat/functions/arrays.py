@@ -62,7 +62,19 @@ def top_k(p: Column, k: int = 3, allowed: Column | None = None,
 def l2_normalize(v: Column) -> Column:
     """divide by the Euclidean norm; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
+    return _by_one(v, norm, lambda x, n: F.when(n > 0, x / n).otherwise(x.cast("double")))
+
+
+def _by_one(v: Column, value: Column, f) -> Column:
+    # a lambda that names ``value`` would evaluate it for every element; repeated beside the
+    # vector it is evaluated once a row
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), f)
+
+
+def softmax(v: Column) -> Column:
+    """Probabilities from margins, in time linear in the number of classes."""
+    e = _by_one(v, F.array_max(v), lambda x, top: F.exp(x - top))
+    return _by_one(e, F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda x, s: x / s)
 
 
 def decode(ids: Column, names: list[str]) -> Column:

@@ -11,9 +11,10 @@ grid.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
 
 # The reference's keyword defaults (top-n per direction, support and
 # dominance thresholds, the high-dominance escape).
@@ -28,22 +29,28 @@ def class_sizes(docs: DataFrame, cls: str) -> DataFrame:
     return docs.groupBy(F.col(cls).alias("class_id")).agg(F.count(F.lit(1)).alias("n_class"))
 
 
-def term_statistics(presence: DataFrame, docs: DataFrame, cls: str,
-                    max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``(class_id, term, support_class, support_total, n_class, dominance,
-    p_in_class)`` for every observed (class, term) pair.
+def pair_supports(presence: DataFrame, levels) -> DataFrame:
+    """``(*levels, term, n)``: documents per combination of labels and term, the one pass over the
+    presence rows that every level's statistics are sums of."""
+    return presence.groupBy(*levels, "term").agg(F.count(F.lit(1)).alias("n"))
+
 
-    support_class is a (class, term)-keyed count with map-side partial aggregation;
-    support_total is a window over the much smaller per-pair frame; n_class comes from a
-    broadcast of one row per class."""
-    pairs = presence.select(F.col(cls).alias("class_id"), "term")
-    sc = pairs.groupBy("class_id", "term").agg(F.count(F.lit(1)).alias("support_class"))
-    sc = sc.withColumn("support_total", F.sum("support_class").over(Window.partitionBy("term")))
-    st = sc.join(bounded_broadcast(class_sizes(docs, cls), max_classes), "class_id", "inner")
+def level_statistics(supports: DataFrame, sizes: DataFrame, cls: str) -> DataFrame:
+    """A13 of one level from :func:`pair_supports`: ``(class_id, term, support_class,
+    support_total, n_class, dominance, p_in_class)`` for every observed (class, term) pair.
+    Both counts are sums of the small frame; no window gathers a term's rows."""
+    sc = supports.groupBy(F.col(cls).alias("class_id"), "term").agg(F.sum("n").alias("support_class"))
+    total = supports.groupBy("term").agg(F.sum("n").alias("support_total"))
+    st = sc.join(total, "term").join(sizes, "class_id")
     return (st.withColumn("dominance", F.col("support_class") / F.col("support_total"))
               .withColumn("p_in_class", F.col("support_class") / F.col("n_class")))
 
 
+def term_statistics(presence: DataFrame, docs: DataFrame, cls: str) -> DataFrame:
+    """A13 of one level straight from the presence rows."""
+    return level_statistics(pair_supports(presence, [cls]), class_sizes(docs, cls), cls)
+
+
 def top_terms(weights: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """Per class the ``top_n`` largest weights ('include', weight desc, term asc) and
     the ``top_n`` smallest ('exclude', weight asc, term asc). Signs are not checked (T9).
@@ -59,14 +66,12 @@ def top_terms(weights: DataFrame, top_n: int = TOP_N) -> DataFrame:
     return a.unionByName(b)
 
 
-def candidate_statistics(cands: DataFrame, stats: DataFrame, docs: DataFrame, cls: str,
-                         max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def candidate_statistics(cands: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
     """J7 + J8: statistics of each ranked candidate. A candidate keeps support 0 when its
     term occurs in training documents of other classes only; it is dropped when the term
     occurs nowhere in training (no statistics) or its class has no documents."""
     totals = stats.select("term", "support_total").distinct()
     pair = stats.select("class_id", "term", "support_class")
-    sizes = bounded_broadcast(class_sizes(docs, cls), max_classes)
     j = (cands.join(pair, ["class_id", "term"], "left")
               .join(totals, "term", "inner")
               .join(sizes, "class_id", "inner"))
@@ -87,45 +92,66 @@ def keep_predicate(min_support_class: int = MIN_SUPPORT_CLASS,
 def keywords(weights: DataFrame, presence: DataFrame, docs: DataFrame, cls: str,
              top_n: int = TOP_N, apply_filtering: bool = True,
              min_support_class: int = MIN_SUPPORT_CLASS,
-             min_dominance: float = MIN_DOMINANCE, stats: DataFrame | None = None) -> DataFrame:
+             min_dominance: float = MIN_DOMINANCE, stats: DataFrame | None = None,
+             sizes: DataFrame | None = None) -> DataFrame:
     """Rank first, then filter (T9): ``(class_id, direction, rank, term, weight
     [, support_class, dominance])``. Without filtering the ranked lists are returned.
-    ``stats`` may pass already computed :func:`term_statistics`."""
+    ``stats`` and ``sizes`` may pass already computed statistics and class sizes."""
     cands = top_terms(weights, top_n)
     if not apply_filtering:
         return cands.select("class_id", "direction", "rank", "term", "weight")
     if stats is None:
         stats = term_statistics(presence, docs, cls)
-    c = candidate_statistics(cands, stats, docs, cls)
+    c = candidate_statistics(cands, stats, class_sizes(docs, cls) if sizes is None else sizes)
     return (c.where(keep_predicate(min_support_class, min_dominance))
              .select("class_id", "direction", "rank", "term", "weight", "support_class",
                      "dominance"))
 
 
-def keyword_totals(kw: DataFrame, level: str = "level") -> DataFrame:
-    """Classes with any keyword, include and exclude counts per level."""
-    return kw.groupBy(level).agg(
-        F.countDistinct("class_id").alias("n_classes"),
+def keyword_totals(kw: DataFrame, names: DataFrame, level: str = "level") -> DataFrame:
+    """Classes, include and exclude counts per level. ``names`` is (level, class_id) of all
+    classes: one without keywords counts as well."""
+    n = names.groupBy(level).agg(F.countDistinct("class_id").alias("n_classes"))
+    k = kw.groupBy(level).agg(
         F.count_if(F.col("direction") == "include").alias("n_include"),
         F.count_if(F.col("direction") == "exclude").alias("n_exclude"))
+    none = F.lit(0).cast("long")
+    return n.join(k, level, "left").select(
+        level, "n_classes", F.coalesce("n_include", none).alias("n_include"),
+        F.coalesce("n_exclude", none).alias("n_exclude"))
+
+
+def keyword_lists(kw: DataFrame, names: DataFrame) -> DataFrame:
+    """F15 + F11: ``(class_name, include, exclude)`` for every class of ``names`` (name, id), lists
+    in rank order, empty where a class has no keyword; dominance rounded to 3 digits. Keywords
+    without statistics (no filtering) have term and weight only. Lists hold at most 2 x top_n rows."""
+    fields = [F.col(c) for c in ("rank", "term", "weight")]
+    if "support_class" in kw.columns:
+        fields += [F.col("support_class"), F.round(F.col("dominance"), 3).alias("dominance")]
+    item = F.struct(*fields)
+    per = kw.groupBy("class_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("direction") == d, item))).alias(d)
+        for d in ("include", "exclude")])
+    n = names.select(F.col(names.columns[1]).alias("class_id"),
+                     F.col(names.columns[0]).alias("class_name"))
+    lists = []
+    for d in ("include", "exclude"):
+        empty = F.array().cast(per.schema[d].dataType)
+        lists.append(F.transform(F.coalesce(d, empty), lambda z: z.dropFields("rank")).alias(d))
+    return n.join(per, "class_id", "left").select("class_name", *lists)
 
 
 def keyword_documents(kw: DataFrame, names: DataFrame, level: str) -> DataFrame:
-    """F15 + F11: one JSON object per class, ``{"include": [...], "exclude": [...]}`` with
-    dominance rounded to 3 digits, plus its level and class name (S8 writes these lines).
-
-    Lists are built per class from at most 2 × top_n rows, in rank order."""
-    item = F.struct(F.col("rank"), F.col("term"), F.col("weight"),
-                    F.col("support_class"), F.round(F.col("dominance"), 3).alias("dominance"))
-    per = kw.groupBy("class_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("direction") == "include", item)))
-        .alias("inc"),
-        F.array_sort(F.collect_list(F.when(F.col("direction") == "exclude", item)))
-        .alias("exc"))
-    strip = lambda arr: F.transform(arr, lambda z: z.dropFields("rank"))
-    n = names.select(F.col(names.columns[1]).alias("class_id"),
-                     F.col(names.columns[0]).alias("class_name"))
-    doc = F.struct(strip(F.col("inc")).alias("include"), strip(F.col("exc")).alias("exclude"))
-    return (n.join(per, "class_id", "left")
-             .select(F.lit(level).alias("level"), "class_name",
-                     F.to_json(doc).alias("keywords")))
+    """S8 rows: ``(level, class_name, keywords)``, one JSON object per class."""
+    return keyword_lists(kw, names).select(
+        F.lit(level).alias("level"), "class_name",
+        F.to_json(F.struct("include", "exclude")).alias("keywords"))
+
+
+def keyword_file(documents: DataFrame, metadata: dict) -> DataFrame:
+    """The whole keyword document as JSON lines ``(section, level, class_name, keywords)``: the
+    metadata line first, then one line per level and class."""
+    meta = documents.sparkSession.createDataFrame(
+        [("metadata", None, None, json.dumps(metadata))],
+        "section string, level string, class_name string, keywords string")
+    return meta.unionByName(documents.withColumn("section", F.lit("classes")))

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tiercat.functions.arrays import argmax, masked_argmax
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
 
 
 def _safe_div(num, den):
@@ -30,7 +28,7 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 def class_report(df: DataFrame, y: str, p: str, label: str = "label") -> DataFrame:
     """A15 + U1: per label of truth ∪ prediction: tp, support, predicted, precision,
     recall, f1 (0 on zero denominators)."""
-    conf = confusion(df, y, p).cache()
+    conf = confusion(df, y, p)
     sup = conf.groupBy(F.col(y).alias(label)).agg(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col(y) == F.col(p), F.col("n")).otherwise(0)).alias("tp"))
@@ -71,24 +69,35 @@ def joint_accuracy(df: DataFrame, y1: str, p1: str, y2: str, p2: str) -> DataFra
     return df.agg(F.avg(ok.cast("double")).alias("joint_accuracy"))
 
 
-def hierarchical_predictions(scored: DataFrame, cmap: DataFrame, cat_prob: str = "cat_prob",
-                             sub_prob: str = "sub_prob",
-                             max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """M5 on probability arrays: predicted category (argmax), its allowed subcategory ids
-    (J4: broadcast left join, missing -> no mask) and the best allowed subcategory."""
-    m = cmap.select(F.col("category_id").alias("pred_category_id"),
-                    F.col("sub_ids").alias("allowed"))
-    with_cat = scored.withColumn("pred_category_id", argmax(F.col(cat_prob)))
-    j = with_cat.join(bounded_broadcast(m, max_classes), "pred_category_id", "left")
-    return j.withColumn("pred_subcategory_id", masked_argmax(F.col(sub_prob), F.col("allowed")))
+def median_of(df: DataFrame, value: str, buckets: int = 65_536) -> DataFrame:
+    """Exact median of a column of probabilities, one row, without gathering the column: a histogram
+    over equal steps of [0, 1] tells the steps that hold the middle ranks, and only the
+    distinct values of those steps are put in order. Values outside [0, 1] fall in the outer
+    steps; nulls do not count."""
+    step = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("v") * buckets))).cast("int")
+    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    v = v.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("step", step)
+    hist = v.groupBy("step").agg(F.sum("n").alias("n"))
+    up = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy(F.lit(1))
+    hist = hist.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(everything))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    middle = hist.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select(
+        "step", (F.col("upto") - F.col("n")).alias("before"), low.alias("low"), high.alias("high"))
+    w = Window.partitionBy("step").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = v.join(middle, "step").withColumn("upto", F.sum("n").over(w) + F.col("before"))
+    reach = lambda rank: F.min(F.when(F.col("upto") >= F.col(rank), F.col("v")))
+    return r.agg(((reach("low") + reach("high")) / 2).alias("median"))
 
 
 def confidence_summary(df: DataFrame, prob: str) -> DataFrame:
     """A20 + F10: mean, exact median, min and max of the per-row maximum probability."""
-    c = F.array_max(F.col(prob))
-    return df.select(c.alias("conf")).agg(
-        F.avg("conf").alias("mean"), F.median("conf").cast("double").alias("median"),
-        F.min("conf").alias("min"), F.max("conf").alias("max"))
+    conf = df.select(F.array_max(F.col(prob)).alias("conf"))
+    rest = conf.agg(F.avg("conf").alias("mean"), F.min("conf").alias("min"), F.max("conf").alias("max"))
+    # two one-row frames, paired by a join on a constant
+    one = F.lit(1).alias("one")
+    return rest.select("*", one).join(median_of(conf, "conf").select("*", one), "one") \
+        .select("mean", "median", "min", "max")
 
 
 def low_confidence(df: DataFrame, prob: str, threshold: float = 0.5) -> DataFrame:

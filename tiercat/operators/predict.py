@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tiercat.functions.arrays import argmax, decode, masked_argmax, top_k
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
 
 
-def with_allowed(df: DataFrame, cmap: DataFrame, cat_id: str = "pred_category_id",
-                 max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def with_allowed(df: DataFrame, cmap: DataFrame, cat_id: str = "pred_category_id") -> DataFrame:
     """Allowed subcategory ids of the predicted category (left join: missing -> null,
     which means no mask)."""
     m = cmap.select(F.col("category_id").alias(cat_id), F.col("sub_ids").alias("allowed"))
-    return df.join(bounded_broadcast(m, max_classes), cat_id, "left")
+    return df.join(m, cat_id, "left")
 
 
 def hierarchical(df: DataFrame, cmap: DataFrame, cat_prob: str = "cat_prob",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tiercat.functions.text import strip_ws
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, small_rows
+from tiercat.plans.broadcast import small_rows
 
 TEXT, TYPE, CATEGORY, SUBCATEGORY = "clean_description", "type", "category", "sub_category"
 CATEGORY_ID, SUBCATEGORY_ID = "category_id", "subcategory_id"
@@ -50,12 +50,11 @@ def class_sizes(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def filter_rare(df: DataFrame, col: str = SUBCATEGORY, min_count: int = 100,
-                max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def filter_rare(df: DataFrame, col: str = SUBCATEGORY, min_count: int = 100) -> DataFrame:
     """Keep rows whose class has at least ``min_count`` rows (left semi join against the
     frequent-class set, broadcast after its size is checked)."""
     keep = class_sizes(df, col).where(F.col("n") >= min_count).select(col)
-    return df.join(bounded_broadcast(keep, max_classes), col, "left_semi")
+    return df.join(keep, col, "left_semi")
 
 
 # ---------------------------------------------------------------- label ids
@@ -70,11 +69,10 @@ def label_dictionary(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     return names.select(col, (F.row_number().over(w) - 1).cast("int").alias(id_col))
 
 
-def encode_labels(df: DataFrame, col: str, dictionary: DataFrame, id_col: str,
-                  max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def encode_labels(df: DataFrame, col: str, dictionary: DataFrame, id_col: str) -> DataFrame:
     """Add the id of ``col`` by an inner join with the (checked, broadcast) dictionary."""
     d = dictionary.select(F.col(col), F.col(dictionary.columns[1]).alias(id_col))
-    return df.join(bounded_broadcast(d, max_classes), col, "inner")
+    return df.join(d, col, "inner")
 
 
 def label_names(dictionary: DataFrame, max_classes: int = 100_000) -> list[str]:
@@ -84,12 +82,11 @@ def label_names(dictionary: DataFrame, max_classes: int = 100_000) -> list[str]:
     return [r[name_col] for r in rows]
 
 
-def decode_labels(df: DataFrame, id_col: str, dictionary: DataFrame, name_col: str,
-                  max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def decode_labels(df: DataFrame, id_col: str, dictionary: DataFrame, name_col: str) -> DataFrame:
     """Id -> name by a broadcast inner join with the dictionary."""
     d = dictionary.select(F.col(dictionary.columns[1]).alias(id_col),
                           F.col(dictionary.columns[0]).alias(name_col))
-    return df.join(bounded_broadcast(d, max_classes), id_col, "inner")
+    return df.join(d, id_col, "inner")
 
 
 @dataclass

@@ -5,10 +5,11 @@ is floor(n_c * n_train / N), plus one for the classes with the largest remainder
 class name) until the quotas sum to n_train. Inside a class, rows are ordered by
 md5(key || '|' || seed), then key, and the first quota rows go to train.
 
-Scale: a class may hold a third of all rows, so no task ever sorts a whole class. Rows are
-bucketed by the first 16 bits of their hash; a small (class, bucket) histogram locates, per
-class, the one bucket where the quota boundary falls; only rows of that bucket are ranked.
-Everything else is decided by a comparison against a broadcast per-class bound.
+Scale: a class may hold a third of all rows, so no task ever sorts a whole class, and no text
+is moved to decide a split. A narrow table (key, class, hash) is written once; a (class, hash
+bucket) histogram of it locates, per class, the one bucket where the quota ends; only that
+bucket's narrow rows are ranked, which gives the class's boundary (hash, key). The rows
+themselves are then read once and compared with their class's boundary.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tiercat.operators import prepare as prep
 from tiercat.operators.prepare import class_sizes
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast
+from tiercat.session import materialize
 
 HASH_PREFIX_CHARS = 4  # 16 bits -> up to 65,536 buckets per class
 
@@ -46,83 +47,77 @@ def split_quotas(sizes: DataFrame, stratify: str, test_size: float = 0.2) -> Dat
     return q.select(stratify, "n", F.col("n_train").cast("long"))
 
 
-def stratified_split(df: DataFrame, stratify: str, key: str, test_size: float = 0.2,
-                     seed: int = 42, split_col: str = "split",
-                     max_classes: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``df`` plus ``split_col`` in {'train', 'val'}; exact per-class quotas.
-
-    ``df`` is read twice (histogram, then assignment): pass a cached or written table."""
-    rows = df.withColumn("_h", row_hash(key, seed)) \
-             .withColumn("_b", F.substring("_h", 1, HASH_PREFIX_CHARS))
-    quotas = split_quotas(class_sizes(df, stratify), stratify, test_size)
+def boundaries(narrow: DataFrame, quotas: DataFrame, stratify: str, key: str) -> DataFrame:
+    """``(stratify, _hstar, _kstar)``: the last training row of each class in (hash, key) order.
+    ``narrow`` is a written table ``(key, stratify, _h)``; classes whose quota is 0 have no row
+    here."""
+    rows = narrow.withColumn("_b", F.substring("_h", 1, HASH_PREFIX_CHARS))
     hist = rows.groupBy(stratify, "_b").agg(F.count(F.lit(1)).alias("cnt"))
-    bounds = _boundaries(hist, quotas, stratify)
-    # classes with n_train == 0 have no bound row: all of their rows go to validation
-    tagged = rows.join(bounded_broadcast(bounds, max_classes), stratify, "left")
-    return _assign(tagged, stratify, key, split_col).drop("_h", "_b", "_bstar", "_take")
-
-
-def _boundaries(hist: DataFrame, quotas: DataFrame, stratify: str) -> DataFrame:
-    """Per class: the hash bucket where the training quota ends and how many of its rows
-    (in hash order) are still training rows. ``hist`` is ``(stratify, _b, cnt)``."""
     w = (Window.partitionBy(stratify).orderBy("_b")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hist = hist.withColumn("cum", F.sum("cnt").over(w))
-    return (hist.join(quotas, stratify)
+    before = F.col("cum") - F.col("cnt")
+    edge = (hist.join(quotas, stratify)
             .where((F.col("n_train") > 0) & (F.col("cum") >= F.col("n_train")) &
-                   (F.col("cum") - F.col("cnt") < F.col("n_train")))
-            .select(stratify, F.col("_b").alias("_bstar"),
-                    (F.col("n_train") - (F.col("cum") - F.col("cnt"))).alias("_take")))
+                   (before < F.col("n_train")))
+            .select(stratify, "_b", (F.col("n_train") - before).alias("_take")))
+    # about n_class / 65,536 rows per class
+    order = Window.partitionBy(stratify).orderBy("_h", key)
+    return (rows.join(edge, [stratify, "_b"]).withColumn("_r", F.row_number().over(order))
+            .where(F.col("_r") == F.col("_take"))
+            .select(stratify, F.col("_h").alias("_hstar"), F.col(key).alias("_kstar")))
 
 
-def _assign(tagged: DataFrame, stratify: str, key: str, split_col: str) -> DataFrame:
-    """Rows carrying ``_h``, ``_b``, ``_bstar``, ``_take`` -> ``split_col``. Only rows of
-    the boundary bucket are ranked (a window over about n_class / 65,536 rows)."""
-    decided = (tagged.where(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar")))
-               .withColumn(split_col, F.when(F.col("_bstar").isNotNull() &
-                                             (F.col("_b") < F.col("_bstar")), "train")
-                           .otherwise("val")))
-    edge = tagged.where(F.col("_b") == F.col("_bstar"))
-    wr = Window.partitionBy(stratify).orderBy("_h", key)
-    edge = edge.withColumn(split_col, F.when(F.row_number().over(wr) <= F.col("_take"), "train")
-                           .otherwise("val"))
-    return decided.unionByName(edge)
+def _side(key: str) -> F.Column:
+    """'train' up to and including the class's boundary row, else 'val'."""
+    inside = (F.col("_h") < F.col("_hstar")) | \
+        ((F.col("_h") == F.col("_hstar")) & (F.col(key) <= F.col("_kstar")))
+    return F.when(F.coalesce(inside, F.lit(False)), "train").otherwise("val")
+
+
+def stratified_split(df: DataFrame, stratify: str, key: str, test_size: float = 0.2,
+                     seed: int = 42, split_col: str = "split") -> DataFrame:
+    """``df`` plus ``split_col`` in {'train', 'val'}; exact per-class quotas. ``df`` is read
+    twice, first for its key and class only."""
+    narrow = materialize(df.sparkSession, df.select(key, stratify, row_hash(key, seed).alias("_h")),
+                         "split-keys")
+    quotas = split_quotas(class_sizes(narrow, stratify), stratify, test_size)
+    bounds = materialize(df.sparkSession, boundaries(narrow, quotas, stratify, key), "split-bounds")
+    rows = df.withColumn("_h", row_hash(key, seed)).join(bounds, stratify, "left")
+    return rows.withColumn(split_col, _side(key)).drop("_h", "_hstar", "_kstar")
 
 
 def prepare_and_split(df: DataFrame, min_count: int, key: str = "doc_id",
                       test_size: float = 0.2, seed: int = 42, text: str = prep.TEXT,
                       category: str = prep.CATEGORY, sub: str = prep.SUBCATEGORY,
-                      split_col: str = "split",
-                      max_classes: int = DEFAULT_MAX_ROWS) -> prep.Encoded:
-    """The whole preparation stage in two passes over the data.
-
-    Pass 1 is one aggregation of the cleaned rows by (category, subcategory, hash bucket)
-    with map-side partial counts; its small result gives the rare filter (J1), both label
-    dictionaries (W2), the split quotas (W3) and each class's boundary bucket. Pass 2 joins
-    the rows once with one broadcast dictionary keyed by (category, subcategory) that holds
-    both ids and the split bound (rare pairs are absent, so the inner join is the filter),
-    and ranks only boundary-bucket rows. Same result as clean -> filter_rare ->
-    encode_both -> stratified_split."""
+                      split_col: str = "split") -> prep.Encoded:
+    """The whole preparation stage with two readings of the rows.
+
+    The first writes a narrow table (key, labels, hash) of the cleaned rows. From it come the
+    rare filter (J1), both label dictionaries (W2), the quotas (W3) and each class's boundary
+    row, all kept in one written dictionary by (category, subcategory). The second reading
+    joins the cleaned rows with that dictionary (rare pairs are absent, so the inner join is
+    the filter; small as it is, the planner broadcasts it) and compares hashes: one scan of the
+    text and no shuffle of it. Same result as clean -> filter_rare -> encode_both ->
+    stratified_split."""
+    spark = df.sparkSession
     c = prep.clean(df, text, category, sub)
     h = row_hash(key, seed)
-    hist = (c.select(category, sub, F.substring(h, 1, HASH_PREFIX_CHARS).alias("_b"))
-            .groupBy(category, sub, "_b").agg(F.count(F.lit(1)).alias("cnt"))).cache()
-    sub_n = hist.groupBy(sub).agg(F.sum("cnt").alias("n"))
-    kept = hist.join(bounded_broadcast(sub_n.where(F.col("n") >= min_count).select(sub),
-                                       max_classes),
-                     sub, "left_semi").cache()
-    cats = prep.label_dictionary(kept, category, prep.CATEGORY_ID).cache()
-    subs = prep.label_dictionary(kept, sub, prep.SUBCATEGORY_ID).cache()
+    narrow = materialize(spark, c.select(key, category, sub, h.alias("_h")), "prepare-keys")
+    pair_n = materialize(spark, narrow.groupBy(category, sub).agg(F.count(F.lit(1)).alias("n")),
+                         "label-pairs")
+    sub_n = pair_n.groupBy(sub).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    kept = pair_n.join(sub_n.select(sub), sub, "left_semi")
+    cats = materialize(spark, prep.label_dictionary(kept, category, prep.CATEGORY_ID), "categories")
+    subs = materialize(spark, prep.label_dictionary(kept, sub, prep.SUBCATEGORY_ID), "subcategories")
     sid = prep.SUBCATEGORY_ID
-    per_sub = kept.groupBy(sub, "_b").agg(F.sum("cnt").alias("cnt")).join(subs, sub)
-    sizes = per_sub.groupBy(sid).agg(F.sum("cnt").alias("n"))
-    bounds = _boundaries(per_sub.select(sid, "_b", "cnt"),
-                         split_quotas(sizes, sid, test_size), sid)
-    pairs = (kept.select(category, sub).distinct().join(cats, category).join(subs, sub)
-             .join(bounds, sid, "left"))
-    rows = (c.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, HASH_PREFIX_CHARS))
-            .join(bounded_broadcast(pairs, max_classes), [category, sub], "inner"))
-    out = _assign(rows, sid, key, split_col).drop("_h", "_b", "_bstar", "_take")
+    sizes = sub_n.join(subs, sub).select(sid, "n")
+    bounds = boundaries(narrow.join(subs, sub).select(key, sid, "_h"),
+                        split_quotas(sizes, sid, test_size), sid, key)
+    pairs = materialize(spark, kept.select(category, sub).join(cats, category).join(subs, sub)
+                        .join(bounds, sid, "left"), "split-pairs")
+    rows = c.withColumn("_h", h).join(pairs, [category, sub], "inner")
+    out = rows.withColumn(split_col, _side(key)).drop("_h", "_hstar", "_kstar")
     return prep.Encoded(out, cats, subs)
 
 

@@ -17,12 +17,13 @@ Plan shape, chosen for scale:
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tiercat.functions.text import normalize_text, sublinear_tf, tokens, word_ngrams
-from tiercat.plans.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, small_rows
 
 # The reference's vectorizer defaults (minimum document frequency, cap).
 MIN_DF = 10
@@ -72,6 +73,12 @@ def cap_vocabulary(cand: DataFrame, max_features: int | None) -> DataFrame:
     return head.unionByName(tie)
 
 
+def load_model(spark: SparkSession, path: str) -> "TfidfModel":
+    """A vectorizer written by :meth:`TfidfModel.save`."""
+    meta = json.loads(spark.read.text(os.path.join(path, "settings")).first()[0])
+    return TfidfModel(spark.read.parquet(os.path.join(path, "vocabulary")), **meta)
+
+
 @dataclass
 class TfidfModel:
     """A fitted vectorizer: ``vocab`` is ``(term, term_idx, df, total, idf)``."""
@@ -84,14 +91,21 @@ class TfidfModel:
     def weights(self, tf: DataFrame, key: str) -> DataFrame:
         """F7 + F8 (M8 on new documents): ``(key, ..., term, term_idx, tf, weight)`` for
         in-vocabulary terms; weight = (1 + ln tf) * idf, L2-normalised per document."""
-        v = bounded_broadcast(self.vocab.select("term", "term_idx", "idf"), DEFAULT_MAX_ROWS)
+        v = self.vocab.select("term", "term_idx", "idf")
         w = tf.join(v, "term", "inner").withColumn("w", sublinear_tf(F.col("tf")) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
         return w.withColumn("weight", F.col("w") / norm).drop("w")
 
+    def save(self, path: str) -> None:
+        """The vocabulary as parquet, the settings as one JSON line."""
+        self.vocab.write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
+        meta = {"n_docs": self.n_docs, "size": self.size, "n_min": self.n_min, "n_max": self.n_max}
+        self.vocab.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(os.path.join(path, "settings"))
+
     def presence(self, tf: DataFrame) -> DataFrame:
         """Distinct (document, term) pairs restricted to the vocabulary."""
-        v = bounded_broadcast(self.vocab.select("term"), DEFAULT_MAX_ROWS)
+        v = self.vocab.select("term")
         return tf.join(v, "term", "left_semi")
 
 
@@ -109,10 +123,3 @@ def fit(tf: DataFrame, n_docs: int, min_df: int = MIN_DF,
     vocab = vocab.cache()
     size = int(vocab.count())
     return TfidfModel(vocab, n_docs, size, n_min, n_max)
-
-
-def vocabulary_terms(model: TfidfModel, max_terms: int = MAX_FEATURES * 5) -> list[str]:
-    """The vocabulary as a list ordered by index (for ML feature metadata; bounded)."""
-    rows = small_rows(model.vocab.select("term", "term_idx").orderBy("term_idx"),
-                      max_terms, "vocabulary")
-    return [r["term"] for r in rows]

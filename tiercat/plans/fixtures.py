@@ -8,30 +8,22 @@ linear weights stand in for learned models wherever an exact SQL oracle is wante
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiercat.operators import prepare as prep
 from tiercat.operators.split import prepare_and_split
+from tiercat.session import materialize
 from tiercat.sources.io import read_table
 
 # The reference's split seed and validation share.
 SEED = 42
 TEST_SIZE = 0.2
 
-# Rare-subcategory threshold per scale factor (FIXTURES.md).
-RARE_THRESHOLD = {"0.001": 2, "0.01": 10, "0.1": 100}
-
-
-def scale_of(sf_dir: str) -> str:
-    m = re.search(r"sf([0-9.]+)", sf_dir.rstrip("/"))
-    return m.group(1) if m else "0.01"
-
-
-def rare_threshold(sf_dir: str) -> int:
-    return RARE_THRESHOLD.get(scale_of(sf_dir), 10)
+# Rare-subcategory threshold of the registered queries, the same on every data folder (the
+# operators' own default is the reference's 100).
+RARE_THRESHOLD = 10
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,20 +102,9 @@ def _memo(spark: SparkSession, sf_dir: str, what: str, build):
     return _MEMO[key]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it
-    back: the plan runs once, lineage is cut, a lost executor's partitions are re-read
-    from files, and later readers get column pruning and filter pushdown."""
-    import uuid
-    from tiercat.session import scratch_path
-    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def prepared_txn(spark: SparkSession, sf_dir: str) -> Prepared:
     def build():
-        p = prepare(txn(spark, sf_dir), rare_threshold(sf_dir))
+        p = prepare(txn(spark, sf_dir), RARE_THRESHOLD)
         return Prepared(materialize(spark, p.rows, "prepared"),
                         materialize(spark, p.categories, "categories"),
                         materialize(spark, p.subcategories, "subcategories"))
@@ -207,20 +188,39 @@ def keyword_inputs(spark: SparkSession, sf_dir: str):
     return f, presence, docs
 
 
-def stand_in_weights(f: TextFeatures, presence: DataFrame, docs: DataFrame, cls: str,
-                     k: int, stats: DataFrame | None = None) -> DataFrame:
-    """``weights``: dominance - class share, rounded to 6 digits, for every class and
-    vocabulary term (dense, like a linear model's coefficients: one generated row per class
-    for each vocabulary row, no join product)."""
+def supports(spark: SparkSession, sf_dir: str, presence: DataFrame, docs: DataFrame):
+    """Written support counts of both levels, and class sizes by level."""
     from tiercat.operators import keywords as kw
-    from tiercat.plans.broadcast import bounded_broadcast
-    if stats is None:
-        stats = kw.term_statistics(presence, docs, cls)
-    stats = stats.select("class_id", "term", "dominance")
-    sizes = bounded_broadcast(kw.class_sizes(docs, cls), 100_000)
-    grid = f.model.vocab.select("term", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-                                .alias("class_id"))
-    w = (grid.join(stats, ["class_id", "term"], "left").join(sizes, "class_id", "inner"))
-    return w.select("class_id", "term", F.round(
-        F.coalesce(F.col("dominance"), F.lit(0.0)) - F.col("n_class") / F.lit(float(f.model.n_docs)),
-        6).alias("weight"))
+    levels = (prep.CATEGORY_ID, prep.SUBCATEGORY_ID)
+
+    def build():
+        return (materialize(spark, kw.pair_supports(presence, levels), "supports"),
+                {c: materialize(spark, kw.class_sizes(docs, c), "class-sizes") for c in levels})
+    return _memo(spark, sf_dir, "supports", build)
+
+
+def written_json(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """``df`` as JSON lines in the shared folder; returns the path."""
+    import uuid
+    from tiercat.session import scratch_path
+    from tiercat.sources.io import write_json_lines
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    write_json_lines(df, path)
+    return path
+
+
+def stand_in_weights(f: TextFeatures, stats: DataFrame, sizes: DataFrame, top_n: int) -> DataFrame:
+    """``weights``: dominance - class share, rounded to 6 digits. Of a class and a term that never
+    meet the weight is minus the share, the same for all such terms, so of these only the
+    first ``top_n`` terms in order can rank; the class x vocabulary product is never made."""
+    share = F.col("n_class") / F.lit(float(f.model.n_docs))
+    seen = stats.select("class_id", "term", F.round(F.col("dominance") - share, 6).alias("weight"))
+    vocab = f.model.vocab.select("term", "term_idx")
+    met = stats.select("class_id", "term").join(vocab, "term").groupBy("class_id") \
+        .agg(F.collect_list("term_idx").alias("met"))
+    met = sizes.join(met, "class_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<int>")))
+    last = F.least(F.lit(f.model.size - 1), F.size("met") + top_n - 1)
+    first = F.slice(F.array_except(F.sequence(F.lit(0), last), F.col("met")), 1, top_n)
+    rest = met.where(F.lit(f.model.size) > 0).select(
+        "class_id", F.explode(first).alias("term_idx"), F.round(-share, 6).alias("weight"))
+    return seen.unionByName(rest.join(vocab, "term_idx").select("class_id", "term", "weight"))

@@ -21,10 +21,10 @@ def _r6(c):
 # ---------------------------------------------------------------- sources
 
 @register("s2_row_cap", S.with_ctes(S.TXN, body="""
-SELECT doc_id, category, sub_category FROM txn ORDER BY doc_id LIMIT 10000"""))
+SELECT doc_id, category, sub_category FROM txn ORDER BY doc_id LIMIT 300"""))
 def s2_row_cap(spark, sf_dir):
-    """S2 with the reference's example cap (10,000 rows), deterministic by key."""
-    return cap_rows(fx.txn(spark, sf_dir), 10_000, order_by="doc_id") \
+    """S2 with a cap below the table's size, deterministic by key."""
+    return cap_rows(fx.txn(spark, sf_dir), 300, order_by="doc_id") \
         .select("doc_id", "category", "sub_category")
 
 
@@ -71,7 +71,7 @@ SELECT (SELECT count(*) FROM txn_nulls) AS initial_rows,
             SELECT sub_category FROM cleaned GROUP BY 1
             HAVING count(*) >= {S.ORACLE_MIN_COUNT})) AS rows_after_rare_filter"""))
 def p5_row_accounting(spark, sf_dir):
-    return prep.row_accounting(fx.txn_nulls(spark, sf_dir), min_count=fx.rare_threshold(sf_dir))
+    return prep.row_accounting(fx.txn_nulls(spark, sf_dir), min_count=fx.RARE_THRESHOLD)
 
 
 # ---------------------------------------------------------------- rare filter, ids
@@ -81,7 +81,7 @@ SELECT doc_id, sub_category FROM cleaned WHERE sub_category IN (
   SELECT sub_category FROM cleaned GROUP BY 1 HAVING count(*) >= {S.ORACLE_MIN_COUNT})"""))
 def j1_rare_filter(spark, sf_dir):
     df = prep.filter_rare(prep.clean(fx.txn(spark, sf_dir)), "sub_category",
-                          fx.rare_threshold(sf_dir))
+                          fx.RARE_THRESHOLD)
     return df.select("doc_id", "sub_category")
 
 
@@ -91,7 +91,7 @@ SELECT count(*) AS n_classes_before,
        count(*) FILTER (WHERE n >= {S.ORACLE_MIN_COUNT}) AS n_classes_after
 FROM (SELECT sub_category, count(*) AS n FROM cleaned GROUP BY 1)"""))
 def a6_rare_classes(spark, sf_dir):
-    t = fx.rare_threshold(sf_dir)
+    t = fx.RARE_THRESHOLD
     counts = value_counts(prep.clean(fx.txn(spark, sf_dir)), "sub_category")
     return counts.agg(F.count(F.lit(1)).cast("long").alias("n_classes_before"),
                       F.count_if(F.col("n") < t).cast("long").alias("n_rare"),
@@ -127,7 +127,7 @@ SELECT doc_id, CAST(category_id AS BIGINT) AS category_id,
        CAST(subcategory_id AS BIGINT) AS subcategory_id FROM enc"""))
 def j2_label_encoding(spark, sf_dir):
     kept = prep.filter_rare(prep.clean(fx.txn(spark, sf_dir)), "sub_category",
-                            fx.rare_threshold(sf_dir))
+                            fx.RARE_THRESHOLD)
     enc = prep.encode_both(kept)
     return enc.df.select("doc_id", F.col("category_id").cast("long"),
                          F.col("subcategory_id").cast("long"))
@@ -153,7 +153,7 @@ SELECT c.category, array_to_string(list_sort(list(DISTINCT e.sub_category)), ','
 FROM enc e JOIN cat_dict c USING (category) GROUP BY c.category"""))
 def a9_category_map_m2m(spark, sf_dir):
     """A9 on a table where one subcategory sits under several categories."""
-    p = fx.prepare(fx.txn_m2m(spark, sf_dir), fx.rare_threshold(sf_dir))
+    p = fx.prepare(fx.txn_m2m(spark, sf_dir), fx.RARE_THRESHOLD)
     m = prep.category_map(p.rows)
     names = (p.rows.select("category", "sub_category").distinct()
              .groupBy("category").agg(F.array_sort(F.collect_list("sub_category")).alias("s")))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -42,12 +44,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is configured (local tests) a
-    private folder is created and registered.
+    The cluster's setting always wins. Only in local mode, where all tasks share one machine,
+    a private folder is created when nothing is configured; on a cluster that would scatter
+    the files over the executors, so it is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tiercat-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -55,6 +60,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf
 
 
+def materialize(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it
+    back: the plan runs once, lineage is cut, a lost executor's partitions are re-read
+    from files, and later readers get column pruning, filter pushdown and real sizes (a small
+    table is then broadcast by the planner's own check)."""
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, for tables written to cut lineage."""
     base = checkpoint_dir(spark)

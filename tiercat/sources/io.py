@@ -25,12 +25,12 @@ def null_tokens_to_null(c: Column, tokens=PANDAS_NULL_TOKENS) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, null_tokens=PANDAS_NULL_TOKENS,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column read as a string, pandas null tokens -> NULL.
 
     ``escape='"'`` makes doubled quotes inside quoted fields a literal quote; ``multiLine``
-    keeps quoted newlines inside a field (set it False for large, newline-free inputs so
-    Spark can split files).
+    keeps quoted newlines inside a field, but then every file is one task; without it Spark
+    splits files.
     """
     raw = (spark.read
            .option("header", True)
