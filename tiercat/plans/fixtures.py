@@ -180,6 +180,44 @@ def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
     return _memo(spark, sf_dir, f"text_features/{min_df}/{max_features}", build)
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored TF-IDF features of every prepared document, by split."""
+    import uuid
+    from tiercat.operators import train as tr
+    from tiercat.session import scratch_path
+
+    def build():
+        f = text_features(spark, sf_dir)
+        docs = f.prepared.rows.select("doc_id", "category_id", "subcategory_id", "split")
+        path = scratch_path(spark, f"{spark.sparkContext.applicationId}/features-{uuid.uuid4().hex}")
+        return tr.feature_table(docs, f.weights(), "doc_id", f.model.size, path)
+    return _memo(spark, sf_dir, "features", build)
+
+
+def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored dense features (text vector and type) of every prepared document."""
+    from tiercat.operators import features as fe
+
+    def build():
+        rows = prepared_txn(spark, sf_dir).rows
+        d = fe.dense_features(rows, "clean_description", "type")
+        return materialize(spark, d.select("doc_id", "category_id", "subcategory_id", "split", "features"), "dense")
+    return _memo(spark, sf_dir, "dense", build)
+
+
+def models(spark: SparkSession, sf_dir: str, family: str, what: str):
+    """One fitted model per level, on the sparse or dense features of the train split."""
+    from tiercat.operators import train as tr
+
+    def build():
+        data = feature_table(spark, sf_dir) if what == "sparse" else \
+            tr.dense_vectors(dense_table(spark, sf_dir), "features")
+        train = data.where(F.col("split") == "train")
+        labels = prepared_txn(spark, sf_dir).split("train")
+        return {c: tr.fit(train, family, c, labels=labels) for c in (prep.CATEGORY_ID, prep.SUBCATEGORY_ID)}
+    return _memo(spark, sf_dir, f"model/{family}/{what}", build)
+
+
 def keyword_inputs(spark: SparkSession, sf_dir: str):
     """Training presence rows (vocabulary terms only) and training documents."""
     f = text_features(spark, sf_dir)

@@ -1,6 +1,5 @@
 """Registered queries: training inputs (A10, J6, A23) and learned models (M2, M3, M4, M6,
-M11). Learned models have no exact oracle: their queries are rows-only checks, except
-invariants that hold for any model (probability arrays of k entries summing to 1)."""
+M11), and the feature store they share (S5). Learned models are checked by invariants."""
 
 from __future__ import annotations
 
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tiercat.operators import features as fe
 from tiercat.operators import keywords as kw
+from tiercat.operators import metrics as mt
 from tiercat.operators import predict as pd_
 from tiercat.operators import prepare as prep
 from tiercat.operators import train as tr
@@ -69,78 +69,143 @@ def a23_distinct_train_labels(spark, sf_dir):
                    for lvl, cls in LEVELS])
 
 
-def _tfidf_vectors(spark, sf_dir):
-    f = fx.text_features(spark, sf_dir)
-    w = f.weights()
-    docs = f.prepared.rows.select("doc_id", "category_id", "subcategory_id", "split")
-    vec = tr.sparse_vectors(w, "doc_id", f.model.size)
-    # documents without any vocabulary term get an empty vector
-    empty = F.lit(None)
-    out = docs.join(vec, "doc_id", "left")
-    return f, out.withColumn("features", F.coalesce(F.col("features"), empty)) \
-        .where(F.col("features").isNotNull())
-
-
-@register("m3_logreg_tfidf")
+# Learned models have no exact twin in SQL. Their oracles are computed from the prepared table and
+# hold for any right model: exactly the validation rows, one probability per class, probabilities
+# that sum to 1, and predictions among the classes.
+_INVARIANT = """
+SELECT '{lvl}' AS level, doc_id, CAST((SELECT count(*) FROM {d}) AS BIGINT) AS n_probs, 1.0 AS prob_sum,
+       true AS known_class FROM prepared WHERE split = 'val'"""
+INVARIANTS = S.with_ctes(PREP, body=_INVARIANT.format(lvl="category", d="cat_dict") + "\nUNION ALL"
+                         + _INVARIANT.format(lvl="sub_category", d="sub_dict"))
+
+
+def _validation(spark, sf_dir, what):
+    data = fx.feature_table(spark, sf_dir) if what == "sparse" else \
+        tr.dense_vectors(fx.dense_table(spark, sf_dir), "features")
+    return data.where(F.col("split") == "val")
+
+
+def _invariants(spark, sf_dir, family, what):
+    val, out = _validation(spark, sf_dir, what), []
+    for lvl, cls in LEVELS:
+        scored = tr.probabilities(fx.models(spark, sf_dir, family, what)[cls], val)
+        k = F.size("prob")
+        out.append(scored.select(
+            F.lit(lvl).alias("level"), "doc_id", k.cast("long").alias("n_probs"),
+            _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"),
+            ((F.col("prediction") >= 0) & (F.col("prediction") < k)).alias("known_class")))
+    return _union(out)
+
+
+@register("s5_feature_store", S.with_ctes(PREP, S.tfidf(), body="""
+SELECT p.doc_id, p.split, CAST(p.category_id AS BIGINT) AS category_id,
+       CAST(p.subcategory_id AS BIGINT) AS subcategory_id, count(w.term) AS n_terms,
+       CASE WHEN count(w.term) > 0 THEN 1.0 ELSE 0.0 END AS norm
+FROM prepared p LEFT JOIN weights w ON w.doc_id = p.doc_id
+GROUP BY ALL"""))
+def s5_feature_store(spark, sf_dir):
+    """The stored feature table; every prepared document has a row, empty vectors too."""
+    return fx.feature_table(spark, sf_dir).select(
+        "doc_id", "split", F.col("category_id").cast("long"), F.col("subcategory_id").cast("long"),
+        F.col("n_terms").cast("long"), _r6(F.col("norm")).alias("norm"))
+
+
+@register("m3_logreg_tfidf", INVARIANTS)
 def m3_logreg_tfidf(spark, sf_dir):
-    """M3 + M11: multinomial logistic regression (balanced weights) on TF-IDF vectors,
-    category level; validation predictions with confidence."""
-    f, data = _tfidf_vectors(spark, sf_dir)
-    model = tr.fit(data.where(F.col("split") == "train"), "logreg", "category_id")
-    scored = tr.probabilities(model, data.where(F.col("split") == "val"))
-    return scored.select("doc_id", F.col("prediction").cast("long").alias("prediction"),
-                         _r6(F.array_max("prob")).alias("confidence"))
+    """M3 + M11: multinomial logistic regression (balanced weights) on TF-IDF vectors, both
+    levels; invariants of the validation predictions."""
+    return _invariants(spark, sf_dir, "logreg", "sparse")
 
 
-@register("m4_svc_keywords")
-def m4_svc_keywords(spark, sf_dir):
-    """M4 -> M10: one-vs-rest linear SVM (hinge loss, balanced weights) on TF-IDF, then
-    keywords mined from its learned weights (category level)."""
-    f, data = _tfidf_vectors(spark, sf_dir)
-    model = tr.fit(data.where(F.col("split") == "train"), "svc_ovr", "category_id",
-                   max_iter=50)
-    lw = tr.linear_weights(spark, model).join(f.model.vocab.select("term", "term_idx"),
-                                              "term_idx")
-    presence = f.model.presence(f.tf.where(F.col("split") == "train"))
-    docs = f.prepared.split("train").select("doc_id", "category_id")
-    k = kw.keywords(lw.select("class_id", "term", "weight"), presence, docs, "category_id", 40)
-    return k.select(F.col("class_id").cast("long"), "direction", F.col("rank").cast("long"),
-                    "term", _r6(F.col("weight")).alias("weight"),
-                    F.col("support_class").cast("long"), _r6(F.col("dominance")).alias("dominance"))
-
-
-def _dense(spark, sf_dir):
-    p = fx.prepared_txn(spark, sf_dir)
-    d = fe.dense_features(p.rows, "clean_description", "type")
-    return p, tr.dense_vectors(d, "features")
+@register("m4_svc_tfidf", INVARIANTS)
+def m4_svc_tfidf(spark, sf_dir):
+    """M4: one-vs-rest linear SVM (hinge loss, balanced weights) on TF-IDF vectors, both levels."""
+    return _invariants(spark, sf_dir, "svc_ovr", "sparse")
 
 
-@register("m2_forest_dense")
+@register("m2_forest_dense", INVARIANTS)
 def m2_forest_dense(spark, sf_dir):
-    """M2: random forest (100 trees, depth 6) on text-vector ‖ type features, category
-    level; validation predictions with confidence."""
-    p, data = _dense(spark, sf_dir)
-    model = tr.fit(data.where(F.col("split") == "train"), "forest", "category_id")
-    scored = tr.probabilities(model, data.where(F.col("split") == "val"))
-    return scored.select("doc_id", F.col("prediction").cast("long").alias("prediction"),
-                         _r6(F.array_max("prob")).alias("confidence"))
+    """M2: random forest (100 trees, depth 6) on text-vector ‖ type features, both levels."""
+    return _invariants(spark, sf_dir, "forest", "dense")
 
 
-@register("m6_batch_scoring")
+@register("m4_svc_keywords", S.with_ctes(PREP, body="""
+SELECT 'category' AS level, CAST(category_id AS BIGINT) AS class_id, true AS ranked FROM cat_dict
+UNION ALL
+SELECT 'sub_category', CAST(subcategory_id AS BIGINT), true FROM sub_dict"""))
+def m4_svc_keywords(spark, sf_dir):
+    """M4 -> M10: keywords mined from the SVM's learned weights, both levels; per class, whether its
+    40 best and 40 worst terms were ranked by falling and rising weight."""
+    f, presence, docs = fx.keyword_inputs(spark, sf_dir)
+    supports, sizes = fx.supports(spark, sf_dir, presence, docs)
+    out = []
+    for lvl, cls in LEVELS:
+        lw = tr.linear_weights(spark, fx.models(spark, sf_dir, "svc_ovr", "sparse")[cls]) \
+            .join(f.model.vocab.select("term", "term_idx"), "term_idx").select("class_id", "term", "weight")
+        k = kw.keywords(lw, None, None, cls, 40, stats=kw.level_statistics(supports, sizes[cls], cls),
+                        sizes=sizes[cls])
+        best = kw.top_terms(lw, 40).groupBy("class_id").agg(
+            F.count_if(F.col("direction") == "include").alias("n"),
+            F.min(F.when(F.col("direction") == "include", F.col("weight"))).alias("low"),
+            F.max(F.when(F.col("direction") == "exclude", F.col("weight"))).alias("high"))
+        mined = k.groupBy("class_id").agg(F.count(F.lit(1)).alias("m"), F.max("rank").alias("r"))
+        names = (fx.prepared_txn(spark, sf_dir).categories if cls == "category_id"
+                 else fx.prepared_txn(spark, sf_dir).subcategories).select(F.col(cls).alias("class_id"))
+        full = F.least(F.lit(40), F.lit(f.model.size))
+        out.append(names.join(best, "class_id", "left").join(mined, "class_id", "left").select(
+            F.lit(lvl).alias("level"), F.col("class_id").cast("long"),
+            F.coalesce((F.col("n") == full) & (F.col("low") >= F.col("high"))
+                       & (F.coalesce("m", F.lit(0)) <= 2 * full) & (F.coalesce("r", F.lit(1)) <= full),
+                       F.lit(False)).alias("ranked")))
+    return _union(out)
+
+
+@register("m9_learned_report", S.with_ctes(PREP, body="""
+SELECT 'category' AS level, count(*) AS n_val, true AS scores_in_range, true AS above_majority
+FROM prepared WHERE split = 'val'
+UNION ALL
+SELECT 'sub_category', count(*), true, NULL FROM prepared WHERE split = 'val'"""))
+def m9_learned_report(spark, sf_dir):
+    """M9 on learned predictions (M3), per level: the report's support covers the validation split
+    and its scores lie in [0, 1]. The category can be read from the text and beats the
+    majority; the other level's second half (the source) cannot, so nothing is claimed there."""
+    val, out = _validation(spark, sf_dir, "sparse"), []
+    for lvl, cls in LEVELS:
+        scored = tr.probabilities(fx.models(spark, sf_dir, "logreg", "sparse")[cls], val) \
+            .select(F.col(cls).alias("y"), F.col("prediction").cast("int").alias("p"))
+        rep = mt.class_report(scored, "y", "p")
+        e = rep.agg(
+            F.sum("support").alias("n_val"), F.max("support").alias("most"), F.sum("tp").alias("tp"),
+            F.min(F.least("precision", "recall", "f1")).alias("low"),
+            F.max(F.greatest("precision", "recall", "f1")).alias("high"))
+        above = (F.col("tp") > F.col("most")) if lvl == "category" else F.lit(None).cast("boolean")
+        out.append(e.select(F.lit(lvl).alias("level"), F.col("n_val").cast("long"),
+                            ((F.col("low") >= 0) & (F.col("high") <= 1)).alias("scores_in_range"),
+                            above.alias("above_majority")))
+    return _union(out)
+
+
+@register("m6_batch_scoring", S.with_ctes(PREP, body="""
+SELECT doc_id, true AS known_category, true AS allowed_subcategory, true AS confidences
+FROM prepared WHERE split = 'val'"""))
 def m6_batch_scoring(spark, sf_dir):
-    """M6: two dense logistic-regression models, hierarchical masking, decoded labels."""
-    p, data = _dense(spark, sf_dir)
-    train = data.where(F.col("split") == "train")
-    cat = tr.fit(train, "logreg", "category_id", max_iter=50)
-    sub = tr.fit(train, "logreg", "subcategory_id", max_iter=50)
-    val = data.where(F.col("split") == "val").select("doc_id", "features")
-    s = tr.probabilities(cat, val, "cat_prob").drop("prediction")
-    s = tr.probabilities(sub, s, "sub_prob").drop("prediction")
+    """M6: two dense logistic-regression models, hierarchical masking, decoded labels; whether the
+    category is known, the subcategory is allowed under it, and both confidences are
+    probabilities."""
+    p = fx.prepared_txn(spark, sf_dir)
+    m = fx.models(spark, sf_dir, "logreg", "dense")
+    val = _validation(spark, sf_dir, "dense").select("doc_id", "features")
+    s = tr.probabilities(m["category_id"], val, "cat_prob").drop("prediction")
+    s = tr.probabilities(m["subcategory_id"], s, "sub_prob").drop("prediction")
     out = pd_.classify(s, prep.category_map(p.rows), prep.label_names(p.categories),
                        prep.label_names(p.subcategories), k=3)
-    return out.select("doc_id", "category", "subcategory",
-                      _r6(F.col("category_confidence")).alias("category_confidence"),
-                      _r6(F.col("subcategory_confidence")).alias("subcategory_confidence"))
+    pairs = p.rows.select("category", F.col("sub_category").alias("subcategory")).distinct() \
+        .withColumn("allowed_pair", F.lit(True))
+    ok = lambda c: F.col(c).between(0, 1) & (F.col(c) > 0)
+    return out.join(pairs, ["category", "subcategory"], "left").select(
+        "doc_id", F.col("category").isNotNull().alias("known_category"),
+        F.coalesce("allowed_pair", F.lit(False)).alias("allowed_subcategory"),
+        (ok("category_confidence") & ok("subcategory_confidence")).alias("confidences"))
 
 
 @register("m11_predict_proba", """
@@ -155,7 +220,7 @@ def m11_predict_proba(spark, sf_dir):
                                                                 F.lit("DEBIT"))
     d = e.select("vec_id", "label", fe.concat_type(F.col("embedding"), t).alias("features"))
     d = tr.dense_vectors(d, "features")
-    model = tr.fit(d, "logreg", "label", max_iter=50)
+    model = tr.fit(d, "logreg", "label")
     s = tr.probabilities(model, d)
     return s.select("vec_id", F.size("prob").cast("long").alias("n_probs"),
                     _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"))
