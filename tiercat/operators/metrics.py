@@ -94,10 +94,7 @@ def confidence_summary(df: DataFrame, prob: str) -> DataFrame:
     """A20 + F10: mean, exact median, min and max of the per-row maximum probability."""
     conf = df.select(F.array_max(F.col(prob)).alias("conf"))
     rest = conf.agg(F.avg("conf").alias("mean"), F.min("conf").alias("min"), F.max("conf").alias("max"))
-    # two one-row frames, paired by a join on a constant
-    one = F.lit(1).alias("one")
-    return rest.select("*", one).join(median_of(conf, "conf").select("*", one), "one") \
-        .select("mean", "median", "min", "max")
+    return rest.select("mean", median_of(conf, "conf").scalar().alias("median"), "min", "max")
 
 
 def low_confidence(df: DataFrame, prob: str, threshold: float = 0.5) -> DataFrame:

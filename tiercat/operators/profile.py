@@ -23,6 +23,14 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def level_counts(df: DataFrame, levels) -> DataFrame:
+    """``(level, label, n)`` of several label columns from one scan: one partially aggregated
+    group-by on all of them, then sums of that small frame. A null label is a row of its own."""
+    small = df.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("label"), "n") for c in levels]))
+    return small.select(each.alias("z")).groupBy("z.level", "z.label").agg(F.sum("z.n").alias("n"))
+
+
 def ranked_counts(counts: DataFrame, col: str) -> DataFrame:
     """A1/K1 order: count desc, name asc, as a 1-based ``rank`` (runs over class rows)."""
     w = Window.orderBy(F.col("n").desc(), F.col(col))
@@ -87,6 +95,5 @@ def text_sample(df: DataFrame, text: str, key: str, k: int = 10, width: int = 80
     nonnull = df.where(F.col(text).isNotNull())
     head = nonnull.orderBy(key).limit(k).select(key, prefix(F.col(text), width).alias("sample"))
     total = nonnull.agg(F.count(F.lit(1)).alias("n_nonnull"))
-    # the one-row count is attached by a broadcast hash join on a constant key
-    return (head.withColumn("_one", F.lit(1))
-            .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    # a scalar subquery, so no join pairs the rows with the count
+    return head.withColumn("n_nonnull", total.scalar())

@@ -1,25 +1,12 @@
-"""Broadcast only what is proven small.
+"""Collect only what is proven small.
 
-Dictionaries in this engine (label lists, the category map, class counts, a capped
-vocabulary) are bounded by the number of classes or by an explicit cap, but the bound is
-still checked: the frame is cached, counted once, and broadcast only when the count is at
-or below the limit. Beyond the limit the plain frame is returned and Spark picks a shuffle
-join (sort-merge, or AQE's runtime choice).
+No join in this package forces a broadcast: dictionaries are written tables, so the planner and
+AQE see their sizes and choose. What becomes Python state (label names) is checked here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-# Default row bound for dictionaries that are broadcast (labels, class stats, vocabulary).
-DEFAULT_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+from pyspark.sql import DataFrame
 
 
 def small_rows(df: DataFrame, max_rows: int, what: str) -> list:

@@ -33,16 +33,19 @@ class HierarchicalClassifier:
     @classmethod
     def fit(cls, prepared: DataFrame, categories: DataFrame, subcategories: DataFrame,
             family: str = "logreg", dim: int = fe.TEXT_DIM, max_iter: int | None = None,
-            text: str = prep.TEXT, type_col: str = prep.TYPE) -> "HierarchicalClassifier":
+            text: str = prep.TEXT, type_col: str = prep.TYPE,
+            cmap: DataFrame | None = None) -> "HierarchicalClassifier":
         """Train both levels on the rows of ``prepared`` (already split: pass the train
-        rows). The category map is built from the same rows."""
+        rows). ``cmap`` is the category map of all rows, before the split, so that a pair
+        seen only in validation can be predicted; without it the given rows make the map."""
         d = tr.dense_vectors(fe.dense_features(prepared, text, type_col,
                                                fe.HashingEncoder(dim)), "features")
         d = d.select("features", prep.CATEGORY_ID, prep.SUBCATEGORY_ID).cache()
         cat = tr.fit(d, family, prep.CATEGORY_ID, max_iter=max_iter)
         sub = tr.fit(d, family, prep.SUBCATEGORY_ID, max_iter=max_iter)
+        d.unpersist()
         return cls(cat, sub, prep.label_names(categories), prep.label_names(subcategories),
-                   prep.category_map(prepared), dim)
+                   prep.category_map(prepared) if cmap is None else cmap, dim)
 
     def transform(self, df: DataFrame, text: str = prep.TEXT, type_col: str = prep.TYPE,
                   top_k: int | None = None) -> DataFrame:

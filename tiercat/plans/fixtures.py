@@ -26,25 +26,29 @@ TEST_SIZE = 0.2
 RARE_THRESHOLD = 10
 
 
-def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txn(spark: SparkSession, sf_dir: str, with_type: bool = True) -> DataFrame:
     """``documents LEFT JOIN labels``: text, type (from quality), category = lang,
     sub_category = lang/source. Neither side is broadcast by hint: both grow with the
-    data, so the join strategy is left to the size-checked planner and AQE."""
+    data, so the join strategy is left to the size-checked planner and AQE. Without the type,
+    which only ``labels`` holds, there is no join (a document has one label row at most)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = docs.join(labels, "doc_id", "left")
-    return j.select(
+    type_ = []
+    if with_type:
+        labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+        docs = docs.join(labels, "doc_id", "left")
+        type_ = [F.when(F.col("quality") == 1, F.lit(" Credit"))
+                 .when(F.col("quality") == 0, F.lit("DEBIT")).alias(prep.TYPE)]
+    return docs.select(
         "doc_id",
         F.col("text").alias(prep.TEXT),
-        F.when(F.col("quality") == 1, F.lit(" Credit"))
-         .when(F.col("quality") == 0, F.lit("DEBIT")).alias(prep.TYPE),
+        *type_,
         F.col("lang").alias(prep.CATEGORY),
         F.concat(F.col("lang"), F.lit("/"), F.col("source")).alias(prep.SUBCATEGORY))
 
 
-def txn_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txn_nulls(spark: SparkSession, sf_dir: str, with_type: bool = True) -> DataFrame:
     """``txn`` with nulls, blanks and padding derived by integer rules on the key."""
-    t = txn(spark, sf_dir)
+    t = txn(spark, sf_dir, with_type)
     k = F.col("doc_id")
     text = (F.when(k % 11 == 0, F.lit(None).cast("string"))
             .when(k % 13 == 0, F.lit("  "))
@@ -52,8 +56,7 @@ def txn_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.col(prep.TEXT)))
     cat = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col(prep.CATEGORY))
     sub = F.when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.col(prep.SUBCATEGORY))
-    return t.select("doc_id", text.alias(prep.TEXT), prep.TYPE, cat.alias(prep.CATEGORY),
-                    sub.alias(prep.SUBCATEGORY))
+    return t.withColumns({prep.TEXT: text, prep.CATEGORY: cat, prep.SUBCATEGORY: sub})
 
 
 def txn_m2m(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ SELECT (SELECT count(*) FROM txn_nulls) AS initial_rows,
             SELECT sub_category FROM cleaned GROUP BY 1
             HAVING count(*) >= {S.ORACLE_MIN_COUNT})) AS rows_after_rare_filter"""))
 def p5_row_accounting(spark, sf_dir):
-    return prep.row_accounting(fx.txn_nulls(spark, sf_dir), min_count=fx.RARE_THRESHOLD)
+    return prep.row_accounting(fx.txn_nulls(spark, sf_dir, with_type=False), min_count=fx.RARE_THRESHOLD)
 
 
 # ---------------------------------------------------------------- rare filter, ids
@@ -92,7 +92,7 @@ SELECT count(*) AS n_classes_before,
 FROM (SELECT sub_category, count(*) AS n FROM cleaned GROUP BY 1)"""))
 def a6_rare_classes(spark, sf_dir):
     t = fx.RARE_THRESHOLD
-    counts = value_counts(prep.clean(fx.txn(spark, sf_dir)), "sub_category")
+    counts = value_counts(prep.clean(fx.txn(spark, sf_dir, with_type=False)), "sub_category")
     return counts.agg(F.count(F.lit(1)).cast("long").alias("n_classes_before"),
                       F.count_if(F.col("n") < t).cast("long").alias("n_rare"),
                       F.count_if(F.col("n") >= t).cast("long").alias("n_classes_after"))
@@ -105,7 +105,7 @@ SELECT count(*) AS n_classes,
        count(*) FILTER (WHERE n < 10) AS below_10
 FROM (SELECT sub_category, count(*) AS n FROM txn WHERE sub_category IS NOT NULL GROUP BY 1)"""))
 def p8_threshold_counts(spark, sf_dir):
-    return threshold_counts(value_counts(fx.txn(spark, sf_dir), "sub_category"), (100, 50, 10))
+    return threshold_counts(value_counts(fx.txn(spark, sf_dir, with_type=False), "sub_category"), (100, 50, 10))
 
 
 @register("w2_label_ids", S.with_ctes(S.prepared_txn(), body="""

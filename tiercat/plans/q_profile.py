@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tiercat.operators import profile as pr
 from tiercat.plans import fixtures as fx
@@ -18,8 +16,9 @@ def _r6(c):
     return F.round(c.cast("double"), 6)
 
 
-def _union(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def _counts(spark, sf_dir):
+    """Class counts of both levels: one scan of two columns."""
+    return pr.level_counts(fx.txn(spark, sf_dir, with_type=False), LEVELS)
 
 
 @register("p1_null_counts", S.with_ctes(S.TXN_NULLS, body="""
@@ -28,7 +27,7 @@ SELECT count(*) FILTER (WHERE clean_description IS NULL) AS null_clean_descripti
        count(*) FILTER (WHERE sub_category IS NULL) AS null_sub_category
 FROM txn_nulls"""))
 def p1_null_counts(spark, sf_dir):
-    return pr.null_counts(fx.txn_nulls(spark, sf_dir),
+    return pr.null_counts(fx.txn_nulls(spark, sf_dir, with_type=False),
                           ("clean_description", "category", "sub_category"))
 
 
@@ -38,7 +37,7 @@ SELECT doc_id, substring(clean_description, 1, 80) AS sample,
 FROM txn_nulls WHERE clean_description IS NOT NULL ORDER BY doc_id LIMIT 10"""))
 def p6_text_sample(spark, sf_dir):
     """P6 + F16: ten first non-null texts (cut to 80 characters) and the non-null count."""
-    return pr.text_sample(fx.txn_nulls(spark, sf_dir), "clean_description", "doc_id", 10, 80)
+    return pr.text_sample(fx.txn_nulls(spark, sf_dir, with_type=False), "clean_description", "doc_id", 10, 80)
 
 
 @register("a1_value_counts", S.with_ctes(S.TXN, body="""
@@ -49,13 +48,9 @@ FROM (SELECT 'category' AS level, category AS label, count(*) AS n FROM txn
       SELECT 'sub_category', sub_category, count(*) FROM txn
       WHERE sub_category IS NOT NULL GROUP BY sub_category)"""))
 def a1_value_counts(spark, sf_dir):
-    t = fx.txn(spark, sf_dir)
-    out = []
-    for lvl in LEVELS:
-        c = pr.ranked_counts(pr.value_counts(t, lvl), lvl)
-        out.append(c.select(F.lit(lvl).alias("level"), F.col(lvl).alias("label"),
-                            F.col("n").cast("long"), F.col("rank").cast("long")))
-    return _union(out)
+    c = _counts(spark, sf_dir).where("label IS NOT NULL")
+    w = Window.partitionBy("level").orderBy(F.desc("n"), "label")
+    return c.select("level", "label", F.col("n").cast("long"), F.row_number().over(w).cast("long").alias("rank"))
 
 
 @register("a3_distinct_classes", S.with_ctes(S.TXN_NULLS, body="""
@@ -68,9 +63,9 @@ SELECT 'sub_category', count(DISTINCT sub_category),
 FROM txn_nulls"""))
 def a3_distinct_classes(spark, sf_dir):
     """A3 (nulls excluded) and A4 (null counted as a class)."""
-    t = fx.txn_nulls(spark, sf_dir)
-    return _union([pr.distinct_classes(t, lvl).select(F.lit(lvl).alias("level"), "*")
-                   for lvl in LEVELS])
+    c = pr.level_counts(fx.txn_nulls(spark, sf_dir, with_type=False), LEVELS)
+    return c.groupBy("level").agg(F.count("label").alias("n_distinct"),
+                                  F.count(F.lit(1)).alias("n_distinct_with_null"))
 
 
 @register("a5_count_stats", S.with_ctes(S.TXN, body="""
@@ -83,14 +78,11 @@ FROM (SELECT 'category' AS level, category AS label, count(*) AS n FROM txn
       WHERE sub_category IS NOT NULL GROUP BY sub_category)
 GROUP BY level"""))
 def a5_count_stats(spark, sf_dir):
-    t = fx.txn(spark, sf_dir)
-    out = []
-    for lvl in LEVELS:
-        s = pr.count_stats(pr.value_counts(t, lvl))
-        out.append(s.select(F.lit(lvl).alias("level"), _r6(F.col("mean_n")).alias("mean_n"),
-                            _r6(F.col("median_n")).alias("median_n"), "min_n", "max_n",
-                            _r6(F.col("std_n")).alias("std_n")))
-    return _union(out)
+    c = _counts(spark, sf_dir).where("label IS NOT NULL").groupBy("level").agg(
+        F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.min("n").cast("long").alias("min_n"),
+        F.max("n").cast("long").alias("max_n"), F.stddev_samp("n").alias("std_n"))
+    return c.select("level", _r6(F.col("mean_n")).alias("mean_n"), _r6(F.col("median_n")).alias("median_n"),
+                    "min_n", "max_n", _r6(F.col("std_n")).alias("std_n"))
 
 
 @register("a7_imbalance_ratio", S.with_ctes(S.TXN, body="""
@@ -102,11 +94,8 @@ FROM (SELECT 'category' AS level, count(*) AS n FROM txn
       WHERE sub_category IS NOT NULL GROUP BY sub_category)
 GROUP BY level"""))
 def a7_imbalance_ratio(spark, sf_dir):
-    t = fx.txn(spark, sf_dir)
-    return _union([pr.imbalance_ratio(pr.value_counts(t, lvl))
-                   .select(F.lit(lvl).alias("level"),
-                           _r6(F.col("imbalance_ratio")).alias("imbalance_ratio"))
-                   for lvl in LEVELS])
+    c = _counts(spark, sf_dir).where("label IS NOT NULL")
+    return c.groupBy("level").agg(_r6(F.max("n") / F.min("n")).alias("imbalance_ratio"))
 
 
 K1_SUB = """sub AS (SELECT sub_category AS label, count(*) AS n FROM txn
@@ -131,14 +120,18 @@ SELECT * FROM (
 WHERE rank <= 10"""))
 def k1_top_bottom_classes(spark, sf_dir):
     """K1: top 20 / bottom 20 subcategories and top 10 categories by count."""
-    t = fx.txn(spark, sf_dir)
-    sub, cat = pr.value_counts(t, "sub_category"), pr.value_counts(t, "category")
-    parts = ((pr.top_classes(sub, "sub_category", 20), "sub_category", "top20_sub"),
-             (pr.bottom_classes(sub, "sub_category", 20), "sub_category", "bottom20_sub"),
-             (pr.top_classes(cat, "category", 10), "category", "top10_cat"))
-    return _union([df.select(F.lit(which).alias("which"), F.col(col).alias("label"),
-                             F.col("n").cast("long"), F.col("rank").cast("long"))
-                   for df, col, which in parts])
+    c = _counts(spark, sf_dir).where("label IS NOT NULL")
+    down = Window.partitionBy("level").orderBy(F.desc("n"), "label")
+    up = Window.partitionBy("level").orderBy("n", F.desc("label"))
+    c = c.withColumn("d", F.row_number().over(down)).withColumn("u", F.row_number().over(up))
+    sub, cat = F.col("level") == "sub_category", F.col("level") == "category"
+    pick = lambda name, when, rank: F.when(when, F.struct(F.lit(name).alias("which"), rank.alias("rank")))
+    lists = F.array(pick("top20_sub", sub & (F.col("d") <= 20), F.col("d")),
+                    pick("bottom20_sub", sub & (F.col("u") <= 20), F.col("u")),
+                    pick("top10_cat", cat & (F.col("d") <= 10), F.col("d")))
+    return c.select("label", F.col("n").cast("long"),
+                    F.explode(F.filter(lists, lambda z: z.isNotNull())).alias("z")) \
+        .select("z.which", "label", "n", F.col("z.rank").cast("long").alias("rank"))
 
 
 @register("k3_sorted_labels", S.with_ctes(S.TXN, body="""
@@ -149,8 +142,6 @@ UNION ALL
 SELECT 'sub_category', sub_category, row_number() OVER (ORDER BY sub_category) - 1
 FROM (SELECT DISTINCT sub_category FROM txn WHERE sub_category IS NOT NULL)"""))
 def k3_sorted_labels(spark, sf_dir):
-    t = fx.txn(spark, sf_dir)
-    return _union([pr.sorted_labels(t, lvl).select(F.lit(lvl).alias("level"),
-                                                    F.col(lvl).alias("label"),
-                                                    F.col("pos").cast("long"))
-                   for lvl in LEVELS])
+    c = _counts(spark, sf_dir).where("label IS NOT NULL")
+    w = Window.partitionBy("level").orderBy("label")
+    return c.select("level", "label", (F.row_number().over(w) - 1).cast("long").alias("pos"))
\ No newline at end of file
