@@ -13,7 +13,7 @@ def test_csv_edge_cases(spark, tmp_path):
         'None,None,Transfer,Wire\n'
         '"two\nlines",debit,Service,Phone\n'
         ',debit,Service,Phone\n', encoding="utf-8")
-    rows = read_csv(spark, str(p)).collect()
+    rows = read_csv(spark, str(p), multi_line=True).collect()
     assert len(rows) == 6
     assert rows[0]["clean_description"] == 'A "quoted" shop'
     assert rows[1]["clean_description"] is None
@@ -28,3 +28,12 @@ def test_row_cap(spark):
     assert cap_rows(df, None).count() == 100
     got = [r.k for r in cap_rows(df, 7, order_by="k").collect()]
     assert got == list(range(7))
+
+
+def test_splits_round_trip(spark, tmp_path):
+    from tiercat.sources.io import read_split, write_splits
+    df = spark.createDataFrame([(1, "a", "train"), (2, None, "val"), (3, "c", "train")], "k long, t string, split string")
+    path = str(tmp_path / "splits")
+    write_splits(df, path)
+    assert sorted(tuple(r) for r in read_split(spark, path, "train").select("k", "t").collect()) == [(1, "a"), (3, "c")]
+    assert [tuple(r) for r in read_split(spark, path, "val").select("k", "t").collect()] == [(2, None)]

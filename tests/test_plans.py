@@ -28,11 +28,27 @@ def test_tf_stage_has_one_exchange(spark):
     assert "FileScan parquet" in p and "n_chars" not in p.split("FileScan parquet")[1].split("\n")[0]
 
 
-def test_preparation_pass_two_uses_broadcasts_only(spark):
-    p = fx.prepare(fx.txn(spark, SF_SMALL), 2)
+def test_preparation_pass_two_reads_the_text_once(spark):
+    p = fx.prepare(fx.txn(spark, SF_SMALL, with_type=False), 2)
     text = plan(p.rows)
+    # the dictionary is a small written table, so the planner broadcasts it by its size
     assert "BroadcastHashJoin" in text
-    assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+    assert "SortMergeJoin" not in text and "CartesianProduct" not in text and "Window" not in text
+    assert text.count("documents.parquet") == 1 and "Exchange hashpartitioning" not in text
+
+
+def test_profile_reads_documents_once_and_no_labels(spark):
+    from tiercat.plans import registry
+    for name in ("a1_value_counts", "a3_distinct_classes", "a5_count_stats", "a7_imbalance_ratio",
+                 "k1_top_bottom_classes", "k3_sorted_labels"):
+        text = plan(registry.queries()[name](spark, SF_SMALL))
+        assert text.count("FileScan parquet") == 1 and "labels.parquet" not in text, name
+    assert "NestedLoop" not in plan(registry.queries()["p6_text_sample"](spark, SF_SMALL))
+
+
+def test_no_python_in_scoring_of_sparse_models(spark):
+    f = fx.feature_table(spark, SF_SMALL)
+    assert "Python" not in plan(f) and "Arrow" not in plan(f)
 
 
 def test_top_terms_limits_groups_before_shuffle(spark):

@@ -53,3 +53,21 @@ def test_class_report_brute_force(spark):
     assert abs(ev.f1_macro - sum(f1s) / len(f1s)) < 1e-12
     assert abs(ev.f1_weighted - sum(f * s for f, s in zip(f1s, sup)) / len(rows)) < 1e-12
     assert abs(ev.accuracy - sum(y == p for y, p in rows) / len(rows)) < 1e-12
+
+
+def test_exact_median_without_gathering(spark):
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from tiercat.operators.metrics import median_of
+    rnd = random.Random(5)
+    for values in ([], [0.5], [0.0, 1.0], [0.25] * 9 + [0.75], [rnd.random() for _ in range(501)],
+                   [round(rnd.random(), 1) for _ in range(400)]):
+        d = spark.createDataFrame([(v,) for v in values], "c double")
+        for buckets in (4, 65_536):
+            got = median_of(d, "c", buckets).first()[0]
+            assert got == (statistics.median(values) if values else None)
+    plan = median_of(spark.range(10).select((F.col("id") / 10).alias("c")), "c")._jdf.queryExecution().toString()
+    assert "percentile" not in plan

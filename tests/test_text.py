@@ -81,3 +81,14 @@ def test_type_feature(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [r.f for r in df.select(tx.type_feature(F.col("t")).alias("f")).collect()]
     assert got == [0.0, 0.0, 1.0, -1.0, 1.0, 0.0]
+
+
+def test_accents_of_all_scripts(spark):
+    import unicodedata
+    texts = ["ｆｕｌｌ　ｗｉｄｔｈ", "™ ① ⁴ ½ ﬁ", "がぎ パピ カナ", "한국어 값", "مُحَمَّد", "Crème Brûlée Ǆ", "plain", "", "𝔘𝔫𝔦 𝟙",
+             "한e\u0301", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in d.select("i", tx.strip_accents(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        assert got[i] == want, (t, got[i], want)

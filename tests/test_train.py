@@ -40,3 +40,45 @@ def test_hierarchical_classifier_end_to_end(spark, tmp_path):
     a = {r.doc_id: r.subcategory for r in model.transform(val).select("doc_id", "subcategory").collect()}
     b = {r.doc_id: r.subcategory for r in again.transform(val).select("doc_id", "subcategory").collect()}
     assert a == b
+
+
+def test_feature_table_keeps_every_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 0, "train"), (2, 1, "train"), (3, 0, "val")], "doc_id long, y int, split string")
+    w = spark.createDataFrame([(1, 4, 0.6), (1, 2, 0.8), (3, 0, 1.0)], "doc_id long, term_idx int, weight double")
+    t = tr.feature_table(docs, w, "doc_id", 6, str(tmp_path / "f"))
+    rows = {r.doc_id: r for r in t.collect()}
+    assert set(rows) == {1, 2, 3} and rows[2].features.toArray().tolist() == [0.0] * 6
+    assert rows[1].features.toArray().tolist() == [0, 0, 0.8, 0, 0.6, 0] and rows[1].n_terms == 2
+    assert abs(rows[1].norm - 1) < 1e-12
+    assert t.where("split = 'val'").count() == 1
+
+
+def test_softmax_is_linear_and_sums_to_one(spark):
+    from tiercat.functions.arrays import l2_normalize, softmax
+    d = spark.range(50).select(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (i % 7).cast("double")).alias("v"))
+    s = d.select(F.aggregate(softmax(F.col("v")), F.lit(0.0), lambda a, x: a + x).alias("s"),
+                 F.aggregate(l2_normalize(F.col("v")), F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
+    assert all(abs(r.s - 1) < 1e-9 and abs(r.n - 1) < 1e-9 for r in s)
+
+
+def test_boosting_and_hinge_give_probabilities(spark):
+    d = spark.range(90).select((F.col("id") % 3).cast("int").alias("y"), F.array(
+        (F.col("id") % 3).cast("float"), (F.col("id") % 7).cast("float")).alias("features"))
+    d = tr.dense_vectors(d)
+    for family in ("gbt_ovr", "svc_ovr"):
+        m = tr.fit(d, family, "y", max_iter=3)
+        r = tr.probabilities(m, d).collect()
+        assert all(len(x.prob) == 3 and abs(sum(x.prob) - 1) < 1e-9 for x in r)
+        if family == "gbt_ovr":
+            assert sum(x.prediction == x.y for x in r) == 90
+
+
+def test_vectorizer_round_trip(spark, tmp_path):
+    from tiercat.operators import tfidf
+    docs = spark.createDataFrame([(i, f"common word{i % 3} text") for i in range(12)], "k long, t string")
+    tf = tfidf.term_frequencies(docs, "k", "t").cache()
+    m = tfidf.fit(tf, 12, min_df=2)
+    m.save(str(tmp_path / "v"))
+    again = tfidf.load_model(spark, str(tmp_path / "v"))
+    a, b = (sorted(tuple(r) for r in x.weights(tf, "k").collect()) for x in (m, again))
+    assert a == b and again.size == m.size

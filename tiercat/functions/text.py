@@ -18,11 +18,6 @@ STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 # (?u)\b\w+\b in Unicode terms).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
-# Code point ranges whose accents are folded: Latin-1 Supplement through Cyrillic, the
-# Latin and Greek extended blocks, and the Latin ligatures.
-_FOLD_RANGES = ((0x00A0, 0x0530), (0x1E00, 0x2000), (0xFB00, 0xFB07))
-
-
 def strip_ws(c: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``str.strip``), not only
     spaces as plain ``trim`` does (trap T2). ``trim`` with an explicit character set only
@@ -30,48 +25,76 @@ def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(STRIP_CHARS))
 
 
+# Hangul syllables decompose by rule into jamo: first code point, and the counts of vowels x
+# trailing jamo and of trailing jamo.
+_HANGUL, _HANGUL_END, _VT, _T = 0xAC00, 0xD7A3, 588, 28
+_SEPARATOR = "\x01"
+
+
 @lru_cache(maxsize=None)
 def _accent_tables():
-    """Derive the accent-folding table by rule: NFKD-decompose each code point of the fold
-    ranges and drop combining marks (what ``strip_accents='unicode'`` does per character).
-
-    Returns (from_chars, to_chars, deletions, expansions): one-to-one replacements for
-    ``translate``, characters that fold to nothing, and the few that fold to several
-    characters (ligatures, vulgar fractions)."""
+    """Derive the folding of every code point by rule: NFKD-decompose and drop combining marks
+    (what ``strip_accents='unicode'`` does per character). Returns (from_chars, to_chars,
+    deletions, expansions): one-to-one replacements for ``translate``, characters that fold to
+    nothing, and those that fold to several (Hangul syllables left out)."""
     one_from, one_to, deletions, expansions = [], [], [], []
-    for lo, hi in _FOLD_RANGES:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            folded = "".join(x for x in unicodedata.normalize("NFKD", ch)
-                             if not unicodedata.combining(x))
-            if folded == ch:
-                continue
-            if len(folded) == 1:
-                one_from.append(ch)
-                one_to.append(folded)
-            elif len(folded) == 0:
-                deletions.append(ch)
-            else:
-                expansions.append((ch, folded))
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF or _HANGUL <= cp <= _HANGUL_END:
+            continue
+        ch = chr(cp)
+        folded = "".join(x for x in unicodedata.normalize("NFKD", ch)
+                         if not unicodedata.combining(x))
+        if folded == ch:
+            continue
+        if len(folded) == 1:
+            one_from.append(ch)
+            one_to.append(folded)
+        elif len(folded) == 0:
+            deletions.append(ch)
+        else:
+            expansions.append((ch, folded))
     return "".join(one_from), "".join(one_to), "".join(deletions), tuple(expansions)
 
 
+def _jamo() -> tuple[Column, Column, Column]:
+    """The leading, vowel and trailing jamo as constant arrays (the first trailing one is none)."""
+    arr = lambda cps: F.split(F.lit(_SEPARATOR.join(cps)), _SEPARATOR)
+    return (arr([chr(0x1100 + i) for i in range(19)]), arr([chr(0x1161 + i) for i in range(21)]),
+            arr([""] + [chr(0x11A8 + i) for i in range(_T - 1)]))
+
+
 def strip_accents(c: Column) -> Column:
-    """Unicode accent stripping (NFKD, then drop combining marks) as one ``translate``
-    plus, only for rows that hold one, a short chain of multi-character expansions."""
+    """Unicode accent stripping (NFKD, then drop combining marks) of all code points: one
+    ``translate``, and only for rows that hold a character with a longer folding, a
+    replacement character by character. All in the JVM."""
     src, dst, dele, expansions = _accent_tables()
     out = F.translate(c, src + dele, dst)
-    if expansions:
-        chain = out
-        for ch, rep in expansions:
-            chain = F.regexp_replace(chain, _regex_quote(ch), rep.replace("$", "\\$"))
-        cls = "[" + "".join(_regex_quote(ch) for ch, _ in expansions) + "]"
-        out = F.when(out.rlike(cls), chain).otherwise(out)
-    return out
+    keys, values = (F.split(F.lit(_SEPARATOR.join(x)), _SEPARATOR) for x in zip(*expansions))
+    table = F.map_from_arrays(keys, values)
+    lead, vowel, trail = _jamo()
 
+    def one(ch: Column) -> Column:
+        s = F.ascii(ch) - _HANGUL
+        hangul = F.concat(F.get(lead, F.floor(s / _VT).cast("int")),
+                          F.get(vowel, F.floor(s % _VT / _T).cast("int")), F.get(trail, s % _T))
+        return F.when((s >= 0) & (s <= _HANGUL_END - _HANGUL), hangul) \
+            .otherwise(F.coalesce(F.try_element_at(table, ch), ch))
 
-def _regex_quote(ch: str) -> str:
-    return "\\x{%X}" % ord(ch)
+    longer = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.when(out.rlike(_guard()), longer).otherwise(out)
+
+
+@lru_cache(maxsize=None)
+def _guard() -> str:
+    """A character class of all code points with a longer folding, as ranges."""
+    cps = sorted([ord(ch) for ch, _ in _accent_tables()[3]] + [_HANGUL, _HANGUL_END])
+    ranges: list[list[int]] = []
+    for cp in cps:
+        if ranges and cp <= ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, _HANGUL_END if cp == _HANGUL else cp])
+    return "[" + "".join("\\x{%X}-\\x{%X}" % (a, b) for a, b in ranges) + "]"
 
 
 def normalize_text(c: Column) -> Column:

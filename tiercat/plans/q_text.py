@@ -42,9 +42,12 @@ FROM (SELECT doc_id, list_concat(t, list_transform(range(greatest(len(t) - 1, 0)
                                                    lambda i: t[i + 1] || ' ' || t[i + 2])) AS g
       FROM (SELECT doc_id, {TOKS_SQL} AS t FROM txn))"""))
 def f6_ngrams(spark, sf_dir):
-    g = tx.analyzed_terms(F.col("clean_description"), 1, 2)
-    return fx.txn(spark, sf_dir).select("doc_id", F.size(g).cast("long").alias("n_grams"),
-                                        F.md5(F.array_join(g, "|")).alias("grams_md5"))
+    # tokens, then n-grams, each one projected column, so a text is tokenised once
+    t = fx.txn(spark, sf_dir, with_type=False).select(
+        "doc_id", tx.tokens(tx.normalize_text(F.col("clean_description"))).alias("toks"))
+    g = t.select("doc_id", tx.word_ngrams(F.col("toks"), 1, 2).alias("g"))
+    return g.select("doc_id", F.size("g").cast("long").alias("n_grams"),
+                    F.md5(F.array_join("g", "|")).alias("grams_md5"))
 
 
 _TFIDF = S.with_ctes  # alias for readability below
