@@ -78,7 +78,8 @@ def step(p: dict[str, np.ndarray], h: np.ndarray, tokens: np.ndarray):
 def _masses(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of logits, in place, and its row sums. Logits are held in a range where single
     precision neither overflows nor loses a row."""
-    np.clip(x, -60, 60, out=x)
+    if x.max(initial=0) > 60 or x.min(initial=0) < -60:
+        np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], F4)
 
