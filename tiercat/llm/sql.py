@@ -37,6 +37,34 @@ c AS (SELECT *, CAST(floor(u + (k + 1) * step) - floor(u + k * step) AS BIGINT)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM c
 """
 
+# Every 400-byte string by its hash; the places that repeat make the spans, the rest is kept.
+OP2 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, encode(coalesce(text, '')) AS body FROM documents),
+s AS (
+  SELECT row_no, p, md5_number(array_slice(body, p, p + 399)) AS h
+  FROM (SELECT row_no, body, unnest(range(1, octet_length(body) - 398)) AS p FROM d)),
+twice AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+g AS (
+  SELECT row_no, p, CASE WHEN p <= 400 + lag(p) OVER (PARTITION BY row_no ORDER BY p) THEN 0 ELSE 1 END AS new
+  FROM s WHERE h IN (FROM twice)),
+span AS (
+  SELECT row_no, min(p) AS a, max(p) + 400 AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY row_no ORDER BY p) AS k FROM g) GROUP BY row_no, k),
+cut AS (
+  SELECT d.row_no, coalesce(lag(b) OVER w, 1) AS a, x.a AS b
+  FROM d JOIN (FROM span UNION ALL SELECT row_no, octet_length(body) + 1, octet_length(body) + 1 FROM d) x
+    USING (row_no)
+  WINDOW w AS (PARTITION BY d.row_no ORDER BY x.a, x.b DESC)),
+kept AS (
+  SELECT row_no, string_agg(hex(array_slice(body, a, b - 1)), '' ORDER BY a) FILTER (WHERE b > a) AS bytes
+  FROM cut JOIN d USING (row_no) GROUP BY row_no),
+lost AS (SELECT row_no, sum(b - a) AS n, count(*) AS spans FROM span GROUP BY row_no)
+SELECT doc_id, octet_length(body) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(bytes, ''))) AS kept_sha256
+FROM d JOIN kept USING (row_no) LEFT JOIN lost USING (row_no)
+"""
+
 # Lines of five words or more; all variants with one word deleted, as word lists.
 OP5 = r"""
 WITH l AS (
@@ -81,4 +109,4 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE = {"op9_topk": OP9, "op4_source_mixing": OP4, "op5_line_dedup": OP5}
+ORACLE = {"op2_suffix_dedup": OP2, "op9_topk": OP9, "op4_source_mixing": OP4, "op5_line_dedup": OP5}
