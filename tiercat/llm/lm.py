@@ -37,6 +37,7 @@ from tiercat.llm.common import col, fold, lower_words, parts, stored, texts_of
 END = b""
 ROUNDS = (1, 3, 7, 15, 32)  # of 32 shares of the training texts, those learned by the end of each
 CHUNKS = 32
+LOT = 512  # partitions whose parameters are averaged together
 LONGEST = 64
 _LN10 = float(np.log(10.0))
 
@@ -189,10 +190,14 @@ def trained(rows: DataFrame, layout: gru.Layout, start: np.ndarray, held_fold: i
             total = np.zeros(len(group["part"].iloc[0]) // 4)
             for weight, part in zip(w, group["part"]):
                 total += weight * np.frombuffer(part, np.float32)
-            return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "part": [(total / w.sum()).astype(np.float32).tobytes()]})
-
-        averaged = d.mapInArrow(run, "chunk int, weight double, part binary") \
-            .groupBy("chunk").applyInPandas(mean, "chunk int, part binary").collect()
+            return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "weight": [w.sum()],
+                                 "part": [(total / w.sum()).astype(np.float32).tobytes()]})
+
+        # partitions are averaged in lots, then the lots: no group grows with the corpus alone
+        kind = "chunk int, weight double, part binary"
+        lots = d.mapInArrow(run, kind).withColumn("lot", F.floor(F.spark_partition_id() / LOT))
+        averaged = lots.groupBy("chunk", "lot").applyInPandas(mean, kind) \
+            .groupBy("chunk").applyInPandas(mean, kind).collect()
         if averaged:
             vector = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(averaged, key=lambda r: r["chunk"])])
         now.unpersist()
