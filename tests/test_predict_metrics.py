@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tiercat.functions.arrays import argmax, masked_argmax, top_k
 from tiercat.operators import metrics as mt
+from tiercat.operators import predict as pd_
 
 
 def test_masked_argmax_properties(spark):
@@ -31,6 +32,34 @@ def test_masked_argmax_properties(spark):
         assert [z.i for z in r.t] == want
 
 
+def test_allowed_ids_outside_or_repeated(spark):
+    df = spark.createDataFrame([([0.2, 0.5, 0.5], [9, 2, 2, -1]), ([0.2, 0.5, 0.5], [7])],
+                               "p array<double>, a array<int>")
+    r = df.select(masked_argmax(F.col("p"), F.col("a")).alias("m"), top_k(F.col("p"), 3, F.col("a")).alias("t")).collect()
+    assert [x.m for x in r] == [2, None]
+    assert [[z.i for z in x.t] for x in r] == [[2], []]
+
+
+def test_classify_names_every_row(spark):
+    """Names by joins: rows stay whole and in order of score; a class without a name, and a row
+    without probabilities, has the name null."""
+    cats = spark.createDataFrame([("a", 0), ("b", 1)], "category string, category_id int")
+    subs = spark.createDataFrame([("a/x", 0), ("b/x", 1), ("b/y", 2)], "sub_category string, subcategory_id int")
+    cmap = spark.createDataFrame([(0, [0]), (1, [1, 2])], "category_id int, sub_ids array<int>")
+    rows = [(1, [0.1, 0.6, 0.3], [0.5, 0.2, 0.3]), (2, [0.7, 0.2, 0.1], [0.0, 0.9, 0.1]),
+            (3, [0.1, 0.2, 0.7], [0.5, 0.2, 0.3]), (4, None, None), (2, [0.7, 0.2, 0.1], [0.0, 0.9, 0.1])]
+    df = spark.createDataFrame(rows, "id int, cat_prob array<double>, sub_prob array<double>")
+    got = pd_.classify(df, cmap, cats, subs, k=2).orderBy("id").collect()
+    assert [(r.id, r.category, r.subcategory) for r in got] == [
+        (1, "b", "b/y"), (2, "a", "a/x"), (2, "a", "a/x"), (3, None, "a/x"), (4, None, None)]
+    top = lambda z, name: None if z is None else [(x[name], x.confidence) for x in z]
+    assert [top(r.top_categories, "category") for r in got] == [
+        [("b", 0.6), (None, 0.3)], [("a", 0.7), ("b", 0.2)], [("a", 0.7), ("b", 0.2)],
+        [(None, 0.7), ("b", 0.2)], None]
+    assert [top(r.top_subcategories, "subcategory") for r in got] == [
+        [("b/y", 0.3), ("b/x", 0.2)], [], [], [("a/x", 0.5), ("b/y", 0.3)], None]
+
+
 def test_class_report_brute_force(spark):
     rnd = random.Random(3)
     rows = [(rnd.randint(0, 5), rnd.randint(0, 6)) for _ in range(500)]

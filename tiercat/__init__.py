@@ -5,7 +5,7 @@ Layout:
   functions/  column expressions (text normalisation, tokens, n-grams, array argmax/top-k/masks)
   operators/  DataFrame -> DataFrame operators (profile, prepare, split, tfidf, features,
               train, predict, metrics, keywords)
-  plans/      session setup, bounded broadcast, fixture views and the query registry
+  plans/      fixture views and the query registry
   streaming/  the batch scoring model applied to a streaming DataFrame
 """
 

@@ -24,18 +24,20 @@ def _scored(p: Column) -> Column:
     return F.transform(p, lambda x, i: F.struct((-x).alias("k"), i.alias("i")))
 
 
-def _allowed_filter(scored: Column, allowed: Column | None) -> Column:
+def _candidates(p: Column, allowed: Column | None) -> Column:
+    """Sort structs of the entries that may win: those of ``allowed``, read one by one, or all where
+    the allowed set is null or empty (trap T7). Ids outside ``p`` are left out."""
     if allowed is None:
-        return scored
-    # null or empty allowed set -> no mask (trap T7)
-    return F.filter(scored, lambda z: F.coalesce(F.size(allowed) <= 0, F.lit(True)) |
-                    F.coalesce(F.array_contains(allowed, z["i"]), F.lit(False)))
+        return _scored(p)
+    some = F.transform(F.array_distinct(allowed),
+                       lambda i: F.struct((-F.get(p, i)).alias("k"), i.cast("int").alias("i")))
+    return F.when(F.size(allowed) > 0, F.filter(some, lambda z: z["k"].isNotNull())).otherwise(_scored(p))
 
 
 def masked_argmax(p: Column, allowed: Column | None) -> Column:
     """M5: best index among ``allowed`` (score desc, index asc); all indices when the
     allowed set is null or empty. The winner is always inside the allowed set."""
-    best = F.array_min(_allowed_filter(_scored(p), allowed))
+    best = F.array_min(_candidates(p, allowed))
     return best["i"].cast("int")
 
 
@@ -51,7 +53,7 @@ def top_k(p: Column, k: int = 3, allowed: Column | None = None,
     """K4 (+P14): the ``k`` best (index, score) pairs, score desc, index asc, as
     ``ARRAY<STRUCT<i INT, score DOUBLE>>``; scores are read back from ``p`` so no ``-0.0``
     from the sort key leaks out."""
-    cands = _allowed_filter(_scored(p), allowed)
+    cands = _candidates(p, allowed)
     if positive_only:
         cands = F.filter(cands, lambda z: z["k"] < 0)
     best = F.slice(F.array_sort(cands), 1, k)
@@ -75,10 +77,3 @@ def softmax(v: Column) -> Column:
     """Probabilities from margins, in time linear in the number of classes."""
     e = _by_one(v, F.array_max(v), lambda x, top: F.exp(x - top))
     return _by_one(e, F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda x, s: x / s)
-
-
-def decode(ids: Column, names: list[str]) -> Column:
-    """J3 for an id column: element of a literal name array (the label dictionary, which
-    is bounded by the number of classes)."""
-    arr = F.array(*[F.lit(n) for n in names])
-    return F.try_element_at(arr, ids + 1)

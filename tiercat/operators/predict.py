@@ -2,15 +2,16 @@
 
 Input: rows with a category probability array and a subcategory probability array
 (from any model, see ``train.py``). The category is the argmax; the subcategory is the best
-one among the ids allowed for that category by the category map (broadcast, bounded by
-the number of categories). No per-row Python.
+one among the ids allowed for that category by the category map (one row per category).
+Names come from the label dictionaries by joins. No per-row Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tiercat.functions.arrays import argmax, decode, masked_argmax, top_k
+from tiercat.functions.arrays import argmax, masked_argmax, top_k
+from tiercat.operators.prepare import label_name
 
 
 def with_allowed(df: DataFrame, cmap: DataFrame, cat_id: str = "pred_category_id") -> DataFrame:
@@ -33,23 +34,29 @@ def hierarchical(df: DataFrame, cmap: DataFrame, cat_prob: str = "cat_prob",
                         F.element_at(F.col(sub_prob), F.col("pred_subcategory_id") + 1)))
 
 
-def classify(df: DataFrame, cmap: DataFrame, cat_names: list[str], sub_names: list[str],
+def classify(df: DataFrame, cmap: DataFrame, categories: DataFrame, subcategories: DataFrame,
              cat_prob: str = "cat_prob", sub_prob: str = "sub_prob", k: int | None = None,
              ) -> DataFrame:
-    """M6/M7: decoded record per row (J3 through the label arrays); with ``k``, the top-k
-    categories and the top-k allowed subcategories with positive confidence (K4, P14)."""
-    h = hierarchical(df, cmap, cat_prob, sub_prob)
-    out = (h.withColumn("category", decode(F.col("pred_category_id"), cat_names))
-            .withColumn("subcategory", decode(F.col("pred_subcategory_id"), sub_names)))
+    """M6/M7: decoded record per row (J3 by joins with the label dictionaries); with ``k``, the
+    top-k categories and the top-k allowed subcategories with positive confidence (K4, P14)."""
+    out = hierarchical(df, cmap, cat_prob, sub_prob)
+    out = label_name(out, F.col("pred_category_id"), categories, "category")
+    out = label_name(out, F.col("pred_subcategory_id"), subcategories, "subcategory")
     if k:
-        cats = top_k(F.col(cat_prob), k)
-        subs = top_k(F.col(sub_prob), k, allowed=F.col("allowed"), positive_only=True)
-        names_c = F.array(*[F.lit(n) for n in cat_names])
-        names_s = F.array(*[F.lit(n) for n in sub_names])
-        out = (out.withColumn("top_categories", F.transform(cats, lambda z: F.struct(
-                    F.try_element_at(names_c, z["i"] + 1).alias("category"),
-                    z["score"].alias("confidence"))))
-               .withColumn("top_subcategories", F.transform(subs, lambda z: F.struct(
-                    F.try_element_at(names_s, z["i"] + 1).alias("subcategory"),
-                    z["score"].alias("confidence")))))
+        out = _named_top(out, top_k(F.col(cat_prob), k), k, categories, "category", "top_categories")
+        best = top_k(F.col(sub_prob), k, allowed=F.col("allowed"), positive_only=True)
+        out = _named_top(out, best, k, subcategories, "subcategory", "top_subcategories")
     return out
+
+
+def _named_top(df: DataFrame, best: Column, k: int, dictionary: DataFrame, name: str,
+               out: str) -> DataFrame:
+    """``out``: the (index, score) pairs ``best``, at most ``k``, as (name, confidence); every
+    place meets the dictionary once."""
+    d = df.withColumn("_best", best)
+    for i in range(k):
+        d = label_name(d, F.get("_best", F.lit(i))["i"], dictionary, f"_name{i}")
+    pairs = F.array(*[F.struct(F.col(f"_name{i}").alias(name),
+                               F.get("_best", F.lit(i))["score"].alias("confidence")) for i in range(k)])
+    return d.withColumn(out, F.slice(pairs, F.lit(1), F.size("_best"))) \
+        .drop("_best", *[f"_name{i}" for i in range(k)])

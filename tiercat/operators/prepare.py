@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercat.functions.text import strip_ws
-from tiercat.plans.broadcast import small_rows
 
 TEXT, TYPE, CATEGORY, SUBCATEGORY = "clean_description", "type", "category", "sub_category"
 CATEGORY_ID, SUBCATEGORY_ID = "category_id", "subcategory_id"
@@ -52,7 +51,7 @@ def class_sizes(df: DataFrame, col: str) -> DataFrame:
 
 def filter_rare(df: DataFrame, col: str = SUBCATEGORY, min_count: int = 100) -> DataFrame:
     """Keep rows whose class has at least ``min_count`` rows (left semi join against the
-    frequent-class set, broadcast after its size is checked)."""
+    frequent-class set, one row per class)."""
     keep = class_sizes(df, col).where(F.col("n") >= min_count).select(col)
     return df.join(keep, col, "left_semi")
 
@@ -70,25 +69,26 @@ def label_dictionary(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
 
 
 def encode_labels(df: DataFrame, col: str, dictionary: DataFrame, id_col: str) -> DataFrame:
-    """Add the id of ``col`` by an inner join with the (checked, broadcast) dictionary."""
+    """Add the id of ``col`` by an inner join with the dictionary."""
     d = dictionary.select(F.col(col), F.col(dictionary.columns[1]).alias(id_col))
     return df.join(d, col, "inner")
 
 
-def label_names(dictionary: DataFrame, max_classes: int = 100_000) -> list[str]:
-    """The label dictionary as a Python list indexed by id (model metadata, checked size)."""
-    name_col, id_col = dictionary.columns[0], dictionary.columns[1]
-    rows = small_rows(dictionary.orderBy(id_col), max_classes, "label dictionary")
-    return [r[name_col] for r in rows]
-
-
 def decode_labels(df: DataFrame, id_col: str, dictionary: DataFrame, name_col: str) -> DataFrame:
-    """Id -> name by a broadcast inner join with the dictionary."""
+    """Id -> name by an inner join with the dictionary."""
     d = dictionary.select(F.col(dictionary.columns[1]).alias(id_col),
                           F.col(dictionary.columns[0]).alias(name_col))
     return df.join(d, id_col, "inner")
 
 
+def label_name(df: DataFrame, class_id: Column, dictionary: DataFrame, out: str) -> DataFrame:
+    """J3 by a left join: ``out`` is the name of ``class_id``; every row stays, and an id that is
+    null or not in the dictionary has the name null."""
+    d = dictionary.select(F.col(dictionary.columns[1]).alias("_id"), F.col(dictionary.columns[0]).alias("_name"))
+    return df.withColumn("_class", class_id).join(d, F.col("_class") == F.col("_id"), "left") \
+        .withColumn(out, F.col("_name")).drop("_class", "_id", "_name")
+
+
 @dataclass
 class Encoded:
     """A cleaned, filtered table with both label ids, plus its two dictionaries."""

@@ -11,8 +11,8 @@ Plan shape, chosen for scale:
     then run without another exchange;
   * document frequencies are one term-keyed aggregation with map-side partial counts;
   * the vocabulary is capped by an exact, distributed cutoff (a histogram of corpus counts)
-    instead of a global sort, and joins the tf rows as a broadcast only when its row count
-    is within the checked bound (``max_features`` makes that bound explicit).
+    instead of a global sort; it is a written table, so the planner sees its size when the
+    tf rows join it.
 """
 
 from __future__ import annotations

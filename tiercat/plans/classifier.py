@@ -1,13 +1,12 @@
 """End-to-end API: fit both levels, then score batches (or streams) of texts.
 
 ``HierarchicalClassifier`` is the Spark form of the reference's inference object: two
-Spark ML models, the two label dictionaries and the category map; ``transform`` scores a
+Spark ML models, the two label dictionaries and the category map, all three tables; ``transform`` scores a
 DataFrame of texts (M6/M7) with no per-row Python.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass
 
@@ -18,6 +17,7 @@ from tiercat.operators import features as fe
 from tiercat.operators import predict as pd_
 from tiercat.operators import prepare as prep
 from tiercat.operators import train as tr
+from tiercat.session import materialize
 from tiercat.sources.io import write_parquet
 
 
@@ -25,8 +25,8 @@ from tiercat.sources.io import write_parquet
 class HierarchicalClassifier:
     cat_model: PipelineModel
     sub_model: PipelineModel
-    cat_names: list[str]
-    sub_names: list[str]
+    categories: DataFrame       # (category, category_id)
+    subcategories: DataFrame    # (sub_category, subcategory_id)
     cmap: DataFrame
     dim: int = fe.TEXT_DIM
 
@@ -44,8 +44,9 @@ class HierarchicalClassifier:
         cat = tr.fit(d, family, prep.CATEGORY_ID, max_iter=max_iter)
         sub = tr.fit(d, family, prep.SUBCATEGORY_ID, max_iter=max_iter)
         d.unpersist()
-        return cls(cat, sub, prep.label_names(categories), prep.label_names(subcategories),
-                   prep.category_map(prepared) if cmap is None else cmap, dim)
+        tables = {"categories": categories, "subcategories": subcategories,
+                  "category-map": prep.category_map(prepared) if cmap is None else cmap}
+        return cls(cat, sub, *[materialize(prepared.sparkSession, t, n) for n, t in tables.items()], dim)
 
     def transform(self, df: DataFrame, text: str = prep.TEXT, type_col: str = prep.TYPE,
                   top_k: int | None = None) -> DataFrame:
@@ -54,23 +55,22 @@ class HierarchicalClassifier:
                                                fe.HashingEncoder(self.dim)), "features")
         s = tr.probabilities(self.cat_model, d, "cat_prob").drop("prediction")
         s = tr.probabilities(self.sub_model, s, "sub_prob").drop("prediction", "features")
-        return pd_.classify(s, self.cmap, self.cat_names, self.sub_names, k=top_k)
+        return pd_.classify(s, self.cmap, self.categories, self.subcategories, k=top_k)
 
     def save(self, path: str) -> None:
-        """S6 + S7: models by Spark ML persistence, map as parquet, names as JSON."""
+        """S6 + S7: models by Spark ML persistence, map and dictionaries as parquet."""
         tr.save(self.cat_model, os.path.join(path, "category_model"))
         tr.save(self.sub_model, os.path.join(path, "subcategory_model"))
         write_parquet(self.cmap, os.path.join(path, "category_map"))
-        spark = self.cmap.sparkSession
-        meta = json.dumps({"categories": self.cat_names, "subcategories": self.sub_names,
-                           "dim": self.dim})
-        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write \
-            .mode("overwrite").text(os.path.join(path, "labels"))
+        write_parquet(self.categories, os.path.join(path, "categories"))
+        write_parquet(self.subcategories, os.path.join(path, "subcategories"))
+        size = self.cmap.sparkSession.createDataFrame([(self.dim,)], "dim int")
+        write_parquet(size, os.path.join(path, "settings"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "HierarchicalClassifier":
-        meta = json.loads(spark.read.text(os.path.join(path, "labels")).first()[0])
         return cls(tr.load(os.path.join(path, "category_model")),
                    tr.load(os.path.join(path, "subcategory_model")),
-                   meta["categories"], meta["subcategories"],
-                   spark.read.parquet(os.path.join(path, "category_map")), meta["dim"])
+                   *[spark.read.parquet(os.path.join(path, t))
+                     for t in ("categories", "subcategories", "category_map")],
+                   spark.read.parquet(os.path.join(path, "settings")).first()["dim"])

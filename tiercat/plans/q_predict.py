@@ -109,8 +109,8 @@ FROM hier h JOIN cat_dict c ON c.category_id = h.pred_category_id
 def m7_classify(spark, sf_dir):
     """M7/M6: decoded category and subcategory with confidences."""
     s, p = scores_val(spark, sf_dir, coarse=True)
-    out = pd_.classify(s, prep.category_map(p.rows), prep.label_names(p.categories),
-                       prep.label_names(p.subcategories))
+    out = pd_.classify(s, prep.category_map(p.rows), p.categories,
+                       p.subcategories)
     return out.select("doc_id", "category", "subcategory",
                       _r6(F.col("category_confidence")).alias("category_confidence"),
                       _r6(F.col("subcategory_confidence")).alias("subcategory_confidence"))
@@ -135,8 +135,8 @@ SELECT list, doc_id, CAST(rank AS BIGINT) AS rank, label, round(score, 6) AS con
 def k4_top3(spark, sf_dir):
     """K4 + P14: top-3 categories, and top-3 allowed subcategories with confidence > 0."""
     s, p = scores_val(spark, sf_dir, coarse=True)
-    out = pd_.classify(s, prep.category_map(p.rows), prep.label_names(p.categories),
-                       prep.label_names(p.subcategories), k=3)
+    out = pd_.classify(s, prep.category_map(p.rows), p.categories,
+                       p.subcategories, k=3)
     c = out.select("doc_id", F.posexplode("top_categories").alias("pos", "t")).select(
         F.lit("category").alias("list"), "doc_id", (F.col("pos") + 1).cast("long").alias("rank"),
         F.col("t.category").alias("label"), _r6(F.col("t.confidence")).alias("confidence"))
@@ -151,7 +151,7 @@ SELECT p.doc_id, c.category AS pred_category, d.sub_category AS pred_subcategory
 FROM preds p JOIN cat_dict c ON c.category_id = p.pred_category_id
              JOIN sub_dict d ON d.subcategory_id = p.pred_subcategory_id"""))
 def j3_label_decoding(spark, sf_dir):
-    """Id -> name by broadcast joins with the label dictionaries."""
+    """Id -> name by joins with the label dictionaries."""
     d, p = preds_val(spark, sf_dir)
     d = prep.decode_labels(d, "pred_category_id", p.categories, "pred_category")
     d = prep.decode_labels(d, "pred_subcategory_id", p.subcategories, "pred_subcategory")

@@ -197,8 +197,8 @@ def m6_batch_scoring(spark, sf_dir):
     val = _validation(spark, sf_dir, "dense").select("doc_id", "features")
     s = tr.probabilities(m["category_id"], val, "cat_prob").drop("prediction")
     s = tr.probabilities(m["subcategory_id"], s, "sub_prob").drop("prediction")
-    out = pd_.classify(s, prep.category_map(p.rows), prep.label_names(p.categories),
-                       prep.label_names(p.subcategories), k=3)
+    out = pd_.classify(s, prep.category_map(p.rows), p.categories,
+                       p.subcategories, k=3)
     pairs = p.rows.select("category", F.col("sub_category").alias("subcategory")).distinct() \
         .withColumn("allowed_pair", F.lit(True))
     ok = lambda c: F.col(c).between(0, 1) & (F.col(c) > 0)

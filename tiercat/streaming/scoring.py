@@ -1,8 +1,8 @@
 """Batch scoring applied to a stream.
 
 The reference has no streaming operator. Every step of :class:`HierarchicalClassifier`
-``transform`` is stateless (projection, a broadcast stream-static join with the category
-map, model scoring), so the same plan scores a ``readStream`` source micro-batch by
+``transform`` is stateless (projection, stream-static joins with the category map
+and the label dictionaries, model scoring), so the same plan scores a ``readStream`` source micro-batch by
 micro-batch; nothing here keeps state.
 """
 
