@@ -9,7 +9,7 @@ from tiercat.operators import keywords as kw
 from tiercat.operators import tfidf
 from tiercat.plans import fixtures as fx
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def plan(df):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tiercat.operators import prepare as prep
 from tiercat.plans import fixtures as fx
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def test_strip_matches_python(spark):

@@ -6,7 +6,7 @@ from tiercat.plans import fixtures as fx
 from tiercat.plans.classifier import HierarchicalClassifier
 from tiercat.streaming.scoring import score_stream
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def test_stream_scoring_matches_batch(spark, tmp_path):

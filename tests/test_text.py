@@ -11,7 +11,7 @@ from tiercat.functions import text as tx
 from tiercat.operators import tfidf
 from tiercat.plans import fixtures as fx
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 WORD = re.compile(r"(?u)\b\w+\b")
 

@@ -6,7 +6,7 @@ from tiercat.operators import train as tr
 from tiercat.plans import fixtures as fx
 from tiercat.plans.classifier import HierarchicalClassifier
 
-from conftest import SF_MID
+from folders import SF_MID
 
 
 def test_balanced_weights_sum_to_n(spark):
