@@ -3,7 +3,7 @@
 A line is a part of a text between newlines; its words are what white space parts. Two lines are
 alike if one becomes the other by at most one word edit: a word replaced, put in or left out.
 A line with at least ``min_words`` words is removed if a line alike stands before it, in
-order of (key, line number). Shorter lines always stay.
+order of (key, text hash, line number). Shorter lines always stay.
 
 1. Every line gets a 128-bit hash of its words; equal lines are one class with a first place.
 2. A screen that loses nothing: two different lines within one edit agree on all words of the
@@ -18,9 +18,10 @@ order of (key, line number). Shorter lines always stay.
 5. The words of a line and of the earlier one are compared: the edit distance is verified.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; white space
-around and between words does not tell lines apart; rows that repeat a key are one document: a
-line at the same place of a repeated row is the same line and not removed; a null key stands
-before all others.
+around and between words does not tell lines apart; a row is known by its key and the hash of
+its text, so different texts under one key, null included, are documents of their own; rows that
+repeat both are one document: a line at the same place of a repeated row is the same line and not
+removed; a null key stands before all others.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ from tiercat.llm.common import WORD, body, col, stored
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, words) of every line."""
-    return (docs.select(col(key).alias("key"), F.posexplode(F.split(body(text), "\n")).alias("line", "raw"))
-            .select("key", "line", F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)).alias("words")))
+    """(key, tid, line, words) of every line."""
+    return (docs.select(col(key).alias("key"), F.xxhash64(body(text)).alias("tid"),
+                        F.posexplode(F.split(body(text), "\n")).alias("line", "raw"))
+            .select("key", "tid", "line", F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)).alias("words")))
 
 
 def hashed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(key, line, n, h1, h2, halves) of every line of at least ``min_words`` words."""
+    """(key, tid, line, n, h1, h2, halves) of every line of at least ``min_words`` words."""
     n, w = F.col("n"), F.col("words")
 
     def halves(total: Column, skipped: int) -> list[Column]:
@@ -52,7 +54,7 @@ def hashed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
 
     base = lines(docs, key, text).withColumn("n", F.size("words")).where(n >= min_words)
     return base.select(
-        "key", "line", "n", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"),
+        "key", "tid", "line", "n", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"),
         F.array(*halves(n, 0), *halves(n - 1, 1)).alias("halves"))
 
 
@@ -116,28 +118,31 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def candidate_words(docs: DataFrame, key: str, text: str, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``chosen`` (key, line, ...) with the words of each line. At most ``broadcast_rows`` places
+    """``chosen`` (key, tid, line, ...) with the words of each line. At most ``broadcast_rows`` places
     travel to the texts; more meet them by a shuffle."""
     places = stored(chosen, "line-places")
     small = places.limit(broadcast_rows + 1).count() <= broadcast_rows
-    at = places.groupBy("key").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "key"])).alias("at"))
-    d = docs.select(col(key).alias("doc_key"), body(text).alias("body"))
-    got = d.join(F.broadcast(at) if small else at, F.col("doc_key").eqNullSafe(F.col("key"))).select(
-        "key", F.split("body", "\n").alias("parts"), F.explode("at").alias("a"))
+    at = places.groupBy("key", "tid").agg(
+        F.collect_list(F.struct(*[c for c in places.columns if c not in ("key", "tid")])).alias("at"))
+    d = docs.select(col(key).alias("doc_key"), F.xxhash64(body(text)).alias("doc_tid"), body(text).alias("body"))
+    same = F.col("doc_key").eqNullSafe(F.col("key")) & (F.col("doc_tid") == F.col("tid"))
+    got = d.join(F.broadcast(at) if small else at, same).select(
+        "key", "tid", F.split("body", "\n").alias("parts"), F.explode("at").alias("a"))
     words = F.regexp_extract_all(F.get("parts", F.col("a.line")), F.lit(WORD), F.lit(0))
-    return got.select("key", "a.*", words.alias("words")).where(F.xxhash64("words") == F.col("h1"))
+    return got.select("key", "tid", "a.*", words.alias("words")).where(F.xxhash64("words") == F.col("h1"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
                   broadcast_rows: int = 500_000) -> DataFrame:
-    """(key, line) of every line that goes."""
+    """(key, tid, line) of every line that goes."""
     each = stored(hashed_lines(docs, key, text, min_words), "lines")
     classes = stored(each.groupBy("h1", "h2").agg(
-        F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+        F.min(F.struct("key", "tid", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
     # the classes that have a partner, with their words, numbered in order of their first places
-    chosen = classes.join(partnered(each), "h1").select("first.key", "first.line", "h1", "h2", "sides")
+    chosen = classes.join(partnered(each), "h1").select(
+        "first.key", "first.tid", "first.line", "h1", "h2", "sides")
     got = candidate_words(docs, key, text, chosen, broadcast_rows).dropDuplicates(["h1", "h2"])
-    candidates = stored(got.repartitionByRange("key", "line").sortWithinPartitions("key", "line").select(
+    candidates = stored(got.repartitionByRange("key", "tid", "line").sortWithinPartitions("key", "tid", "line").select(
         F.monotonically_increasing_id().alias("no"), "h1", "h2", "sides", F.size("words").alias("n"), "words"),
         "line-candidates")
 
@@ -155,18 +160,20 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     marked = classes.join(near, ["h1", "h2"], "left").where("copies > 1 OR near").select(
         "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    is_first = F.struct("key", "line").eqNullSafe(F.col("first"))
-    return each.select("key", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
-        .where(F.col("near") | ~is_first).select("key", "line")
+    is_first = F.struct("key", "tid", "line").eqNullSafe(F.col("first"))
+    return each.select("key", "tid", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
+        .where(F.col("near") | ~is_first).select("key", "tid", "line")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """``docs``, all columns, texts without the removed lines; ``__lines`` and ``__removed`` count
     the lines before and those removed. A text that keeps all its lines is unchanged, null
     included."""
-    gone = removed_lines(docs, key, text, min_words).groupBy(F.col("key").alias("__key")) \
+    gone = removed_lines(docs, key, text, min_words).groupBy(
+        F.col("key").alias("__key"), F.col("tid").alias("__tid")) \
         .agg(F.collect_set("line").alias("__gone"))
-    d = docs.join(gone, col(key).eqNullSafe(F.col("__key")), "left")
+    same = col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(body(text)) == F.col("__tid"))
+    d = docs.join(gone, same, "left")
     d = d.withColumn("__parts", F.split(body(text), "\n"))
     kept = F.filter("__parts", lambda x, i: ~F.array_contains(F.col("__gone"), i))
     new = F.when(F.col("__gone").isNull(), col(text)).otherwise(F.array_join(kept, "\n"))
