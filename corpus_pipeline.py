@@ -44,8 +44,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.keep_one(docs, shingle=3, max_bits=3)
+    """One document of each group of near copies stays, the one with the smallest id; documents
+    that share an id, or have none, are told apart by their texts."""
+    return simhash.keep_one(docs, shingle=3, max_bits=3, distinct_keys=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Rows that share a key, null included, and hold different texts."""
+from collections import Counter
+
 import pytest
 
-from tiercat.llm import line_dedup
+import corpus_pipeline
+from tiercat.llm import line_dedup, simhash
 
 SHARED = "one line that several of the texts hold"
 ROWS = [
@@ -28,3 +31,22 @@ def test_lines_of_texts_that_share_a_key(spark, broadcast_rows):
     assert sum(n for *_, n in out) == 6
     own = sorted(x for _, t in ROWS for x in t.split("\n") if x != SHARED)
     assert sorted(x for _, t, _ in out for x in t.split("\n") if x != SHARED) == own
+
+
+def _text(seed):
+    return " ".join(f"w{seed * 1000 + i}" for i in range(60))
+
+
+def test_one_row_of_each_component(spark, tmp_path):
+    rows = [(None, _text(1)), (None, _text(2)), (None, _text(2)), (None, _text(3)), (4, _text(3)),
+            (5, _text(4)), (5, _text(5)), (5, _text(5)), (5, _text(3)), (6, _text(4)), (None, None), (None, "")]
+    d = spark.createDataFrame([(*r, "en", "b", 0) for r in rows],
+                              "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [(None, _text(1)), (None, _text(2)), (4, _text(3)), (5, _text(4)), (5, _text(5)), (None, "")]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = corpus_pipeline.near_duplicate_stage(spark, d, str(tmp_path))
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=order) == sorted(want, key=order)
+    # one row a key: texts without a key all stay
+    got = Counter(r.doc_id for r in simhash.keep_one(d).collect())
+    assert got == {None: 3, 4: 1, 5: 1}

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tiercat.llm.common import col, lower_words, parts, stored, texts_of, whole_groups
+from tiercat.llm.common import body, col, lower_words, parts, stored, texts_of, whole_groups
 from tiercat.llm.components import components
 
 
@@ -204,13 +204,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
-             max_bits: int = 3) -> DataFrame:
-    """The documents with one of each component kept, the one with the smallest key; of rows
-    that repeat that key, one. All columns. Rows with a null key are kept only where a
-    component has no other key."""
-    n = near_duplicates(docs, key, text, shingle, max_bits)
-    kept = n.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("__one_key"))
-    kept = kept.distinct()
-    d = docs.join(kept, col(key).eqNullSafe(F.col("__one_key")), "left_semi")
-    w = Window.partitionBy(col(key)).orderBy(F.xxhash64(F.coalesce(col(text), F.lit(""))))
-    return d.withColumn("__one_no", F.row_number().over(w)).where("__one_no = 1").drop("__one_no")
+             max_bits: int = 3, distinct_keys: bool = True) -> DataFrame:
+    """The documents with one row of each component kept, all columns: the smallest (key, text hash),
+    null keys last; of rows equal in both, one. Different texts under one key, null included, are
+    documents of their own. ``distinct_keys`` keeps besides only one row of each key that is not
+    null, the one with the smallest text hash."""
+    tid = F.xxhash64(body(text))
+    row = F.struct(col(key).isNull().alias("no_key"), col(key).alias("key"), tid.alias("tid"))
+    n = near_duplicates(docs.select(row.alias("key"), col(text).alias("text")), "key", "text", shingle, max_bits)
+    kept = n.where(F.col("key") == F.col("component")).select(
+        F.col("key.key").alias("__one_key"), F.col("key.tid").alias("__one_tid")).distinct()
+    d = docs.join(kept, col(key).eqNullSafe(F.col("__one_key")) & (tid == F.col("__one_tid")), "left_semi")
+    w = Window.partitionBy(col(key), tid).orderBy(F.lit(0))
+    d = d.withColumn("__one_no", F.row_number().over(w)).where("__one_no = 1")
+    if distinct_keys:
+        w = Window.partitionBy(col(key), F.when(col(key).isNull(), tid)).orderBy(tid)
+        d = d.withColumn("__one_no", F.row_number().over(w)).where("__one_no = 1")
+    return d.drop("__one_no")
