@@ -50,3 +50,17 @@ def test_one_row_of_each_component(spark, tmp_path):
     # one row a key: texts without a key all stay
     got = Counter(r.doc_id for r in simhash.keep_one(d).collect())
     assert got == {None: 3, 4: 1, 5: 1}
+
+
+def test_texts_that_keep_short_lines_stay(spark, tmp_path):
+    rows = [(1, "one line that two of the texts hold"), (2, "one line that two of the texts hold\nred\nblue green"),
+            (3, "one line that two of the texts hold\n \t\n"), (4, "red\nblue  green\nshort"),
+            (5, "blue green\nred\none line that two of the texts hold\n\nred"), (6, "red"),
+            (None, "one line that two of the texts hold"), (None, "one line that two of the texts hold\nof its own"),
+            (8, "one line that two of the texts hold\nof its  own\n")]
+    d = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, d, str(tmp_path)).collect()}
+    # 1, 3, 5 and 8 hold copies only; one of the texts without a key has the first place
+    assert {x for x in got if x[0]} == {(2, "red\nblue green"), (4, rows[3][1]), (6, "red")}
+    null = {t for k, t in got if k is None}
+    assert len([t for t in null if "one line" in t]) == 1 and any("of its own" in t for t in null)

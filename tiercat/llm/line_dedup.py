@@ -135,6 +135,12 @@ def candidate_words(docs: DataFrame, key: str, text: str, chosen: DataFrame, bro
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
                   broadcast_rows: int = 500_000) -> DataFrame:
     """(key, tid, line) of every line that goes."""
+    return _removed(docs, key, text, min_words, broadcast_rows)[1]
+
+
+def _removed(docs: DataFrame, key: str, text: str, min_words: int,
+             broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """(key, tid, line, ...) of every line that is judged, and those that go."""
     each = stored(hashed_lines(docs, key, text, min_words), "lines")
     classes = stored(each.groupBy("h1", "h2").agg(
         F.min(F.struct("key", "tid", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
@@ -161,19 +167,45 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     marked = classes.join(near, ["h1", "h2"], "left").where("copies > 1 OR near").select(
         "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     is_first = F.struct("key", "tid", "line").eqNullSafe(F.col("first"))
-    return each.select("key", "tid", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
+    return each, each.select("key", "tid", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
         .where(F.col("near") | ~is_first).select("key", "tid", "line")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def copied(docs: DataFrame, each: DataFrame, removed: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """(key, tid) of the texts that are left with nothing but copies: all their lines in ``each``
+    are in ``removed``, and all shorter ones repeat an earlier line exactly. The first place of
+    a line is never in such a text."""
+    same = lambda a, b: F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.tid") == F.col(f"{b}.tid"))
+    count = lambda d, name: d.groupBy("key", "tid").agg(F.count(F.lit(1)).alias(name))
+    bare = count(removed, "n_gone").alias("r").join(count(each, "n_long").alias("e"), same("r", "e")) \
+        .where("n_gone = n_long").select("r.key", "r.tid")
+    n, w = F.size("words"), F.col("words")
+    short = lines(docs, key, text).where((n > 0) & (n < min_words)).select(
+        "key", "tid", "line", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"))
+    first = short.groupBy("h1", "h2").agg(F.min(F.struct("key", "tid", "line")).alias("first"))
+    own = first.select(F.col("first.key").alias("key"), F.col("first.tid").alias("tid")).distinct()
+    return bare.alias("b").join(own.alias("o"), same("b", "o"), "left_anti")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
+                drop_copies: bool = False) -> DataFrame:
     """``docs``, all columns, texts without the removed lines; ``__lines`` and ``__removed`` count
     the lines before and those removed. A text that keeps all its lines is unchanged, null
-    included."""
-    gone = removed_lines(docs, key, text, min_words).groupBy(
-        F.col("key").alias("__key"), F.col("tid").alias("__tid")) \
+    included. ``drop_copies`` drops the texts that lose lines and are left with nothing but copies:
+    blank lines and exact repeats of earlier lines."""
+    each, removed = _removed(docs, key, text, min_words)
+    if drop_copies:
+        removed = stored(removed, "removed-lines")
+    gone = removed.groupBy(F.col("key").alias("__key"), F.col("tid").alias("__tid")) \
         .agg(F.collect_set("line").alias("__gone"))
+    if drop_copies:
+        c = copied(docs, each, removed, key, text, min_words).withColumn("__copied", F.lit(True))
+        gone = gone.join(c, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__tid") == F.col("tid")), "left") \
+            .select("__key", "__tid", "__gone", "__copied")
     same = col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(body(text)) == F.col("__tid"))
     d = docs.join(gone, same, "left")
+    if drop_copies:
+        d = d.where(F.col("__copied").isNull())
     d = d.withColumn("__parts", F.split(body(text), "\n"))
     kept = F.filter("__parts", lambda x, i: ~F.array_contains(F.col("__gone"), i))
     new = F.when(F.col("__gone").isNull(), col(text)).otherwise(F.array_join(kept, "\n"))
