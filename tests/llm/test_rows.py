@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tiercat.llm import line_dedup, simhash
+from tiercat.llm import decontaminate, line_dedup, simhash
 
 SHARED = "one line that several of the texts hold"
 ROWS = [
@@ -64,3 +64,15 @@ def test_texts_that_keep_short_lines_stay(spark, tmp_path):
     assert {x for x in got if x[0]} == {(2, "red\nblue green"), (4, rows[3][1]), (6, "red")}
     null = {t for k, t in got if k is None}
     assert len([t for t in null if "one line" in t]) == 1 and any("of its own" in t for t in null)
+
+
+def test_blocks_of_a_benchmark_are_written_in_turn(spark, monkeypatch):
+    written, write = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: written.append(name) or write(df, name))
+    items = spark.createDataFrame([(i, _text(10 + i)) for i in range(3)], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before {_text(9 + i)} behind", "clash") for i in range(5)],
+                              "doc_id long, text string, key string")
+    out = decontaminate.keep_clean(d, items, block_chars=50)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 4] and len(written) == 2
+    # the plan that is left holds one block
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -167,10 +167,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                item: str = "item_id", item_text: str = "text", errors: float = 0.05,
                block_chars: int = 1_000_000) -> DataFrame:
     """The documents that hold no item, all columns. Rows are judged by their own text, in one
-    pass per block, so nothing is shuffled."""
-    out = docs
+    pass per block, so nothing is shuffled; what a block leaves is written before the next begins."""
+    out = None
     for block in blocks(benchmark, item, item_text, block_chars):
-        out = _without(out, text, block, errors)
+        out = _without(docs if out is None else stored(out, "clean"), text, block, errors)
     return out
 
 
