@@ -15,7 +15,7 @@ a run with the same anchor hash.
    that start in them are sorted: a vectorised mergesort whose comparisons find the common
    extension of two suffixes by binary search over polynomial prefix hashes. Neighbours in
    order that agree on ``length`` bytes repeat. Their bytes are compared, so a hash
-   collision cannot remove anything; texts with one are compared byte by byte instead.
+   collision cannot remove anything in this step; texts with one are compared byte by byte instead.
 4. An anchor with more than ``most_classes`` classes (a phrase common to very many texts) is not
    sorted in one task: its runs are dealt out again by longer anchors, at last by the whole
    string, where equal hashes count and nothing is left to sort. That is exact at any size.
