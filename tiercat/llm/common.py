@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercat.session import scratch_path
 
@@ -81,3 +81,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         held = table.slice(start, end - start).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``start`` (the place of the group's first row in the order of all rows), ``at``
+    (the row's place in its group, from 0) and ``size`` (rows of the group), a null group first.
+
+    Rows are dealt by ranges of (group, order) and sorted inside the ranges; only one row for each
+    group and range is summed up further, so a group that holds most rows is never sorted in one
+    task. ``order`` should tell rows apart, or equal rows stay in one range."""
+    keys = [col(group).asc_nulls_first(), *order]
+    s = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+               .withColumn("id", F.monotonically_increasing_id()), name)
+    s = s.withColumn("part", F.shiftright("id", 33))
+    parts = s.groupBy(group, "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # one row a range: as many as there are partitions
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = parts.groupBy("part").agg(F.sum("n").alias("rows")).select(
+        "part", (F.coalesce(F.sum("rows").over(before), F.lit(0))
+                 - F.shiftleft(F.col("part"), 33)).alias("shift"))
+    whole = Window.partitionBy(group)
+    parts = (parts.join(ranges, "part").withColumn("start", F.min(F.col("first") + F.col("shift")).over(whole))
+             .withColumn("size", F.sum("n").over(whole)))
+    p = parts.select(col(group).alias("p_group"), F.col("part").alias("p_part"), "start", "size", "shift")
+    same = (F.col("part") == F.col("p_part")) & col(group).eqNullSafe(F.col("p_group"))
+    return s.join(p, same).withColumn("at", F.col("id") + F.col("shift") - F.col("start")) \
+        .drop("id", "part", "p_group", "p_part", "shift")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, html_text, line_dedup, lm, mixing, quality, simhash, sql, suffix_dedup, token_count, topk
+from tiercat.llm import (conversation, decontaminate, html_text, line_dedup, lm, merkle, mixing, quality, simhash, sql,
+                         suffix_dedup, token_count, topk)
 from tiercat.sources.io import read_table
 
 
@@ -80,6 +81,33 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least-cost repair and its audit of every conversation, after planted damage."""
+    c = read_table(spark, sf_dir, "conversations")
+    report, _ = conversation.repair(conversation.damaged(c), "conv")
+    ids = c.select(F.col("conv_id").alias("conv_id")).distinct()
+    zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n)
+            for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(report, F.col("conv_id").eqNullSafe(F.col("key")), "left").select(
+        "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its leaf, or that of its
+    tampered text, folds to."""
+    d = read_table(spark, sf_dir, "documents")
+    small = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    altered = merkle.digest([F.when(tampered, small).otherwise(F.col("text")) if c == "text" else F.col(c)
+                             for c in merkle.FIELDS])
+    m = merkle.manifest(d, carry={"altered": altered})
+    folded = merkle.folded(F.col("path"), F.col("altered"))
+    return m.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                    merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -88,7 +116,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_suffix_dedup, op3_lm_scores,
     op4_source_mixing, op5_line_dedup, op6_token_counts,
     op7_simhash, op8_decontamination, op9_topk, op10_html_text,
-    pipeline)}
+    op11_conversation_repair, op12_merkle_manifest, pipeline)}
 
 ORACLE_SQL = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
 if corpus_pipeline.ORACLE_SQL is not None:
