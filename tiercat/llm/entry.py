@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tiercat.llm import (conversation, decontaminate, html_text, line_dedup, lm, merkle, mixing, quality, simhash, sql,
-                         suffix_dedup, token_count, topk)
+from tiercat.llm import (conversation, decontaminate, fingerprint, html_text, line_dedup, lm, merkle,
+                         mixing, quality, simhash, sql, suffix_dedup, token_count, topk)
+from tiercat.llm.common import stored
 from tiercat.sources.io import read_table
 
 
@@ -108,6 +109,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited by the next one, with their likeness, and
+    the class of documents with fingerprints alike."""
+    each = stored(fingerprint.against_edited(read_table(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprint.classes(each).select(
+        F.col("key").alias("doc_id"), "n_chars", "edited_sha256",
+        fingerprint.hex_digits(F.col("fp")).alias("fingerprint"),
+        fingerprint.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "class_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -116,7 +129,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_suffix_dedup, op3_lm_scores,
     op4_source_mixing, op5_line_dedup, op6_token_counts,
     op7_simhash, op8_decontamination, op9_topk, op10_html_text,
-    op11_conversation_repair, op12_merkle_manifest, pipeline)}
+    op11_conversation_repair, op12_merkle_manifest, op13_fingerprints, pipeline)}
 
 ORACLE_SQL = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
 if corpus_pipeline.ORACLE_SQL is not None:
