@@ -1,9 +1,15 @@
 """The numpy and text parts without Spark."""
 import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 import xxhash
 
+from gold_pages import PAGES
 from tiercat.llm import decontaminate, gam, gru, html_text, quality, simhash, suffix_dedup, token_count, topk
 
 
@@ -174,6 +180,78 @@ def test_html_blocks():
     assert html_text.extract("<a title='a>b'>z</a> 1 < 2", []) == "z 1 < 2"
 
 
+def test_gold_pages():
+    """Hand-marked pages: recall and precision of words, and most texts to the letter."""
+    hit = got = want = same = 0
+    for page, text in PAGES:
+        out = html_text.extract(page, [])
+        a, b = Counter(out.split()), Counter(text.split())
+        hit, got, want = hit + sum((a & b).values()), got + sum(a.values()), want + sum(b.values())
+        same += out == text
+    assert hit / want >= .99 and hit / got >= .99 and same >= len(PAGES) - 1 >= 39
+
+
+class _Article(HTMLParser):
+    """The blocks of the article element, by the standard library's parser."""
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.runs, self.out = 0, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.runs).split())
+        self.out += [text] * bool(text)
+        self.runs = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        self.runs += [" "] * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.flush()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.runs.append(data)
+
+
+def test_given_pages_against_the_standard_parser():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        if page.lower().count("<article") == 1 and "</article>" in page:
+            plain = _Article()
+            plain.feed(page)
+            assert html_text.extract(page, []) == "\n".join(plain.out)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!-- ", "<a x=\">\" ", "<a x='\" ", "<script>", "<", "</", "<a b='= ", "</section>",
+                                  "<select>", "<!", "<a x \""])
+def test_long_pages_of_broken_markup_in_linear_time(unit):
+    begin = time.process_time()
+    html_text.extract("<div>" + unit * (1_000_000 // len(unit)), [])
+    assert time.process_time() - begin < 4
+
+
+def test_deep_pages():
+    deep = "<div>" * 50_000 + "words" + "</section>" * 50_000
+    assert html_text.extract(deep, []) == "words"
+    path, _ = html_text.vote("<div class='a/b c9'><section><p>some words</section></div>")
+    assert path == "/div.aNb.cN/section".replace("aNb", "a|b")
+    assert html_text.extract("<div class='a/b c1'><section>x</section></div><p>y y y</p>", [path]) == "x"
+
+
+def test_furniture_is_left_out_of_what_is_around_it():
+    page = "<div class='ad'><p>%s</p></div><div id='x'><p>main words of the page</p></div>" % ("buy " * 20)
+    assert html_text.extract(page, []) == "main words of the page"
+    # a host's votes can choose what a page marks
+    assert html_text.extract(page, ["/div.ad"]) == ("buy " * 20).strip()
+
+
 def test_consensus_path_wins_over_page():
     two = "<body><div class=content><p>main words here</div><div class=extra><p>%s</div>" % ("long " * 200)
     path = "/body/div.content"
