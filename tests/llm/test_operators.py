@@ -136,7 +136,7 @@ def test_line_dedup(nasty, empty, small):
         got = line_dedup.removed_lines(d, **kw)
         assert Counter((r.key, r.line) for r in got.collect()) == want
     out = line_dedup.dedup_lines(nasty)
-    assert out.columns == nasty.columns + ["__lines", "__removed"]
+    assert out.columns == nasty.columns + ["n_lines", "n_removed"]
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[3] is None and texts[4] == "" and texts[5] == "   \n\t "
     assert texts[2] == "alpha beta gamma delta epsilon" and texts[1] == "short line\n" or texts[1] is not None

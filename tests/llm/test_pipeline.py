@@ -35,7 +35,7 @@ def _plain(docs, labels, bench):
         t = "\n".join(p for i, p in enumerate(docs[k][0].split("\n")) if i not in lines)
         docs[k] = (t, *docs[k][1:])
     docs = {k: d for k, d in docs.items()
-            if k not in gone or any(_words(line) >= 5 for line in d[0].split("\n"))}
+            if k not in gone or _words(d[0])}
     # near copies
     comp = near_components([(k, simhash.fingerprint((d[0] or "").encode())) for k, d in docs.items()], 3)
     docs = {k: docs[k] for k, _, c in comp if k == c}

@@ -1,7 +1,9 @@
 """Rows that share a key, null included, and hold different texts."""
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tiercat.llm import decontaminate, line_dedup, simhash
@@ -26,7 +28,7 @@ def test_lines_of_texts_that_share_a_key(spark, broadcast_rows):
     gone = line_dedup.removed_lines(d, broadcast_rows=broadcast_rows).collect()
     # the shared line stays in one of the null keys' texts only, and no other line goes
     assert len(gone) == 6 and len({(r.key, r.tid) for r in gone if r.key is None}) == 2
-    out = [(r.doc_id, r.text, r["__removed"]) for r in line_dedup.dedup_lines(d).collect()]
+    out = [(r.doc_id, r.text, r["n_removed"]) for r in line_dedup.dedup_lines(d).collect()]
     assert len(out) == len(ROWS) and sum(SHARED in t for _, t, _ in out) == 1
     assert sum(n for *_, n in out) == 6
     own = sorted(x for _, t in ROWS for x in t.split("\n") if x != SHARED)
@@ -52,20 +54,40 @@ def test_one_row_of_each_component(spark, tmp_path):
     assert got == {None: 3, 4: 1, 5: 1}
 
 
-def test_texts_that_keep_short_lines_stay(spark, tmp_path):
+def test_short_lines_that_repeat_go(spark, tmp_path):
     rows = [(1, "one line that two of the texts hold"), (2, "one line that two of the texts hold\nred\nblue green"),
             (3, "one line that two of the texts hold\n \t\n"), (4, "red\nblue  green\nshort"),
-            (5, "blue green\nred\none line that two of the texts hold\n\nred"), (6, "red"),
+            (5, "blue green\nred\none line that two of the texts hold\n\nred"), (6, "red"), (7, "red\nred car"),
             (None, "one line that two of the texts hold"), (None, "one line that two of the texts hold\nof its own"),
             (8, "one line that two of the texts hold\nof its  own\n")]
     d = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
-    got = {(r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, d, str(tmp_path)).collect()}
-    # 1, 3, 5 and 8 hold copies only; one of the texts without a key has the first place
-    assert {x for x in got if x[0]} == {(2, "red\nblue green"), (4, rows[3][1]), (6, "red")}
-    null = {t for k, t in got if k is None}
+    got = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, d, str(tmp_path)).collect()}
+    # 1, 3, 5, 6 and 8 hold copies only; one of the texts without a key has the first place
+    assert {x for x in got if x[0]} == {(2, "red\nblue green", 14), (4, "short", 5), (7, "red car", 7)}
+    null = {t for k, t, _ in got if k is None}
     assert len([t for t in null if "one line" in t]) == 1 and any("of its own" in t for t in null)
 
 
+def test_lines_whose_first_hashes_collide(spark, monkeypatch):
+    d = spark.createDataFrame([(1, f"{SHARED}\nred"), (2, "another line of as many of the words\nblue"),
+                               (3, f"{SHARED}\nsome line that several of the texts hold\nblue")],
+                              "doc_id long, text string").repartition(2)
+    for name in ("first_hash", "second_hash"):
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, name, lambda w: F.lit(7).cast("long"))
+            got = {(r.key, r.line) for r in line_dedup.removed_lines(d).collect()}
+        assert got == {(3, 0), (3, 1), (3, 2)}
+
+
+def test_texts_of_many_removed_lines(spark):
+    lines = "\n".join(f"line {i}" for i in range(60_000))
+    d = spark.createDataFrame([(1, lines), (2, lines + "\nand one more")], "doc_id long, text string")
+    begin = time.time()
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert out[1].text == lines and out[2].text == "and one more" and out[2].n_removed == 60_000
+    assert time.time() - begin < 60
+
+
 def test_blocks_of_a_benchmark_are_written_in_turn(spark, monkeypatch):
     written, write = [], decontaminate.stored
     monkeypatch.setattr(decontaminate, "stored", lambda df, name: written.append(name) or write(df, name))

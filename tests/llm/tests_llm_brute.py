@@ -32,13 +32,14 @@ def _one_edit(a, b):
 
 
 def removed_lines(rows, least):
-    """(key, line) of every line with an earlier line within one word edit; a null key comes first."""
+    """(key, line) of every line with an earlier line of the same words or, both of at least ``least``
+    words, within one word edit; a null key comes first."""
     all_lines = []
     for k, t in rows:
         for i, line in enumerate((t or "").split("\n")):
             w = tuple(x for x in line.replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ")
                       .replace("\t", " ").split(" ") if x)
-            if len(w) >= least:
+            if w:
                 all_lines.append(((k is not None, k or 0, i), k, i, w))
     first = {}
     for place, _, _, w in all_lines:
@@ -46,8 +47,8 @@ def removed_lines(rows, least):
     by_size = defaultdict(list)
     for w in first:
         by_size[len(w)].append(w)
-    earlier = {w: min((first[x] for n in (len(w) - 1, len(w), len(w) + 1) for x in by_size[n] if _one_edit(w, x)))
-               for w in first}
+    earlier = {w: min([first[w], *(first[x] for n in (len(w) - 1, len(w), len(w) + 1) if min(n, len(w)) >= least
+                                   for x in by_size[n] if _one_edit(w, x))]) for w in first}
     return [(k, i) for place, k, i, w in all_lines if earlier[w] < place]
 
 

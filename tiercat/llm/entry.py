@@ -41,7 +41,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines alike to earlier ones."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(d).select(
-        "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+        "doc_id", "text", "n_lines", "n_removed")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A line is a part of a text between newlines; its words are what white space parts. Two lines are
 alike if one becomes the other by at most one word edit: a word replaced, put in or left out.
-A line with at least ``min_words`` words is removed if a line alike stands before it, in
-order of (key, text hash, line number). Shorter lines always stay.
+A line is removed if a line of the same words stands before it, or, where both have at least
+``min_words`` words, a line alike, in order of (key, text hash, line number). Blank lines stay.
 
-1. Every line gets a 128-bit hash of its words; equal lines are one class with a first place.
+1. Every line gets two hashes of its words with seeds of their own, 128 bits; equal lines are one
+   class with a first place and a number.
 2. A screen that loses nothing: two different lines within one edit agree on all words of the
    first or of the second half (of their length, or of the shorter's), so a class has a
-   partner only if one of its four half keys is shared by another class.
+   partner only if one of its four half keys is shared by another class. Only classes are screened,
+   so a line that stands a million times counts once.
 3. The classes that pass emit all variants with one word deleted, as hashed keys, at the
    places that the shared half leaves open. Lines of n words that differ by a replacement
    share the variant with the same place deleted; a line of n - 1 words is itself the
@@ -30,7 +32,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tiercat.llm.common import WORD, body, col, stored
+from tiercat.llm.common import WORD, body, col, free_name, stored
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,8 +42,18 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
             .select("key", "tid", "line", F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)).alias("words")))
 
 
+def first_hash(w: Column) -> Column:
+    return F.xxhash64(w)
+
+
+def second_hash(w: Column) -> Column:
+    """Seeded by a hash of its own, so it knows nothing of the first."""
+    return F.xxhash64(F.lit("second"), w)
+
+
 def hashed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(key, tid, line, n, h1, h2, halves) of every line of at least ``min_words`` words."""
+    """(key, tid, line, h1, h2, halves) of every line that is not blank; halves only of at least
+    ``min_words`` words."""
     n, w = F.col("n"), F.col("words")
 
     def halves(total: Column, skipped: int) -> list[Column]:
@@ -52,27 +64,27 @@ def hashed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
         return [F.xxhash64(tag, F.slice(w, F.lit(1), a)),
                 F.xxhash64(tag + 1, F.slice(w, a + 1 + skipped, total - a))]
 
-    base = lines(docs, key, text).withColumn("n", F.size("words")).where(n >= min_words)
+    base = lines(docs, key, text).withColumn("n", F.size("words")).where(n > 0)
     return base.select(
-        "key", "tid", "line", "n", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"),
-        F.array(*halves(n, 0), *halves(n - 1, 1)).alias("halves"))
+        "key", "tid", "line", first_hash(w).alias("h1"), second_hash(w).alias("h2"),
+        F.when(n >= min_words, F.array(*halves(n, 0), *halves(n - 1, 1))).alias("halves"))
 
 
-def partnered(each: DataFrame) -> DataFrame:
-    """(h1, sides): the lines that share a half key with a different line, and which: 0, 1 with
+def partnered(classes: DataFrame) -> DataFrame:
+    """(no, sides): the classes that share a half key with a different one, and which: 0, 1 with
     a line of as many words whose first or second half is the same, 2, 3 with a line of one
     word less, 4 with one of one word more."""
-    halves = each.select("h1", F.posexplode("halves").alias("side", "half"))
-    level = F.when(F.col("side") < 2, F.col("h1"))
-    shared = halves.groupBy("half").agg(
-        F.min(level).alias("a"), F.max(level).alias("b"), F.max("side").alias("top")) \
-        .where("a <> b OR (a IS NOT NULL AND top >= 2)") \
-        .select("half", (F.col("a") != F.col("b")).alias("equal"), (F.col("top") >= 2).alias("longer"))
+    halves = classes.select("no", F.posexplode("halves").alias("side", "half"))
+    level = F.when(F.col("side") < 2, F.col("no"))
+    shared = stored(halves.groupBy("half").agg(
+        F.min(level).alias("a"), F.max(level).alias("b"), F.max("side").alias("top"))
+        .where("a <> b OR (a IS NOT NULL AND top >= 2)")
+        .select("half", (F.col("a") != F.col("b")).alias("equal"), (F.col("top") >= 2).alias("longer")), "line-halves")
     met = halves.join(shared, "half").where("side >= 2 OR equal OR longer")
     sides = F.when(F.col("side") >= 2, F.array("side")).otherwise(F.filter(
         F.array(F.when(F.col("equal"), F.col("side")), F.when(F.col("longer"), F.lit(4))),
         lambda x: x.isNotNull()))
-    return met.select("h1", F.explode(sides).alias("side")).groupBy("h1") \
+    return met.select("no", F.explode(sides).alias("side")).groupBy("no") \
         .agg(F.collect_set("side").alias("sides"))
 
 
@@ -129,23 +141,19 @@ def candidate_words(docs: DataFrame, key: str, text: str, chosen: DataFrame, bro
     got = d.join(F.broadcast(at) if small else at, same).select(
         "key", "tid", F.split("body", "\n").alias("parts"), F.explode("at").alias("a"))
     words = F.regexp_extract_all(F.get("parts", F.col("a.line")), F.lit(WORD), F.lit(0))
-    return got.select("key", "tid", "a.*", words.alias("words")).where(F.xxhash64("words") == F.col("h1"))
+    return got.select("key", "tid", "a.*", words.alias("words")).where(
+        (first_hash(F.col("words")) == F.col("h1")) & (second_hash(F.col("words")) == F.col("h2")))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
                   broadcast_rows: int = 500_000) -> DataFrame:
     """(key, tid, line) of every line that goes."""
-    return _removed(docs, key, text, min_words, broadcast_rows)[1]
-
-
-def _removed(docs: DataFrame, key: str, text: str, min_words: int,
-             broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(key, tid, line, ...) of every line that is judged, and those that go."""
     each = stored(hashed_lines(docs, key, text, min_words), "lines")
     classes = stored(each.groupBy("h1", "h2").agg(
-        F.min(F.struct("key", "tid", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+        F.min(F.struct("key", "tid", "line")).alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.first("halves").alias("halves")).withColumn("no", F.monotonically_increasing_id()), "line-classes")
     # the classes that have a partner, with their words, numbered in order of their first places
-    chosen = classes.join(partnered(each), "h1").select(
+    chosen = classes.join(partnered(classes.where("halves IS NOT NULL")), "no").select(
         "first.key", "first.tid", "first.line", "h1", "h2", "sides")
     got = candidate_words(docs, key, text, chosen, broadcast_rows).dropDuplicates(["h1", "h2"])
     candidates = stored(got.repartitionByRange("key", "tid", "line").sortWithinPartitions("key", "tid", "line").select(
@@ -153,9 +161,9 @@ def _removed(docs: DataFrame, key: str, text: str, min_words: int,
         "line-candidates")
 
     v = stored(variants(candidates), "line-variants")
-    low = v.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("no").alias("least"),
-                             F.min(F.when(F.col("role") == "y", F.col("no"))).alias("y")) \
-        .where("m > 1").drop("m")
+    low = stored(v.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("no").alias("least"),
+                                    F.min(F.when(F.col("role") == "y", F.col("no"))).alias("y"))
+                 .where("m > 1").drop("m"), "line-keys")
     # a variant is alike to the whole line y only; the others to the earliest of their key
     earlier = F.when(F.col("role") == "x", F.col("y")).otherwise(F.col("least"))
     pair = v.join(low, "v").select("no", earlier.alias("earlier")).where("earlier < no").distinct()
@@ -164,52 +172,35 @@ def _removed(docs: DataFrame, key: str, text: str, min_words: int,
     near = (pair.join(a, "no").join(b, "earlier").where(_alike(F.col("words"), F.col("words_b")))
             .select("h1", "h2").distinct().withColumn("near", F.lit(True)))
 
-    marked = classes.join(near, ["h1", "h2"], "left").where("copies > 1 OR near").select(
-        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # written tables on both sides of the join, so a line that stands very often is dealt out by the planner
+    marked = stored(classes.join(near, ["h1", "h2"], "left").where("copies > 1 OR near").select(
+        "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked-classes")
     is_first = F.struct("key", "tid", "line").eqNullSafe(F.col("first"))
-    return each, each.select("key", "tid", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
+    return each.select("key", "tid", "line", "h1", "h2").join(marked, ["h1", "h2"]) \
         .where(F.col("near") | ~is_first).select("key", "tid", "line")
 
 
-def copied(docs: DataFrame, each: DataFrame, removed: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(key, tid) of the texts that are left with nothing but copies: all their lines in ``each``
-    are in ``removed``, and all shorter ones repeat an earlier line exactly. The first place of
-    a line is never in such a text."""
-    same = lambda a, b: F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.tid") == F.col(f"{b}.tid"))
-    count = lambda d, name: d.groupBy("key", "tid").agg(F.count(F.lit(1)).alias(name))
-    bare = count(removed, "n_gone").alias("r").join(count(each, "n_long").alias("e"), same("r", "e")) \
-        .where("n_gone = n_long").select("r.key", "r.tid")
-    n, w = F.size("words"), F.col("words")
-    short = lines(docs, key, text).where((n > 0) & (n < min_words)).select(
-        "key", "tid", "line", F.xxhash64(w).alias("h1"), F.xxhash64(w, n).alias("h2"))
-    first = short.groupBy("h1", "h2").agg(F.min(F.struct("key", "tid", "line")).alias("first"))
-    own = first.select(F.col("first.key").alias("key"), F.col("first.tid").alias("tid")).distinct()
-    return bare.alias("b").join(own.alias("o"), same("b", "o"), "left_anti")
-
-
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
-                drop_copies: bool = False) -> DataFrame:
-    """``docs``, all columns, texts without the removed lines; ``__lines`` and ``__removed`` count
-    the lines before and those removed. A text that keeps all its lines is unchanged, null
-    included. ``drop_copies`` drops the texts that lose lines and are left with nothing but copies:
-    blank lines and exact repeats of earlier lines."""
-    each, removed = _removed(docs, key, text, min_words)
-    if drop_copies:
-        removed = stored(removed, "removed-lines")
-    gone = removed.groupBy(F.col("key").alias("__key"), F.col("tid").alias("__tid")) \
-        .agg(F.collect_set("line").alias("__gone"))
-    if drop_copies:
-        c = copied(docs, each, removed, key, text, min_words).withColumn("__copied", F.lit(True))
-        gone = gone.join(c, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__tid") == F.col("tid")), "left") \
-            .select("__key", "__tid", "__gone", "__copied")
-    same = col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(body(text)) == F.col("__tid"))
-    d = docs.join(gone, same, "left")
+                drop_copies: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs``, all columns, texts without the removed lines, and two columns more, the last ones, that count
+    the lines before and those removed: ``n_lines`` and ``n_removed``, or with more underscores where ``docs``
+    has such columns. A text that keeps all its lines is unchanged, null included. ``drop_copies`` drops
+    the texts that lose all lines but blank ones."""
+    removed = removed_lines(docs, key, text, min_words, broadcast_rows)
+    gone = removed.groupBy("key", "tid").agg(F.collect_set("line").alias("gone")).alias("g")
+    d = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
+                    F.xxhash64(body(text)).alias("tid"), F.split(body(text), "\n").alias("parts")).alias("d")
+    j = d.join(gone, F.col("d.key").eqNullSafe(F.col("g.key")) & (F.col("d.tid") == F.col("g.tid")), "left") \
+        .select("row", "parts", "gone")
+    lost = F.coalesce(F.size("gone"), F.lit(0))
     if drop_copies:
-        d = d.where(F.col("__copied").isNull())
-    d = d.withColumn("__parts", F.split(body(text), "\n"))
-    kept = F.filter("__parts", lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    new = F.when(F.col("__gone").isNull(), col(text)).otherwise(F.array_join(kept, "\n"))
-    return d.select(
-        *[new.alias(c) if c == text else col(c) for c in docs.columns],
-        F.size("__parts").cast("long").alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+        full = F.filter("parts", lambda x: x.rlike(WORD))
+        j = j.where(F.col("gone").isNull() | (lost < F.size(full)))
+    # the numbers of the lines that stay, by one hashed set
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    field = lambda c: F.col("row").getField(c)
+    new = F.when(F.col("gone").isNull(), field(text)).otherwise(kept)
+    return j.select(*[(new if c == text else field(c)).alias(c) for c in docs.columns],
+                    F.size("parts").cast("long").alias(free_name(docs, "n_lines")),
+                    lost.cast("long").alias(free_name(docs, "n_removed")))

@@ -65,22 +65,22 @@ SELECT doc_id, octet_length(body) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS
 FROM d JOIN kept USING (row_no) LEFT JOIN lost USING (row_no)
 """
 
-# Lines of five words or more; all variants with one word deleted, as word lists.
+# Lines that are not blank; of five words or more also all variants with one word deleted, as word lists.
 OP5 = r"""
 WITH l AS (
   SELECT doc_id, line, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS line
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
-k AS (SELECT doc_id, line, array_to_string(w, ' ') AS t, w FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id, line, array_to_string(w, ' ') AS t, w FROM l WHERE len(w) > 0),
 f AS (SELECT t, any_value(w) AS w, min((doc_id, line)) AS first FROM k GROUP BY t),
 v AS (
   SELECT t, first, len(w) AS n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS cut
-  FROM (SELECT t, first, w, unnest(range(1, len(w) + 1)) AS i FROM f)),
+  FROM (SELECT t, first, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
 same AS (SELECT n, i, cut, min(first) AS low FROM v GROUP BY n, i, cut HAVING count(*) > 1),
 near AS (
   SELECT v.t FROM v JOIN same USING (n, i, cut) WHERE low < first
-  UNION SELECT v.t FROM v JOIN f ON v.cut = f.t WHERE f.first < v.first
-  UNION SELECT f.t FROM v JOIN f ON v.cut = f.t WHERE v.first < f.first),
+  UNION SELECT v.t FROM v JOIN f ON v.cut = f.t WHERE f.first < v.first AND len(f.w) >= 5
+  UNION SELECT f.t FROM v JOIN f ON v.cut = f.t WHERE v.first < f.first AND len(f.w) >= 5),
 gone AS (
   SELECT DISTINCT k.doc_id, k.line FROM k JOIN f USING (t)
   WHERE (k.doc_id, k.line) <> f.first OR t IN (SELECT t FROM near)),
