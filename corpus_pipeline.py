@@ -18,13 +18,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash  # noqa: E402
-from tiercat.llm.common import stored  # noqa: E402
+from tiercat.llm.common import col, stored  # noqa: E402
 from tiercat.sources.io import read_table  # noqa: E402
 
 # The classifier cannot be written in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
-# Lines of fewer words are never removed by the line stage.
+# Shorter lines go only where they repeat an earlier line exactly.
 MIN_WORDS = 5
 
 
@@ -34,11 +34,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines alike to an earlier line go, and with them texts that lose lines and of which all that
-    is left repeats earlier lines exactly; n_chars follows the text. Texts that lose nothing stay."""
+    """Lines alike to an earlier line go, and with them the texts of which nothing but blank lines is
+    left; n_chars follows the text. Texts that lose nothing stay."""
     d = line_dedup.dedup_lines(docs, min_words=MIN_WORDS, drop_copies=True)
-    return d.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long"))
-                        .otherwise(F.col("n_chars"))).drop("__lines", "__removed")
+    lost = col(d.columns[-1]) > 0
+    new = F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return d.select(*[new.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
