@@ -221,6 +221,18 @@ def models(spark: SparkSession, sf_dir: str, family: str, what: str):
     return _memo(spark, sf_dir, f"model/{family}/{what}", build)
 
 
+def boosters(spark: SparkSession, sf_dir: str):
+    """One boosted model per level, on the dense features of the train split."""
+    from tiercat.operators import boosting as gb
+
+    def build():
+        p = prepared_txn(spark, sf_dir)
+        train = dense_table(spark, sf_dir).where(F.col("split") == "train")
+        return {c: gb.fit(train, c, class_count(d), rounds=12, depth=4)
+                for c, d in ((prep.CATEGORY_ID, p.categories), (prep.SUBCATEGORY_ID, p.subcategories))}
+    return _memo(spark, sf_dir, "boosters", build)
+
+
 def keyword_inputs(spark: SparkSession, sf_dir: str):
     """Training presence rows (vocabulary terms only) and training documents."""
     f = text_features(spark, sf_dir)

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tiercat.operators import boosting as gb
 from tiercat.operators import features as fe
 from tiercat.operators import keywords as kw
 from tiercat.operators import metrics as mt
@@ -129,6 +130,35 @@ def m2_forest_dense(spark, sf_dir):
     return _invariants(spark, sf_dir, "forest", "dense")
 
 
+# Boosting besides: the training loss falls with every round, and the category beats the majority.
+BOOSTED = S.with_ctes(PREP, body=f"""
+SELECT *, true AS loss_falls, CASE WHEN level = 'category' THEN true END AS above_majority
+FROM ({_INVARIANT.format(lvl="category", d="cat_dict")}
+UNION ALL{_INVARIANT.format(lvl="sub_category", d="sub_dict")}) x""")
+
+
+@register("m2_boosting", BOOSTED)
+def m2_boosting(spark, sf_dir):
+    """M2: multiclass gradient boosting (rate 0.1, 12 rounds of depth 4) on text-vector ‖ type features, both
+    levels."""
+    val, out = fx.dense_table(spark, sf_dir).where(F.col("split") == "val"), []
+    for lvl, cls in LEVELS:
+        m = fx.boosters(spark, sf_dir)[cls]
+        scored = gb.probabilities(m, val.select("features", "doc_id", cls))
+        k = F.size("prob")
+        hits = F.avg((F.col("prediction") == F.col(cls)).cast("double"))
+        most = scored.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n"))
+        above = scored.agg(hits).scalar() > most.scalar()
+        falls = all(a > b for a, b in zip(m.losses, m.losses[1:]))
+        out.append(scored.select(
+            F.lit(lvl).alias("level"), "doc_id", k.cast("long").alias("n_probs"),
+            _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"),
+            ((F.col("prediction") >= 0) & (F.col("prediction") < k)).alias("known_class"),
+            F.lit(falls).alias("loss_falls"),
+            (above if lvl == "category" else F.lit(None).cast("boolean")).alias("above_majority")))
+    return _union(out)
+
+
 @register("m4_svc_keywords", S.with_ctes(PREP, body="""
 SELECT 'category' AS level, CAST(category_id AS BIGINT) AS class_id, true AS ranked FROM cat_dict
 UNION ALL
