@@ -64,10 +64,13 @@ def _jamo() -> tuple[Column, Column, Column]:
 
 
 def strip_accents(c: Column) -> Column:
-    """Unicode accent stripping (NFKD, then drop combining marks) of all code points: one
-    ``translate``, and only for rows that hold a character with a longer folding, a
-    replacement character by character. All in the JVM."""
+    """Unicode accent stripping (NFKD, then drop combining marks) of all code points, in the JVM. Texts of
+    ASCII alone stay as they are; texts with Latin letters besides take one ``translate`` of those; others take
+    the whole table, and only those that hold a character with a longer folding, a replacement character by
+    character."""
     src, dst, dele, expansions = _accent_tables()
+    latin = [(a, b) for a, b in zip(src, dst) if ord(a) <= _LATIN_END]
+    some = F.translate(c, "".join(a for a, _ in latin), "".join(b for _, b in latin))
     out = F.translate(c, src + dele, dst)
     keys, values = (F.split(F.lit(_SEPARATOR.join(x)), _SEPARATOR) for x in zip(*expansions))
     table = F.map_from_arrays(keys, values)
@@ -81,20 +84,37 @@ def strip_accents(c: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(table, ch), ch))
 
     longer = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), one), "")
-    return F.when(out.rlike(_guard()), longer).otherwise(out)
+    return (F.when(F.octet_length(c) == F.length(c), c).when(~c.rlike(_beyond_latin()), some)
+            .when(out.rlike(_guard()), longer).otherwise(out))
 
 
-@lru_cache(maxsize=None)
-def _guard() -> str:
-    """A character class of all code points with a longer folding, as ranges."""
-    cps = sorted([ord(ch) for ch, _ in _accent_tables()[3]] + [_HANGUL, _HANGUL_END])
+_LATIN_END = 0x24F
+
+
+def _ranges(cps) -> str:
+    """Sorted code points as ranges of a character class."""
     ranges: list[list[int]] = []
     for cp in cps:
-        if ranges and cp <= ranges[-1][1] + 1:
+        if ranges and cp == ranges[-1][1] + 1:
             ranges[-1][1] = cp
         else:
-            ranges.append([cp, _HANGUL_END if cp == _HANGUL else cp])
-    return "[" + "".join("\\x{%X}-\\x{%X}" % (a, b) for a, b in ranges) + "]"
+            ranges.append([cp, cp])
+    return "".join("\\x{%X}-\\x{%X}" % (a, b) for a, b in ranges)
+
+
+@lru_cache(maxsize=None)
+def _beyond_latin() -> str:
+    """A character class of all but ASCII and the Latin letters that fold to one character or to themselves."""
+    _, _, dele, expansions = _accent_tables()
+    other = set(map(ord, dele)) | {ord(ch) for ch, _ in expansions}
+    return "[^" + _ranges(cp for cp in range(_LATIN_END + 1) if cp not in other) + "]"
+
+
+@lru_cache(maxsize=None)
+def _guard() -> str:
+    """A character class of all code points with a longer folding, as ranges."""
+    cps = {ord(ch) for ch, _ in _accent_tables()[3]} | set(range(_HANGUL, _HANGUL_END + 1))
+    return "[" + _ranges(sorted(cps)) + "]"
 
 
 def normalize_text(c: Column) -> Column:

@@ -183,8 +183,8 @@ def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
     return _memo(spark, sf_dir, f"text_features/{min_df}/{max_features}", build)
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored TF-IDF features of every prepared document, by split."""
+def _feature_files(spark: SparkSession, sf_dir: str):
+    """Path and schema of the stored features."""
     import uuid
     from tiercat.operators import train as tr
     from tiercat.session import scratch_path
@@ -193,10 +193,35 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = text_features(spark, sf_dir)
         docs = f.prepared.rows.select("doc_id", "category_id", "subcategory_id", "split")
         path = scratch_path(spark, f"{spark.sparkContext.applicationId}/features-{uuid.uuid4().hex}")
-        return tr.feature_table(docs, f.weights(), "doc_id", f.model.size, path)
+        return path, tr.feature_table(docs, f.weights(), "doc_id", f.model.size, path).schema
     return _memo(spark, sf_dir, "features", build)
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored TF-IDF features of every prepared document, by split."""
+    from tiercat.operators import train as tr
+    return tr.read_features(spark, *_feature_files(spark, sf_dir))
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with ``indices`` and ``values`` as arrays."""
+    from tiercat.operators import train as tr
+    return tr.read_rows(spark, *_feature_files(spark, sf_dir))
+
+
+def linear_models(spark: SparkSession, sf_dir: str, loss: str):
+    """One linear model per level by SGD with early stopping, on the stored features of the train split."""
+    from tiercat.operators import linear as ln
+
+    def build():
+        p = prepared_txn(spark, sf_dir)
+        train = feature_rows(spark, sf_dir).where(F.col("split") == "train")
+        size = text_features(spark, sf_dir).model.size
+        return {c: ln.fit(train, c, class_count(d), size, "doc_id", loss)
+                for c, d in ((prep.CATEGORY_ID, p.categories), (prep.SUBCATEGORY_ID, p.subcategories))}
+    return _memo(spark, sf_dir, f"linear/{loss}", build)
+
+
 def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored dense features (text vector and type) of every prepared document."""
     from tiercat.operators import features as fe

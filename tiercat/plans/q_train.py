@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tiercat.operators import boosting as gb
 from tiercat.operators import features as fe
 from tiercat.operators import keywords as kw
+from tiercat.operators import linear as ln
 from tiercat.operators import metrics as mt
 from tiercat.operators import predict as pd_
 from tiercat.operators import prepare as prep
@@ -111,17 +112,46 @@ def s5_feature_store(spark, sf_dir):
         F.col("n_terms").cast("long"), _r6(F.col("norm")).alias("norm"))
 
 
-@register("m3_logreg_tfidf", INVARIANTS)
+# Linear models besides: training stopped by itself, at the best of its epochs, and the category beats the
+# majority.
+STOPPED = S.with_ctes(PREP, body=f"""
+SELECT *, true AS stopped_early, CASE WHEN level = 'category' THEN true END AS above_majority
+FROM ({_INVARIANT.format(lvl="category", d="cat_dict")}
+UNION ALL{_INVARIANT.format(lvl="sub_category", d="sub_dict")}) x""")
+
+
+def _checked(scored, lvl, cls, **more):
+    """The invariants of scored validation rows, and whether the category beats the majority."""
+    k = F.size("prob")
+    hits = scored.agg(F.avg((F.col("prediction") == F.col(cls)).cast("double"))).scalar()
+    most = scored.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    return scored.select(
+        F.lit(lvl).alias("level"), "doc_id", k.cast("long").alias("n_probs"),
+        _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"),
+        ((F.col("prediction") >= 0) & (F.col("prediction") < k)).alias("known_class"),
+        *[F.lit(v).alias(n) for n, v in more.items()],
+        (hits > most if lvl == "category" else F.lit(None).cast("boolean")).alias("above_majority"))
+
+
+def _linear(spark, sf_dir, loss):
+    val, out = fx.feature_rows(spark, sf_dir).where(F.col("split") == "val"), []
+    for lvl, cls in LEVELS:
+        m = fx.linear_models(spark, sf_dir, loss)[cls]
+        scored = ln.probabilities(m, val.select("doc_id", cls, "indices", "values"))
+        out.append(_checked(scored, lvl, cls, stopped_early=ln.PATIENCE < len(m.log) < ln.EPOCHS))
+    return _union(out)
+
+
+@register("m3_logreg_tfidf", STOPPED)
 def m3_logreg_tfidf(spark, sf_dir):
-    """M3 + M11: multinomial logistic regression (balanced weights) on TF-IDF vectors, both
-    levels; invariants of the validation predictions."""
-    return _invariants(spark, sf_dir, "logreg", "sparse")
+    """M3 + M11: one-vs-all log loss (balanced weights) by SGD with early stopping on TF-IDF rows, both levels."""
+    return _linear(spark, sf_dir, "log")
 
 
-@register("m4_svc_tfidf", INVARIANTS)
+@register("m4_svc_tfidf", STOPPED)
 def m4_svc_tfidf(spark, sf_dir):
-    """M4: one-vs-rest linear SVM (hinge loss, balanced weights) on TF-IDF vectors, both levels."""
-    return _invariants(spark, sf_dir, "svc_ovr", "sparse")
+    """M4: one-vs-all hinge loss (balanced weights) by SGD with early stopping on TF-IDF rows, both levels."""
+    return _linear(spark, sf_dir, "hinge")
 
 
 @register("m2_forest_dense", INVARIANTS)
@@ -131,10 +161,7 @@ def m2_forest_dense(spark, sf_dir):
 
 
 # Boosting besides: the training loss falls with every round, and the category beats the majority.
-BOOSTED = S.with_ctes(PREP, body=f"""
-SELECT *, true AS loss_falls, CASE WHEN level = 'category' THEN true END AS above_majority
-FROM ({_INVARIANT.format(lvl="category", d="cat_dict")}
-UNION ALL{_INVARIANT.format(lvl="sub_category", d="sub_dict")}) x""")
+BOOSTED = STOPPED.replace("stopped_early", "loss_falls")
 
 
 @register("m2_boosting", BOOSTED)
@@ -145,17 +172,7 @@ def m2_boosting(spark, sf_dir):
     for lvl, cls in LEVELS:
         m = fx.boosters(spark, sf_dir)[cls]
         scored = gb.probabilities(m, val.select("features", "doc_id", cls))
-        k = F.size("prob")
-        hits = F.avg((F.col("prediction") == F.col(cls)).cast("double"))
-        most = scored.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n"))
-        above = scored.agg(hits).scalar() > most.scalar()
-        falls = all(a > b for a, b in zip(m.losses, m.losses[1:]))
-        out.append(scored.select(
-            F.lit(lvl).alias("level"), "doc_id", k.cast("long").alias("n_probs"),
-            _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"),
-            ((F.col("prediction") >= 0) & (F.col("prediction") < k)).alias("known_class"),
-            F.lit(falls).alias("loss_falls"),
-            (above if lvl == "category" else F.lit(None).cast("boolean")).alias("above_majority")))
+        out.append(_checked(scored, lvl, cls, loss_falls=all(a > b for a, b in zip(m.losses, m.losses[1:]))))
     return _union(out)
 
 
@@ -170,7 +187,7 @@ def m4_svc_keywords(spark, sf_dir):
     supports, sizes = fx.supports(spark, sf_dir, presence, docs)
     out = []
     for lvl, cls in LEVELS:
-        lw = tr.linear_weights(spark, fx.models(spark, sf_dir, "svc_ovr", "sparse")[cls]) \
+        lw = fx.linear_models(spark, sf_dir, "hinge")[cls].weights() \
             .join(f.model.vocab.select("term", "term_idx"), "term_idx").select("class_id", "term", "weight")
         k = kw.keywords(lw, None, None, cls, 40, stats=kw.level_statistics(supports, sizes[cls], cls),
                         sizes=sizes[cls])
@@ -199,9 +216,10 @@ def m9_learned_report(spark, sf_dir):
     """M9 on learned predictions (M3), per level: the report's support covers the validation split
     and its scores lie in [0, 1]. The category can be read from the text and beats the
     majority; the other level's second half (the source) cannot, so nothing is claimed there."""
-    val, out = _validation(spark, sf_dir, "sparse"), []
+    val, out = fx.feature_rows(spark, sf_dir).where(F.col("split") == "val"), []
     for lvl, cls in LEVELS:
-        scored = tr.probabilities(fx.models(spark, sf_dir, "logreg", "sparse")[cls], val) \
+        m = fx.linear_models(spark, sf_dir, "log")[cls]
+        scored = ln.probabilities(m, val.select("doc_id", cls, "indices", "values")) \
             .select(F.col(cls).alias("y"), F.col("prediction").cast("int").alias("p"))
         rep = mt.class_report(scored, "y", "p")
         e = rep.agg(
