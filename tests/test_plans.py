@@ -56,3 +56,27 @@ def test_top_terms_limits_groups_before_shuffle(spark):
                                  F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"),
                                  (F.col("id") * 37 % 101).cast("double").alias("weight"))
     assert "WindowGroupLimit" in plan(kw.top_terms(w, 5))
+
+
+def test_no_exchange_by_document_behind_the_vocabulary(spark, monkeypatch):
+    f = fx.text_features(spark, SF_SMALL, min_df=2)
+    for d in (f.weights("train"), f.model.rows(f.tf, "doc_id"), f.model.presence(f.tf)):
+        text = plan(d)
+        # the vocabulary is a small written table, so the planner broadcasts it
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "Window" not in text
+    with monkeypatch.context() as m:
+        m.setattr(tfidf, "BROADCAST_BYTES", 0)
+        assert sorted(map(tuple, f.weights("val").collect())) == sorted(map(tuple, fx.text_features(
+            spark, SF_SMALL, min_df=2).model.weights(f.tf.where("split = 'val'"), "doc_id").collect()))
+
+
+def test_the_sketch_passes_every_frequent_term(spark):
+    docs = spark.createDataFrame([(i, f"common w{i % 30} rare{i} {'often' if i % 3 else ''}") for i in range(300)],
+                                 "k long, t string")
+    tf = tfidf.term_frequencies(docs, "k", "t").cache()
+    exact = {r.term: r.df for r in tfidf.document_frequencies(tf).collect()}
+    for bits in (24, 12):
+        passed = {r.term for r in tf.where(tfidf.maybe_frequent(tf, 10, bits)).select("term").distinct().collect()}
+        assert {t for t, n in exact.items() if n >= 10} <= passed
+    assert len(passed) < len(exact) / 3
+    assert tf.where("false").where(tfidf.maybe_frequent(tf.where("false"), 10)).count() == 0

@@ -7,9 +7,12 @@ term), sublinear tf 1 + ln(tf), smoothed idf ln((1 + N) / (1 + df)) + 1, L2 row
 
 Plan shape, chosen for scale:
   * documents are hash-partitioned by key once (one shuffle of the raw text); exploding
-    n-grams, counting tf per (doc, term) and the per-document L2 norm (a window by key)
-    then run without another exchange;
-  * document frequencies are one term-keyed aggregation with map-side partial counts;
+    n-grams and counting tf per (doc, term) then run without another exchange;
+  * document frequencies first go into a sketch of counters (as many as the terms, narrow, summed map-side);
+    only terms whose counters reach ``min_df`` are shuffled as strings and counted exactly. A counter is
+    never below a term's frequency, so no term is lost;
+  * the term counts are written bucketed by document, so bringing a document's terms together in one row, its
+    norm, presence and the feature table need no exchange by document;
   * the vocabulary is capped by an exact, distributed cutoff (a histogram of corpus counts)
     instead of a global sort; it is a written table, so the planner sees its size when the
     tf rows join it.
@@ -21,14 +24,17 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tiercat.functions.text import normalize_text, sublinear_tf, tokens, word_ngrams
+from tiercat.session import materialize
 
 # The reference's vectorizer defaults (minimum document frequency, cap).
 MIN_DF = 10
 MAX_FEATURES = 200_000
 
+BROADCAST_BYTES = 64 << 20
+
 
 def term_frequencies(docs: DataFrame, key: str, text: str, carry=(),
                      n_min: int = 1, n_max: int = 2, partitions: int | None = None) -> DataFrame:
@@ -43,6 +49,29 @@ def term_frequencies(docs: DataFrame, key: str, text: str, carry=(),
     return grams.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def maybe_frequent(tf: DataFrame, min_df: int, most_bits: int = 24) -> Column:
+    """Whether a row's term may stand in ``min_df`` documents: count-min over two hashed rows of counters, their
+    number by the distinct terms (estimated), at most 2 ** ``most_bits``. What the rows are compared with is one
+    bit a counter, a single row of 2 x 2 MB at most. With very many terms the counters fill up and more rare
+    terms pass; none that is frequent fails."""
+    spark = tf.sparkSession
+    terms = tf.agg(F.approx_count_distinct("term")).first()[0]
+    bits = min(max(12, (4 * terms).bit_length()), most_bits)
+    cell = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col("term")), F.lit(1 << bits))
+    words = (tf.select(F.posexplode(F.array(cell(0), cell(1))).alias("k", "cell"))
+             .groupBy("k", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_df)
+             .groupBy("k", F.shiftright("cell", 6).alias("at"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(cell % 64 AS INT)))").alias("word")))
+    every = spark.range((1 << bits) // 64).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.col("id").alias("at"))
+    filled = every.join(words, ["k", "at"], "left").groupBy("k").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))),
+        lambda x: x["word"]).alias("words"))
+    filled = materialize(spark, filled, "frequent-cells")
+    passes = lambda k: F.getbit(F.get(filled.where(F.col("k") == k).select("words").scalar(),
+                                      F.shiftright(cell(k), 6).cast("int")), (cell(k) % 64).cast("int")) == 1
+    return passes(0) & passes(1)
+
+
 def document_frequencies(tf: DataFrame) -> DataFrame:
     """``(term, df, total)``: documents containing the term and its corpus count."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
@@ -57,8 +86,7 @@ def cap_vocabulary(cand: DataFrame, max_features: int | None) -> DataFrame:
     ordered (by term) to fill the remaining slots."""
     if max_features is None:
         return cand
-    cand = cand.cache()
-    n = cand.count()
+    n = cand.count()  # a written table
     if n <= max_features:
         return cand
     hist = cand.groupBy("total").agg(F.count(F.lit(1)).alias("k"))
@@ -87,14 +115,38 @@ class TfidfModel:
     size: int
     n_min: int = 1
     n_max: int = 2
+    measured: int | None = None  # bytes of the terms, once asked for
+
+    def _beside(self, *columns: str) -> DataFrame:
+        """Columns of the vocabulary for a join with documents' terms: broadcast if its measured bytes allow, so the
+        documents keep their partitioning; else the planner shuffles both."""
+        if self.measured is None:
+            self.measured = self.vocab.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+        v = self.vocab.select(*columns)
+        return F.broadcast(v) if self.measured <= BROADCAST_BYTES else v
+
+    def rows(self, tf: DataFrame, key: str, carry=()) -> DataFrame:
+        """F7 + F8 (M8 on new documents): one row per document that has a term of the vocabulary, ``(key, *carry,
+        terms)``, terms an array of (term_idx, tf, weight) in order; weight = (1 + ln tf) * idf, L2-normalised.
+        If ``tf`` is bucketed by key, nothing is exchanged by key."""
+        w = tf.join(self._beside("term", "term_idx", "idf"), "term", "inner").select(
+            key, *carry, F.struct("term_idx", "tf", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w")).alias("t"))
+        g = w.groupBy(key, *carry).agg(F.array_sort(F.collect_list("t")).alias("t"))
+        norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        g = g.withColumn("norm", norm)
+        return g.select(key, *carry, F.transform("t", lambda x: F.struct(
+            x["term_idx"].alias("term_idx"), x["tf"].alias("tf"), (x["w"] / F.col("norm")).alias("weight"))).alias("terms"))
 
     def weights(self, tf: DataFrame, key: str) -> DataFrame:
-        """F7 + F8 (M8 on new documents): ``(key, ..., term, term_idx, tf, weight)`` for
-        in-vocabulary terms; weight = (1 + ln tf) * idf, L2-normalised per document."""
-        v = self.vocab.select("term", "term_idx", "idf")
-        w = tf.join(v, "term", "inner").withColumn("w", sublinear_tf(F.col("tf")) * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-        return w.withColumn("weight", F.col("w") / norm).drop("w")
+        """The weights of new documents in long form: ``(key, ..., term, term_idx, tf, weight)``."""
+        return self.long(self.rows(tf, key, [c for c in tf.columns if c not in (key, "term", "tf")]))
+
+    def long(self, rows: DataFrame) -> DataFrame:
+        """The long form of :meth:`rows`: ``(..., term, term_idx, tf, weight)``."""
+        rest = [c for c in rows.columns if c != "terms"]
+        long = rows.select(*rest, F.explode("terms").alias("t")).select(*rest, "t.*")
+        return long.join(self._beside("term", "term_idx"), "term_idx").select(
+            *rest, "term", "term_idx", "tf", "weight")
 
     def save(self, path: str) -> None:
         """The vocabulary as parquet, the settings as one JSON line."""
@@ -105,8 +157,7 @@ class TfidfModel:
 
     def presence(self, tf: DataFrame) -> DataFrame:
         """Distinct (document, term) pairs restricted to the vocabulary."""
-        v = self.vocab.select("term")
-        return tf.join(v, "term", "left_semi")
+        return tf.join(self._beside("term"), "term", "left_semi")
 
 
 def fit(tf: DataFrame, n_docs: int, min_df: int = MIN_DF,
@@ -114,12 +165,21 @@ def fit(tf: DataFrame, n_docs: int, min_df: int = MIN_DF,
     """A11 + A12: vocabulary, term index (alphabetical, as the feature index) and idf.
 
     ``n_docs`` is the number of training documents, empty ones included."""
-    dfs = document_frequencies(tf).where(F.col("df") >= min_df)
-    vocab = cap_vocabulary(dfs, max_features)
-    # index = position in sorted term order; runs over the (capped) vocabulary only
-    vocab = vocab.withColumn("term_idx",
-                             (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    vocab = vocab.withColumn("idf", F.ln((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0)
-    vocab = vocab.cache()
-    size = int(vocab.count())
-    return TfidfModel(vocab, n_docs, size, n_min, n_max)
+    spark = tf.sparkSession
+    some = tf.where(maybe_frequent(tf, min_df)) if min_df > 1 else tf
+    dfs = materialize(spark, document_frequencies(some).where(F.col("df") >= min_df), "document-frequencies")
+    vocab = materialize(spark, _numbered(cap_vocabulary(dfs, max_features)).withColumn(
+        "idf", F.ln((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0), "vocabulary")
+    return TfidfModel(vocab, n_docs, int(vocab.count()), n_min, n_max)
+
+
+def _numbered(vocab: DataFrame) -> DataFrame:
+    """``term_idx``: the position in sorted term order, by ranges of terms; one row a range is summed up."""
+    v = materialize(vocab.sparkSession, vocab.repartitionByRange("term").sortWithinPartitions("term")
+                    .withColumn("_id", F.monotonically_increasing_id()), "terms")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = v.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.shiftleft("_part", 33)).alias("_shift"))
+    return v.withColumn("_part", part).join(shift, "_part").withColumn(
+        "term_idx", (F.col("_id") + F.col("_shift")).cast("int")).drop("_id", "_part", "_shift")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiercat.operators import prepare as prep
 from tiercat.operators.split import prepare_and_split
-from tiercat.session import materialize
+from tiercat.session import materialize, materialize_bucketed
 from tiercat.sources.io import read_table
 
 # The reference's split seed and validation share.
@@ -155,31 +155,30 @@ def with_scores(df: DataFrame, k_cat: int, k_sub: int, coarse: bool = False) ->
 @dataclass
 class TextFeatures:
     prepared: Prepared
-    tf: DataFrame        # (doc_id, category_id, subcategory_id, split, term, tf), all splits
+    tf: DataFrame        # (doc_id, category_id, subcategory_id, split, term, tf), all splits, bucketed by doc_id
     model: "object"      # tfidf.TfidfModel fitted on the train split
+    rows: DataFrame      # (doc_id, category_id, subcategory_id, split, terms), bucketed by doc_id
 
     def weights(self, split: str | None = None) -> DataFrame:
-        tf = self.tf if split is None else self.tf.where(F.col("split") == split)
-        return self.model.weights(tf, "doc_id")
+        return self.model.long(self.rows if split is None else self.rows.where(F.col("split") == split))
 
 
 def text_features(spark: SparkSession, sf_dir: str, min_df: int = 10,
                   max_features: int | None = 200_000) -> TextFeatures:
-    """M8: the vectorizer fitted on the train split of the prepared table; ``tf`` holds
+    """M8: the vectorizer fitted on the train split of the prepared table; ``tf`` and ``rows`` hold
     every split so validation documents are transformed with the train vocabulary."""
     from tiercat.operators import tfidf
+    carry = ("category_id", "subcategory_id", "split")
 
     def build():
         p = prepared_txn(spark, sf_dir)
-        rows = p.rows.select("doc_id", "clean_description", "category_id", "subcategory_id",
-                             "split")
-        tf = materialize(spark, tfidf.term_frequencies(
-            rows, "doc_id", "clean_description",
-            carry=("category_id", "subcategory_id", "split")), "term_frequencies")
+        rows = p.rows.select("doc_id", "clean_description", *carry)
+        tf = materialize_bucketed(spark, tfidf.term_frequencies(rows, "doc_id", "clean_description", carry),
+                                  "doc_id", "term-frequencies")
         n_train = int(p.split("train").count())
         model = tfidf.fit(tf.where(F.col("split") == "train"), n_train, min_df, max_features)
-        model.vocab = materialize(spark, model.vocab, "vocabulary")
-        return TextFeatures(p, tf, model)
+        each = materialize_bucketed(spark, model.rows(tf, "doc_id", carry), "doc_id", "term-rows")
+        return TextFeatures(p, tf, model, each)
     return _memo(spark, sf_dir, f"text_features/{min_df}/{max_features}", build)
 
 
@@ -193,7 +192,7 @@ def _feature_files(spark: SparkSession, sf_dir: str):
         f = text_features(spark, sf_dir)
         docs = f.prepared.rows.select("doc_id", "category_id", "subcategory_id", "split")
         path = scratch_path(spark, f"{spark.sparkContext.applicationId}/features-{uuid.uuid4().hex}")
-        return path, tr.feature_table(docs, f.weights(), "doc_id", f.model.size, path).schema
+        return path, tr.feature_table(docs, f.rows, "doc_id", f.model.size, path).schema
     return _memo(spark, sf_dir, "features", build)
 
 
