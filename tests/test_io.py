@@ -37,3 +37,31 @@ def test_splits_round_trip(spark, tmp_path):
     write_splits(df, path)
     assert sorted(tuple(r) for r in read_split(spark, path, "train").select("k", "t").collect()) == [(1, "a"), (3, "c")]
     assert [tuple(r) for r in read_split(spark, path, "val").select("k", "t").collect()] == [(2, None)]
+
+
+def test_head_of_files_in_their_order(spark, tmp_path):
+    """The first rows of several files, in path order, whatever the splits."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import pytest
+    from tiercat.sources.io import cap_rows
+    for k, name in enumerate(("b", "a", "c")):
+        t = pa.table({"id": list(range(k * 1000, k * 1000 + 700)), "_head_file": ["x"] * 700})
+        pq.write_table(t.drop_columns("_head_file"), tmp_path / f"{name}.parquet", row_group_size=50)
+        (tmp_path / f"{name}.csv").write_text("id\n" + "\n".join(map(str, t["id"].to_pylist())))
+    order = [*range(1000, 1700), *range(700), *range(2000, 2700)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        for kind in ("parquet", "csv"):
+            d = spark.read.option("header", True).format(kind).load(str(tmp_path / f"*.{kind}"))
+            for n in (1, 699, 700, 701, 1500, 2100, 5000):
+                if kind == "csv" and n < 5000:
+                    n = min(n, 100)  # a file of several blocks
+                got = [int(r.id) for r in cap_rows(d, n).collect()]
+                assert sorted(got) == sorted(order[:n]), (kind, n)
+        assert cap_rows(d, 0).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(ValueError):
+        cap_rows(spark.range(10), 3)

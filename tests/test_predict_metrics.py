@@ -100,3 +100,35 @@ def test_exact_median_without_gathering(spark):
             assert got == (statistics.median(values) if values else None)
     plan = median_of(spark.range(10).select((F.col("id") / 10).alias("c")), "c")._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_exact_median_of_crowded_values(spark):
+    """Confident models: all values in one step of a coarse histogram, ties, neighbours, tiny and huge values."""
+    import random
+    import statistics
+    from tiercat.operators.metrics import median_of
+    r = random.Random(4)
+    near = [1 - r.random() * 1e-6 for _ in range(999)]
+    for values in (near, near + [0.0], [1 - 2**-53, 1.0], [1.0] * 7 + [0.5], [5e-324, 1e-300, 0.0, 1.0],
+                   [-3.0, 1e308, -1e308, 2.0], [2.0 ** -i for i in range(200)]):
+        d = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "c double")
+        assert median_of(d, "c").first()[0] == statistics.median(values)
+        assert median_of(d, "c", 4).first()[0] == statistics.median(values)
+
+
+def test_names_in_place_equal_names_by_joins(spark, monkeypatch):
+    from tiercat.operators import predict as pr
+    cats = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "category string, category_id int")
+    subs = spark.createDataFrame([(f"s{i}", i) for i in range(5)], "sub_category string, subcategory_id int")
+    cmap = spark.createDataFrame([(0, [0, 1]), (1, [2]), (2, [3, 4])], "category_id int, sub_ids array<int>")
+    d = spark.createDataFrame([(1, [.2, .5, .3], [.1, .2, .3, .2, .2]), (2, [.4, .4, .2], [0.0, 0.0, 1.0, 0.0, 0.0])],
+                              "id long, cat_prob array<double>, sub_prob array<double>")
+    there = pr.classify(d, cmap, cats, subs, k=3)
+    monkeypatch.setattr(pr.name_list, "__defaults__", (0,))
+    joined = pr.classify(d, cmap, cats, subs, k=3)
+    cols = ["id", "category", "subcategory", "top_categories", "top_subcategories"]
+    assert sorted(there.select(cols).collect()) == sorted(joined.select(cols).collect())
+    text = there._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1 < joined._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    # ids with gaps are looked up by joins
+    assert pr.name_list(subs.where("subcategory_id <> 2"), 1 << 20) is None

@@ -70,24 +70,40 @@ def joint_accuracy(df: DataFrame, y1: str, p1: str, y2: str, p2: str) -> DataFra
 
 
 def median_of(df: DataFrame, value: str, buckets: int = 65_536) -> DataFrame:
-    """Exact median of a column of probabilities, one row, without gathering the column: a histogram
-    over equal steps of [0, 1] tells the steps that hold the middle ranks, and only the
-    distinct values of those steps are put in order. Values outside [0, 1] fall in the outer
-    steps; nulls do not count."""
-    step = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("v") * buckets))).cast("int")
-    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    v = v.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("step", step)
-    hist = v.groupBy("step").agg(F.sum("n").alias("n"))
-    up = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1))
-    hist = hist.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(everything))
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    middle = hist.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select(
-        "step", (F.col("upto") - F.col("n")).alias("before"), low.alias("low"), high.alias("high"))
-    w = Window.partitionBy("step").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = v.join(middle, "step").withColumn("upto", F.sum("n").over(w) + F.col("before"))
-    reach = lambda rank: F.min(F.when(F.col("upto") >= F.col(rank), F.col("v")))
-    return r.agg(((reach("low") + reach("high")) / 2).alias("median"))
+    """Exact median of a numeric column, one row, without gathering or sorting the column; nulls and NaN do
+    not count.
+
+    A selection by ranks: a pass counts the values in ``buckets`` equal steps between the least and the greatest
+    value that are still open, and keeps each step's own least and greatest; the step that holds the
+    middle ranks is the next range, until it holds one value. A pass narrows the range by 65,536 at least, so
+    probabilities take four passes at most unless they are tiny; what a task or the driver holds are
+    counters, however many values fall into one step."""
+    m = _median(df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"), buckets)
+    return df.sparkSession.range(1).select(F.lit(m).cast("double").alias("median"))
+
+
+def _median(v: DataFrame, buckets: int) -> float | None:
+    total, low, high = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not total:
+        return None
+    first = (total + 1) // 2      # ranks of the two middle values, from 1
+    second = (total + 2) // 2
+    while low < high:
+        width = high / buckets - low / buckets
+        step = F.lit(0) if not width else F.least(
+            F.lit(buckets - 1), F.floor((F.col("v") - low) / width)).cast("int")
+        if not width:  # neighbouring numbers too close to divide: only the least, or not
+            step = (F.col("v") > low).cast("int")
+        hist = v.where(F.col("v").between(low, high)).groupBy(step.alias("s")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        at = hist.withColumn("upto", F.sum("n").over(up)).where(
+            (F.col("upto") >= first) & (F.col("upto") - F.col("n") < second)).orderBy("s").collect()
+        if len(at) == 2:  # the two middle values stand on both sides of a border
+            return (at[0].high + at[1].low) / 2
+        before = at[0].upto - at[0].n
+        first, second, low, high = first - before, second - before, at[0].low, at[0].high
+    return low
 
 
 def confidence_summary(df: DataFrame, prob: str) -> DataFrame:

@@ -67,13 +67,15 @@ def a15_class_report(spark, sf_dir):
 
 
 @register("u1_report_labels", S.with_ctes(PREP, S.preds(), body="""
-SELECT CAST(subcategory_id AS BIGINT) AS label FROM preds
-UNION SELECT pred_subcategory_id FROM preds"""))
+SELECT 'sub_category' AS level, CAST(subcategory_id AS BIGINT) AS label FROM preds
+UNION SELECT 'sub_category', pred_subcategory_id FROM preds
+UNION SELECT 'category', category_id FROM preds
+UNION SELECT 'category', pred_category_id FROM preds"""))
 def u1_report_labels(spark, sf_dir):
     """Report classes = labels seen in truth or in prediction."""
     d, _ = preds_val(spark, sf_dir)
-    return (d.select(F.col("subcategory_id").cast("long").alias("label"))
-            .union(d.select(F.col("pred_subcategory_id").cast("long"))).distinct())
+    return _union([d.select(F.lit(lvl).alias("level"), F.col(c).cast("long").alias("label"))
+                   for lvl, y, p in LEVELS for c in (y, p)]).distinct()
 
 
 _SUMMARY_SQL = """
@@ -99,24 +101,27 @@ def m9_evaluation(spark, sf_dir):
         for lvl, y, p in LEVELS])
 
 
-@register("a16_macro_averages", S.with_ctes(
-    PREP, S.preds(), S.report("preds", "subcategory_id", "pred_subcategory_id", "rs"), body="""
-SELECT round(avg(precision), 6) AS precision_macro, round(avg(recall), 6) AS recall_macro,
-       round(avg(f1), 6) AS f1_macro FROM rs"""))
+_REPORTS = (S.report("preds", "category_id", "pred_category_id", "rc"),
+            S.report("preds", "subcategory_id", "pred_subcategory_id", "rs"))
+
+
+@register("a16_macro_averages", S.with_ctes(PREP, S.preds(), *_REPORTS, body="\nUNION ALL".join(f"""
+SELECT '{lvl}' AS level, round(avg(precision), 6) AS precision_macro, round(avg(recall), 6) AS recall_macro,
+       round(avg(f1), 6) AS f1_macro FROM {rep}""" for lvl, rep in (("category", "rc"), ("sub_category", "rs")))))
 def a16_macro_averages(spark, sf_dir):
     d, _ = preds_val(spark, sf_dir)
-    s = mt.summary(mt.class_report(d, "subcategory_id", "pred_subcategory_id"))
-    return s.select(*[_r6(F.col(c)).alias(c) for c in
-                      ("precision_macro", "recall_macro", "f1_macro")])
+    return _union([mt.summary(mt.class_report(d, y, p)).select(
+        F.lit(lvl).alias("level"), *[_r6(F.col(c)).alias(c) for c in ("precision_macro", "recall_macro", "f1_macro")])
+        for lvl, y, p in LEVELS])
 
 
-@register("a17_weighted_f1", S.with_ctes(
-    PREP, S.preds(), S.report("preds", "subcategory_id", "pred_subcategory_id", "rs"), body="""
-SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM rs"""))
+@register("a17_weighted_f1", S.with_ctes(PREP, S.preds(), *_REPORTS, body="\nUNION ALL".join(f"""
+SELECT '{lvl}' AS level, round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM {rep}"""
+    for lvl, rep in (("category", "rc"), ("sub_category", "rs")))))
 def a17_weighted_f1(spark, sf_dir):
     d, _ = preds_val(spark, sf_dir)
-    s = mt.summary(mt.class_report(d, "subcategory_id", "pred_subcategory_id"))
-    return s.select(_r6(F.col("f1_weighted")).alias("f1_weighted"))
+    return _union([mt.summary(mt.class_report(d, y, p)).select(
+        F.lit(lvl).alias("level"), _r6(F.col("f1_weighted")).alias("f1_weighted")) for lvl, y, p in LEVELS])
 
 
 @register("a18_joint_accuracy", S.with_ctes(PREP, S.preds(), body="""

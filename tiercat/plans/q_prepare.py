@@ -1,8 +1,10 @@
-"""Registered queries: sources and preparation (S2, S4, P2-P5, J1, J2, W2, W3, W4, A2, A6,
+"""Registered queries: sources and preparation (S1-S4, P2-P5, J1, J2, W2, W3, W4, A2, A6,
 A8, A9/U2/S7)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tiercat.operators import prepare as prep
@@ -11,7 +13,11 @@ from tiercat.operators.profile import threshold_counts, value_counts
 from tiercat.plans import fixtures as fx
 from tiercat.plans import sql as S
 from tiercat.plans.registry import register
-from tiercat.sources.io import cap_rows
+from tiercat.session import scratch_path
+from tiercat.sources.io import cap_rows, read_csv, read_split, read_table, write_splits
+
+
+PREP = S.prepared_txn()
 
 
 def _r6(c):
@@ -28,6 +34,42 @@ def s2_row_cap(spark, sf_dir):
         .select("doc_id", "category", "sub_category")
 
 
+@register("s2_file_head", "SELECT doc_id, lang, source FROM documents LIMIT 300")
+def s2_file_head(spark, sf_dir):
+    """S2 without a key: the first rows of the file, in its order."""
+    return cap_rows(read_table(spark, sf_dir, "documents"), 300).select("doc_id", "lang", "source")
+
+
+_CSV = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang AS category,
+       CASE WHEN doc_id % 5 > 1 THEN source END AS sub_category FROM documents"""
+
+
+@register("s1_csv_scan", _CSV)
+def s1_csv_scan(spark, sf_dir):
+    """A CSV of the documents (quotes, commas and newlines in texts, null tokens for some sources), read back as
+    strings."""
+    d = read_table(spark, sf_dir, "documents")
+    token = F.when(F.col("doc_id") % 5 == 0, "NA").when(F.col("doc_id") % 5 == 1, "null").otherwise(F.col("source"))
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}")
+    (d.select("doc_id", "text", F.col("lang").alias("category"), token.alias("sub_category"))
+     .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv(spark, path, multi_line=True)
+
+
+@register("s3_split_sink", S.with_ctes(PREP, body="""
+SELECT split, doc_id, CAST(category_id AS BIGINT) AS category_id,
+       CAST(subcategory_id AS BIGINT) AS subcategory_id, clean_description FROM prepared"""))
+def s3_split_sink(spark, sf_dir):
+    """S3: the prepared rows written by split, and each split read back on its own."""
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/splits-{uuid.uuid4().hex}")
+    write_splits(fx.prepared_txn(spark, sf_dir).rows, path)
+    both = read_split(spark, path, "train").unionByName(read_split(spark, path, "val"))
+    return both.select("split", "doc_id", F.col("category_id").cast("long"), F.col("subcategory_id").cast("long"),
+                       "clean_description")
+
+
 @register("s4_txn_scan", S.with_ctes(S.TXN, body="""
 SELECT doc_id, clean_description, type, category, sub_category FROM txn"""))
 def s4_txn_scan(spark, sf_dir):

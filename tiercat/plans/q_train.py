@@ -3,6 +3,8 @@ M11), and the feature store they share (S5). Learned models are checked by invar
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from tiercat.operators import linear as ln
 from tiercat.operators import metrics as mt
 from tiercat.operators import predict as pd_
 from tiercat.operators import prepare as prep
+from tiercat.operators import tfidf
 from tiercat.operators import train as tr
 from tiercat.plans import fixtures as fx
 from tiercat.plans import sql as S
 from tiercat.plans.registry import register
+from tiercat.session import scratch_path
 from tiercat.sources.io import read_table
 
 PREP = S.prepared_txn()
@@ -233,6 +237,49 @@ def m9_learned_report(spark, sf_dir):
     return _union(out)
 
 
+@register("a15_learned_report", S.with_ctes(PREP, body="""
+SELECT 'category' AS level, CAST(category_id AS BIGINT) AS label, count(*) AS support, true AS in_range
+FROM prepared WHERE split = 'val' GROUP BY category_id
+UNION ALL
+SELECT 'sub_category', subcategory_id, count(*), true FROM prepared WHERE split = 'val' GROUP BY subcategory_id"""))
+def a15_learned_report(spark, sf_dir):
+    """A15 on learned predictions (M4): the report's row of every class of the validation split, and whether its
+    scores lie in [0, 1] and fit its counts."""
+    val, out = fx.feature_rows(spark, sf_dir).where(F.col("split") == "val"), []
+    for lvl, cls in LEVELS:
+        m = fx.linear_models(spark, sf_dir, "hinge")[cls]
+        scored = ln.probabilities(m, val.select("doc_id", cls, "indices", "values"))
+        rep = mt.class_report(scored.select(F.col(cls).alias("y"), F.col("prediction").alias("p")), "y", "p")
+        fits = (F.col("tp") <= F.least("support", "predicted")) & F.col("precision").between(0, 1) \
+            & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+        out.append(rep.where("support > 0").select(
+            F.lit(lvl).alias("level"), F.col("label").cast("long"), "support", fits.alias("in_range")))
+    return _union(out)
+
+
+@register("s6_persistence", S.with_ctes(PREP, S.tfidf(), body="""
+SELECT term, round(idf, 6) AS idf, true AS same_models FROM vocab"""))
+def s6_persistence(spark, sf_dir):
+    """The vectorizer, a linear model of each level and a boosted one written and read back: the vocabulary as
+    read, and whether the models read back predict what the written ones do."""
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/models-{uuid.uuid4().hex}")
+    f = fx.text_features(spark, sf_dir)
+    f.model.save(os.path.join(path, "vectorizer"))
+    rows = fx.feature_rows(spark, sf_dir).where(F.col("split") == "val")
+    dense = fx.dense_table(spark, sf_dir).where(F.col("split") == "val").select("features", "doc_id")
+    pairs = []
+    for _, cls in LEVELS:
+        m, at = fx.linear_models(spark, sf_dir, "hinge")[cls], os.path.join(path, cls)
+        m.save(at)
+        pairs.append([ln.probabilities(x, rows.select("doc_id", "indices", "values")) for x in (m, ln.load(spark, at))])
+    m, at = fx.boosters(spark, sf_dir)["category_id"], os.path.join(path, "booster")
+    m.save(spark, at)
+    pairs.append([gb.probabilities(x, dense) for x in (m, gb.load(spark, at))])
+    same = [a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() for a, b in pairs]
+    again = tfidf.load_model(spark, os.path.join(path, "vectorizer"))
+    return again.vocab.select("term", _r6(F.col("idf")).alias("idf"), F.lit(all(same)).alias("same_models"))
+
+
 @register("m6_batch_scoring", S.with_ctes(PREP, body="""
 SELECT doc_id, true AS known_category, true AS allowed_subcategory, true AS confidences
 FROM prepared WHERE split = 'val'"""))

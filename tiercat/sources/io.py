@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # The strings pandas' CSV reader turns into missing values by default.
 PANDAS_NULL_TOKENS = (
@@ -46,14 +46,40 @@ def read_csv(spark: SparkSession, path: str, null_tokens=PANDAS_NULL_TOKENS,
 def cap_rows(df: DataFrame, max_rows: int | None, order_by: str | None = None) -> DataFrame:
     """First ``max_rows`` rows, or all rows when ``max_rows`` is None.
 
-    With ``order_by`` the cap is deterministic (a top-k on the key); without it Spark keeps
-    the first rows it meets, like reading the head of a file.
+    With ``order_by`` the cap is a top-k on the key; without it the first rows in file order
+    (:func:`head_of_files`) where ``df`` reads files, so both are the same on every run.
     """
     if max_rows is None:
         return df
     if order_by is not None:
         return df.orderBy(order_by).limit(max_rows)
-    return df.limit(max_rows)
+    return head_of_files(df, max_rows)
+
+
+def head_of_files(df: DataFrame, max_rows: int) -> DataFrame:
+    """The first ``max_rows`` rows in order of file path, block and place in the block, of a DataFrame that is
+    a plain scan (or a projection of one) of files; other DataFrames have no file order and are an error.
+
+    Rows are counted by file first (for Parquet from the footers), so only the files that the head
+    reaches are read; of these a top-k by place is kept, never a sort of all rows."""
+    files = df.inputFiles()
+    if not files:
+        raise ValueError("rows that are not read from files have no order; name a key")
+    parquet = all(f.endswith(".parquet") for f in files)
+    path = F.col("_metadata.file_path")
+    # Parquet tells a row's place; elsewhere a split is read in order, and the id counts inside of it
+    block, row = (F.lit(0), F.col("_metadata.row_index")) if parquet else \
+        (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    sizes = df.groupBy(path.alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    last = sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))) \
+        .where(F.col("before") < max_rows).agg(F.max("f")).first()[0]
+    if last is None:
+        return df.limit(0)
+    named = df.where(path <= last).select(
+        "*", path.alias("_head_file"), block.alias("_head_block"), row.alias("_head_row"))
+    return named.orderBy("_head_file", "_head_block", "_head_row").limit(max_rows).drop(
+        "_head_file", "_head_block", "_head_row")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
