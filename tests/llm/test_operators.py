@@ -181,7 +181,7 @@ def test_simhash(nasty, empty, small, spark):
         want = near_components([(k, simhash.fingerprint(t)) for k, t in rows], 3)
         got = Counter((r.key, r.fp & (2 ** 64 - 1), r.component) for r in simhash.near_duplicates(d).collect())
         assert got == want
-    kept = simhash.keep_one(nasty)
+    kept = simhash.keep_one(nasty, distinct_keys=True)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == nasty.columns and len(ids) == len(set(ids)) and 4 not in ids and 5 not in ids and 3 in ids
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
@@ -255,14 +255,18 @@ def test_topk(spark):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
           if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
-    for q, v in ok:
+    for n, (q, v) in enumerate(ok):
         if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, u in ok if i != q and len(u) == len(v))[:5]
+            s = sorted((-sum(a * b for a, b in zip(u, v)), i) for j, (i, u) in enumerate(ok)
+                       if j != n and len(u) == len(v))[:5]
             want.update((q, r + 1, i, -x) for r, (x, i) in enumerate(s))
     for bucket, block in ((4096, 512), (7, 2)):
         got = topk.search(d, bucket_rows=bucket, query_rows=block)
         assert Counter(tuple(r) for r in got.collect()) == want
     assert topk.search(d.where("false")).count() == 0
+    huge = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 0.0]), (2, [-1e16, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.search(huge).collect()}
+    assert got == {(0, 1): 2 ** 63 - 1, (0, 2): -2 ** 63}
 
 
 def test_html(spark):

@@ -8,15 +8,17 @@ could still reach the threshold of some query there. In the bucket the threshold
 local cosine bound, and the cheaper of two cuts is taken per query: a prefix by length
 (|p| >= threshold / |q|), or, where the local bound is high, the rows whose coordinate on
 the query's largest entry lies in the range that the bound allows. The products of what is
-left are computed exactly and ranked.
+left are computed exactly and ranked. Pairs arrive in order of buckets, and a task keeps the order of the
+coordinates of the bucket at hand, so it is sorted once for all blocks that meet it there.
 
 All queries against all rows is a stated query set against the table, in blocks: its work
 grows with queries x rows at worst, its memory with the two block sizes.
 
 Defined cases: vectors that are null or hold a null or non-finite entry, rows with a null id,
 and empty vectors take no part; vectors meet only others of their dimension; repeated ids are
-rows of their own, and a query's own id is never its candidate; fewer than k candidates are
-all returned; equal scores rank by smaller id.
+rows of their own, and a query meets every row but its own, also those that repeat its id; fewer than k
+candidates are all returned; equal scores rank by smaller id; entries beyond 2^62 in amount count as 2^62, and
+a product beyond the range of a long as the end of that range.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
 
 
 def packed(rows: DataFrame, group: list[str]) -> DataFrame:
-    """One row per group: ids and matrix as bytes (int64), longest first, with their number."""
-    w = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("norm", "id", "v")), False).alias("r"))
+    """One row per group: ids, matrix (int64), norms and row numbers as bytes, longest first."""
+    w = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("norm", "id", "v", "at")), False).alias("r"))
     schema = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
 
     def run(batches):
@@ -54,19 +56,26 @@ def packed(rows: DataFrame, group: list[str]) -> DataFrame:
                 ids = r.field("id").to_numpy(zero_copy_only=False)
                 m = r.field("v").flatten().to_numpy(zero_copy_only=False)
                 norms = r.field("norm").to_numpy(zero_copy_only=False)
+                at = r.field("at").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(k).slice(i, 1) for k in range(len(group))]
-                    + [pa.array([x.tobytes()]) for x in (ids, m, norms)],
-                    [*group, "ids", "matrix", "norms"])
+                    + [pa.array([x.tobytes()]) for x in (ids, m, norms, at)],
+                    [*group, "ids", "matrix", "norms", "ats"])
 
-    return w.mapInArrow(run, f"{schema}, ids binary, matrix binary, norms binary")
+    return w.mapInArrow(run, f"{schema}, ids binary, matrix binary, norms binary, ats binary")
 
 
 def _exact(m: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both matrices in the type whose products are exact: floating point while no sum can
-    reach 2^53, else 64-bit integers."""
+    reach 2^53, 64-bit integers while none can reach 2^63, else integers of any length."""
     top = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * m.shape[1]
-    return (m.astype(np.float64), q.astype(np.float64)) if top < 2.0 ** 53 else (m, q)
+    kind = np.float64 if top < 2.0 ** 53 else np.int64 if top < 2.0 ** 62 else object
+    return m.astype(kind), q.astype(kind)
+
+
+def _long(s: np.ndarray) -> np.ndarray:
+    """Products as 64-bit integers; what lies beyond is the end of the range."""
+    return (np.clip(s, -2 ** 63, 2 ** 63 - 1) if s.dtype == object else s).astype(np.int64)
 
 
 def _kept(norms: np.ndarray, by_entry: np.ndarray, sorted_entry: list[np.ndarray], q: np.ndarray,
@@ -113,7 +122,7 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0,
            k: int = 5, query_every: int = 50, bucket_rows: int = 4096, query_rows: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``query_every``, the
-    k rows of another id with the highest inner products of floor(scale * x)."""
+    k other rows with the highest inner products of floor(scale * x)."""
     rows = quantised(vectors, key, vector, scale)
     order = ["dim", F.desc("norm"), "id"]
     rows = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -143,30 +152,31 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s
     w = Window.partitionBy("dim").orderBy(F.desc("longest"), "bucket")
     lead = sizes.withColumn("r", F.row_number().over(w)).where("r = 1").select("dim", "bucket")
     lead = buckets.join(lead, ["dim", "bucket"]).select(
-        "dim", F.col("ids").alias("b_ids"), F.col("matrix").alias("b_matrix"))
+        "dim", F.col("ats").alias("b_ats"), F.col("matrix").alias("b_matrix"))
     if sizes.select("dim").distinct().limit(17).count() < 17:  # as many buckets travel
         lead = F.broadcast(lead)
 
     def first(batches):
         for b in batches:
             for r in b.to_pylist():
-                q_ids, ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                m, q = _exact(_matrix(r["b_matrix"], len(ids)), _matrix(r["matrix"], len(q_ids)))
-                s = (m @ q.T).astype(np.float64)
-                s[ids[:, None] == q_ids[None, :]] = -np.inf
-                least = np.partition(s, len(ids) - k, axis=0)[-k] if len(ids) >= k \
-                    else np.full(len(q_ids), -np.inf)
+                own, ats = np.frombuffer(r["ats"], np.int64), np.frombuffer(r["b_ats"], np.int64)
+                m, q = _exact(_matrix(r["b_matrix"], len(ats)), _matrix(r["matrix"], len(own)))
+                s = _long(m @ q.T).astype(np.float64)
+                s[ats[:, None] == own[None, :]] = -np.inf
+                least = np.partition(s, len(ats) - k, axis=0)[-k] if len(ats) >= k \
+                    else np.full(len(own), -np.inf)
                 norms = np.frombuffer(r["norms"], np.float64)
                 need = np.where(least > 0, least / np.maximum(norms, 1e-300), -1.0)
                 yield pa.RecordBatch.from_pylist([{
                     "dim": r["dim"], "block": r["block"], "q_ids": r["ids"], "q_matrix": r["matrix"],
-                    "q_norms": r["norms"], "least": least.tobytes(), "need": float(need.min())}],
+                    "q_norms": r["norms"], "q_ats": r["ats"], "least": least.tobytes(), "need": float(need.min())}],
                     schema=pa.schema([("dim", pa.int32()), ("block", pa.string()), ("q_ids", pa.binary()),
-                                      ("q_matrix", pa.binary()), ("q_norms", pa.binary()),
+                                      ("q_matrix", pa.binary()), ("q_norms", pa.binary()), ("q_ats", pa.binary()),
                                       ("least", pa.binary()), ("need", pa.float64())]))
 
     blocks = stored(blocks.join(lead, "dim").mapInArrow(
-        first, "dim int, block string, q_ids binary, q_matrix binary, q_norms binary, least binary, need double"),
+        first, "dim int, block string, q_ids binary, q_matrix binary, q_norms binary, q_ats binary, least binary, "
+               "need double"),
         "query-thresholds")
     # a block of queries meets the buckets that can still reach one of its thresholds
     # (a dimension is one key, so blocks are salted and the narrow bucket list is repeated)
@@ -177,6 +187,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s
     pairs = met.join(blocks.drop("dim", "need"), "block").join(buckets, "bucket")
 
     def compare(batches):
+        held, entry, ordered = None, None, None
         for b in batches:
             for at_row in range(b.num_rows):
                 r = b.slice(at_row, 1).to_pylist()[0]
@@ -184,14 +195,16 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s
                 q_ids, q_norms = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_norms"], np.float64)
                 least = np.frombuffer(r["least"], np.float64)
                 m, q = _exact(_matrix(r["matrix"], len(ids)), _matrix(r["q_matrix"], len(q_ids)))
-                unit = m / np.maximum(norms, 1e-300)[:, None]
-                entry = np.argsort(unit, axis=0, kind="stable").T
-                ordered = [unit[e, f] for f, e in enumerate(entry)]
+                if r["bucket"] != held:
+                    unit = m.astype(np.float64) / np.maximum(norms, 1e-300)[:, None]
+                    entry, held = np.argsort(unit, axis=0, kind="stable").T, r["bucket"]
+                    ordered = [unit[e, f] for f, e in enumerate(entry)]
+                ats, own = np.frombuffer(r["ats"], np.int64), np.frombuffer(r["q_ats"], np.int64)
                 found = []
                 for i in range(len(q_ids)):
-                    at = _kept(norms, entry, ordered, q[i], q_norms[i], least[i])
-                    at = at[ids[at] != q_ids[i]]
-                    s = (m[at] @ q[i]).astype(np.int64)
+                    at = _kept(norms, entry, ordered, q[i].astype(np.float64), q_norms[i], least[i])
+                    at = at[ats[at] != own[i]]
+                    s = _long(m[at] @ q[i])
                     good = s >= least[i]
                     at, s = at[good], s[good]
                     top = _best(ids[at], s, k)
@@ -201,7 +214,8 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s
                     [pa.array([r["block"]] * len(no), pa.string()), pa.array(no, pa.int32()),
                      *map(pa.array, rest)], ["block", "no", "query_id", "vec_id", "score"])
 
-    out = pairs.select("block", "ids", "matrix", "norms", "q_ids", "q_matrix", "q_norms", "least").mapInArrow(
+    out = pairs.select("block", "bucket", "ids", "matrix", "norms", "ats", "q_ids", "q_matrix", "q_norms", "q_ats",
+                       "least").mapInArrow(
         compare, "block string, no int, query_id long, vec_id long, score long")
     w = Window.partitionBy("block", "no").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
