@@ -37,6 +37,7 @@ from tiercat.llm.common import col, fold, lower_words, parts, stored, texts_of
 END = b""
 ROUNDS = (1, 3, 7, 15, 32)  # of 32 shares of the training texts, those learned by the end of each
 CHUNKS = 32
+SLICE = 1 << 22  # ids
 LOT = 512  # partitions whose parameters are averaged together
 LONGEST = 64
 _LN10 = float(np.log(10.0))
@@ -175,9 +176,17 @@ def trained(rows: DataFrame, layout: gru.Layout, start: np.ndarray, held_fold: i
         d = rows.where((F.col("fold") != held_fold) & F.col("share").between(done, until - 1)).select("ids")
 
         def run(batches, now=now):
-            docs = [np.frombuffer(x, np.uint16) for b in batches for x in b.column(0).to_pylist()]
             trainer = gru.Trainer(layout, layout.unflat(now.value), rate)
-            tokens = trainer.train(docs)
+            # a partition is trained on in slices, so a task holds a slice's ids whatever its rows
+            tokens, held, size = 0, [], 0
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    held.append(np.frombuffer(x, np.uint16))
+                    size += len(held[-1])
+                    if size >= SLICE:
+                        tokens += trainer.train(held)
+                        held, size = [], 0
+            tokens += trainer.train(held)
             if tokens:
                 cut = np.array_split(layout.flat(trainer.p), CHUNKS)
                 yield pa.RecordBatch.from_arrays(
