@@ -1,5 +1,6 @@
 """The numpy and text parts without Spark."""
 import random
+import re
 import time
 from collections import Counter
 from html.parser import HTMLParser
@@ -75,7 +76,10 @@ def test_myers_and_matcher():
         m = decontaminate.Matcher([(0, p)], 0.2)
         want = _semi_global(p, t)
         got = m.matches(t)
-        assert (want <= int(len(p) * 0.2) and len(t) > 0) == bool(got)
+        held = want <= len(p) // 5 and len(t) > 0
+        if len(p) < 5:  # no error allowed: between word borders
+            held = re.search(f"(?<![abc]){p}(?![abc])", t) is not None
+        assert held == bool(got)
         assert not got or got[0][1] == want
     assert decontaminate.Matcher([], 0.1).matches("x") == []
 
