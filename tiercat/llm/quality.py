@@ -107,15 +107,24 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
               label: str = "quality", threshold: float = 0.3, max_train_rows: int = 20_000) -> DataFrame:
-    """The documents that the classifier does not reject, all columns. The fitted tables are
-    applied next to the text, so no join brings scores and texts together."""
-    measured = stored(measure(docs, key, text), "quality-features")
+    """The documents that the classifier does not reject, all columns. Only the rows it is fitted on are
+    measured beforehand; the fitted tables are applied next to the text, so no join brings scores and texts
+    together."""
+    # the keys that train() takes, at most as many as its rows; with them come all rows that share a key
+    lab = labels.select(col(key).alias("key")).where(col(key).isNotNull() & col(label).isNotNull())
+    keys = docs.select(col(key).alias("key")).where(fold(key) != 0).join(lab, "key") \
+        .select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(max_train_rows).select("key").distinct()
+    keys = F.broadcast(stored(keys, "quality-keys"))
+    some = docs.select(col(key).alias("key"), col(text).alias("text")).join(keys, "key", "left_semi")
+    measured = stored(measure(some, "key", "text"), "quality-features")
     model = train(measured, labels, key, label, max_train_rows)
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
-        x = np.array([features((t or "").encode()) for t in texts], dtype=np.float32)
-        return pd.Series(model.probability(x.reshape(len(texts), len(FEATURES)).astype(np.float64)))
+        x = np.empty((len(texts), len(FEATURES)), np.float32)
+        for i, t in enumerate(texts):
+            x[i] = features((t or "").encode())
+        return pd.Series(model.probability(x.astype(np.float64)))
 
     return docs.where(quality(col(text).cast("string")) >= threshold)
 
