@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tiercat.llm import decontaminate, line_dedup, simhash
+from tiercat.llm import decontaminate, line_dedup, mixing, quality, simhash
 
 SHARED = "one line that several of the texts hold"
 ROWS = [
@@ -49,8 +49,9 @@ def test_one_row_of_each_component(spark, tmp_path):
     got = corpus_pipeline.near_duplicate_stage(spark, d, str(tmp_path))
     assert got.columns == d.columns
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=order) == sorted(want, key=order)
+    assert sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(d).collect()), key=order) == sorted(want, key=order)
     # one row a key: texts without a key all stay
-    got = Counter(r.doc_id for r in simhash.keep_one(d).collect())
+    got = Counter(r.doc_id for r in simhash.keep_one(d, distinct_keys=True).collect())
     assert got == {None: 3, 4: 1, 5: 1}
 
 
@@ -98,3 +99,45 @@ def test_blocks_of_a_benchmark_are_written_in_turn(spark, monkeypatch):
     assert sorted(r.doc_id for r in out.collect()) == [0, 4] and len(written) == 2
     # the plan that is left holds one block
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_short_items_match_whole_words_only(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "a"), (3, "42?"), (4, "deux mots")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Yesterday man"), (2, "Oh, YES."), (3, "the answer is 42?!"), (4, "142? not"),
+                               (5, "ces  deux\nmots-la"), (6, "deux motsx, eyes, yes"), (7, "b a")], "doc_id long, text string")
+    got = {(r.key, r.item) for r in decontaminate.matches(d, items).collect()}
+    assert got == {(2, 1), (3, 3), (5, 4), (6, 1), (7, 2), (4, 3)} - {(4, 3)}
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(d, items).collect()) == [1, 4]
+
+
+def test_column_names_of_the_operators_clash_with_nothing(spark):
+    names = ("__key", "__mix_key", "__mix_no", "__parts", "__gone", "__one_key", "n_lines", "n_removed", "row", "no", "copies",
+             "tid", "sample_key", "h")
+    rows = [(i, f"{SHARED}\nand of its own number {i % 4}\nand more {i}") for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")) \
+        .select("*", *[F.lit("keepme").alias(n) for n in names])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    lines = line_dedup.dedup_lines(d)
+    assert lines.columns == d.columns + ["n_lines_", "n_removed_"] and lines.count() == 8
+    for out in (lines, mixing.mix(d), simhash.keep_one(d), quality.keep_good(d, lab, threshold=0.0),
+                decontaminate.keep_clean(d, lab.select("doc_id", F.lit("none of it").alias("text")), item="doc_id")):
+        got = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [("keepme",) * len(names)]
+
+
+def test_the_quality_stage_fits_what_classify_fits(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d = d.unionByName(d.limit(20)).unionByName(d.limit(10).withColumn("doc_id", F.lit(None).cast("long")))
+    lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for most in (20_000, 30):
+        want = Counter(r.key for r in quality.classify(d, lab, max_train_rows=most).where("predicted = 1").collect())
+        got = Counter(r.doc_id for r in quality.keep_good(d, lab, max_train_rows=most).collect())
+        assert got == want
+
+
+def test_training_in_slices_keeps_every_token(spark, monkeypatch):
+    from tiercat.llm import lm
+    monkeypatch.setattr(lm, "SLICE", 500)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2000")
+    got = lm.scores(d, head_words=64, model_words=16, rare=8, classes=4, hidden=4).collect()
+    assert len(got) == d.count() and all(r.score < 0 for r in got)

@@ -106,17 +106,14 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as the plan says."""
-    p = plan(docs, key, text, source, **options).where("copies > 0").select(
-        F.col("key").alias("__mix_key"), F.col("text_hash").alias("__mix_hash"),
-        F.col("copies").alias("__mix_copies"))
+    p = plan(docs, key, text, source, **options).where("copies > 0").select("key", "text_hash", "copies")
     # rows that repeat key and text are told apart by a number on both sides
-    w = Window.partitionBy("__mix_key", "__mix_hash")
-    p = p.withColumn("__mix_no", F.row_number().over(w.orderBy(F.desc("__mix_copies"))))
-    d = (docs.withColumn("__mix_key", col(key)).withColumn("__mix_hash", F.xxhash64(body(text)))
-         .withColumn("__mix_no", F.row_number().over(w.orderBy(F.lit(0)))))
-    a, b = d.alias("a"), p.alias("b")
-    j = a.join(b, F.col("a.__mix_key").eqNullSafe(F.col("b.__mix_key"))
-               & (F.col("a.__mix_hash") == F.col("b.__mix_hash"))
-               & (F.col("a.__mix_no") == F.col("b.__mix_no")))
-    j = j.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("b.__mix_copies").cast("int"))))
-    return j.select(*[F.col("a.`" + c.replace("`", "``") + "`") for c in docs.columns])
+    w = Window.partitionBy("key", "text_hash")
+    p = p.withColumn("no", F.row_number().over(w.orderBy(F.desc("copies")))).alias("p")
+    d = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
+                    F.xxhash64(body(text)).alias("text_hash"))
+    d = d.withColumn("no", F.row_number().over(w.orderBy(F.lit(0)))).alias("d")
+    j = d.join(p, F.col("d.key").eqNullSafe(F.col("p.key")) & (F.col("d.text_hash") == F.col("p.text_hash"))
+               & (F.col("d.no") == F.col("p.no")))
+    j = j.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return j.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
-             max_bits: int = 3, distinct_keys: bool = True) -> DataFrame:
+             max_bits: int = 3, distinct_keys: bool = False) -> DataFrame:
     """The documents with one row of each component kept, all columns: the smallest (key, text hash),
     null keys last; of rows equal in both, one. Different texts under one key, null included, are
     documents of their own. ``distinct_keys`` keeps besides only one row of each key that is not
@@ -213,11 +213,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     row = F.struct(col(key).isNull().alias("no_key"), col(key).alias("key"), tid.alias("tid"))
     n = near_duplicates(docs.select(row.alias("key"), col(text).alias("text")), "key", "text", shingle, max_bits)
     kept = n.where(F.col("key") == F.col("component")).select(
-        F.col("key.key").alias("__one_key"), F.col("key.tid").alias("__one_tid")).distinct()
-    d = docs.join(kept, col(key).eqNullSafe(F.col("__one_key")) & (tid == F.col("__one_tid")), "left_semi")
-    w = Window.partitionBy(col(key), tid).orderBy(F.lit(0))
-    d = d.withColumn("__one_no", F.row_number().over(w)).where("__one_no = 1")
+        F.col("key.key").alias("key"), F.col("key.tid").alias("tid")).distinct().alias("k")
+    d = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
+                    tid.alias("tid")).alias("d")
+    d = d.join(kept, F.col("d.key").eqNullSafe(F.col("k.key")) & (F.col("d.tid") == F.col("k.tid")), "left_semi")
+    d = d.withColumn("no", F.row_number().over(Window.partitionBy("key", "tid").orderBy(F.lit(0)))).where("no = 1")
     if distinct_keys:
-        w = Window.partitionBy(col(key), F.when(col(key).isNull(), tid)).orderBy(tid)
-        d = d.withColumn("__one_no", F.row_number().over(w)).where("__one_no = 1")
-    return d.drop("__one_no")
+        w = Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("tid"))).orderBy("tid")
+        d = d.withColumn("no", F.row_number().over(w)).where("no = 1")
+    return d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
