@@ -141,3 +141,16 @@ def test_training_in_slices_keeps_every_token(spark, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2000")
     got = lm.scores(d, head_words=64, model_words=16, rare=8, classes=4, hidden=4).collect()
     assert len(got) == d.count() and all(r.score < 0 for r in got)
+
+
+def test_the_mix_emits_the_planned_copies_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(None, "", "s")] * 5 + [(None, "x y", "t")] * 6 + [(2, "a b c d", "s"), (2, "other", "t")] \
+        + [(i, f"w {i}", "u") for i in range(10, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mixing.plan(d).collect():
+        want[r.key, r.text_hash] += r.copies
+    out = mixing.mix(d)
+    assert out.columns == d.columns
+    got = Counter((r.doc_id, r.h) for r in out.selectExpr("doc_id", "xxhash64(text) h").collect())
+    assert got == +want and max(got[1, k] for i, k in got if i == 1) <= 14

@@ -105,15 +105,25 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as the plan says."""
-    p = plan(docs, key, text, source, **options).where("copies > 0").select("key", "text_hash", "copies")
-    # rows that repeat key and text are told apart by a number on both sides
-    w = Window.partitionBy("key", "text_hash")
-    p = p.withColumn("no", F.row_number().over(w.orderBy(F.desc("copies")))).alias("p")
+    """The mix itself: the rows of ``docs``, all columns, each as often as the plan says. Only rows that repeat key
+    and text and get unlike numbers of copies are numbered."""
+    p = plan(docs, key, text, source, **options)
+    # rows that repeat key and text are alike for the mix: mostly all get as many copies, else the first some
+    # of them get one copy more
+    g = stored(p.groupBy("key", "text_hash").agg(
+        F.min("copies").alias("low"), F.max("copies").alias("high"),
+        (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("more")).where("high > 0"), "mix-copies")
     d = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("key"),
-                    F.xxhash64(body(text)).alias("text_hash"))
-    d = d.withColumn("no", F.row_number().over(w.orderBy(F.lit(0)))).alias("d")
-    j = d.join(p, F.col("d.key").eqNullSafe(F.col("p.key")) & (F.col("d.text_hash") == F.col("p.text_hash"))
-               & (F.col("d.no") == F.col("p.no")))
-    j = j.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+                    F.xxhash64(body(text)).alias("text_hash")).alias("d")
+
+    def met(groups: DataFrame) -> DataFrame:
+        return d.join(groups.alias("g"), F.col("d.key").eqNullSafe(F.col("g.key"))
+                      & (F.col("d.text_hash") == F.col("g.text_hash"))).select("row", "d.key", "d.text_hash", "low", "high", "more")
+
+    even = met(g.where("low = high")).select("row", F.col("high").alias("copies"))
+    no = F.row_number().over(Window.partitionBy("key", "text_hash").orderBy(F.lit(0)))
+    uneven = met(g.where("low < high")).withColumn("no", no).select(
+        "row", F.when(F.col("no") <= F.col("more"), F.col("low") + 1).otherwise(F.col("low")).alias("copies"))
+    j = even.unionByName(uneven.where("copies > 0")).select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return j.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
