@@ -245,6 +245,16 @@ def models(spark: SparkSession, sf_dir: str, family: str, what: str):
     return _memo(spark, sf_dir, f"model/{family}/{what}", build)
 
 
+def text_encoder(spark: SparkSession, sf_dir: str):
+    """The learned text vectors, fitted on the stored features of the train split."""
+    from tiercat.operators import vectors as ve
+
+    def build():
+        train = feature_rows(spark, sf_dir).where(F.col("split") == "train")
+        return ve.fit(train, text_features(spark, sf_dir).model.size)
+    return _memo(spark, sf_dir, "text-encoder", build)
+
+
 def boosters(spark: SparkSession, sf_dir: str):
     """One boosted model per level, on the dense features of the train split."""
     from tiercat.operators import boosting as gb

@@ -7,7 +7,7 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tiercat.operators import boosting as gb
 from tiercat.operators import features as fe
@@ -280,6 +280,59 @@ def s6_persistence(spark, sf_dir):
     return again.vocab.select("term", _r6(F.col("idf")).alias("idf"), F.lit(all(same)).alias("same_models"))
 
 
+@register("m1_learned_vectors", S.with_ctes(PREP, S.tfidf(), body="""
+SELECT p.doc_id, 385 AS width, CASE WHEN count(w.term) > 0 THEN 1.0 ELSE 0.0 END AS norm,
+       CASE any_value(p.type) WHEN ' Credit' THEN 1.0 WHEN 'DEBIT' THEN -1.0 ELSE 0.0 END AS type_value
+FROM prepared p LEFT JOIN weights w ON w.doc_id = p.doc_id GROUP BY p.doc_id"""))
+def m1_learned_vectors(spark, sf_dir):
+    """M1 + P10: text vectors from the truncated SVD of the training rows, and the type feature behind them."""
+    vec = fx.text_encoder(spark, sf_dir).encode(fx.feature_rows(spark, sf_dir).select("doc_id", "indices", "values"))
+    types = fx.prepared_txn(spark, sf_dir).rows.select("doc_id", "type")
+    d = vec.join(types, "doc_id").select("doc_id", "text_vec", fe.concat_type(F.col("text_vec"), F.col("type")).alias("f"))
+    square = F.aggregate("text_vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return d.select("doc_id", F.size("f").alias("width"), F.round(F.sqrt(square), 5).alias("norm"),
+                    F.element_at("f", -1).cast("double").alias("type_value"))
+
+
+@register("m11_calibrated", S.with_ctes(PREP, body=_INVARIANT.format(lvl="category", d="cat_dict") + "\nUNION ALL"
+                                        + _INVARIANT.format(lvl="sub_category", d="sub_dict")))
+def m11_calibrated(spark, sf_dir):
+    """M11 on hinge margins (M4): isotonic probabilities by class, fitted on the validation rows' margins; the
+    invariants of the probabilities, and that every class's curve rises (``known_class`` is false else)."""
+    val, out = fx.feature_rows(spark, sf_dir).where(F.col("split") == "val"), []
+    for lvl, cls in LEVELS:
+        m = ln.calibrate(fx.linear_models(spark, sf_dir, "hinge")[cls], val, cls)
+        rises = all(a[1] <= b[1] for s in m.steps for a, b in zip(s, s[1:]))
+        scored = ln.probabilities(m, val.select("doc_id", "indices", "values"))
+        k = F.size("prob")
+        out.append(scored.select(
+            F.lit(lvl).alias("level"), "doc_id", k.cast("long").alias("n_probs"),
+            _r6(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)).alias("prob_sum"),
+            ((F.col("prediction") >= 0) & (F.col("prediction") < k) & F.lit(rises)).alias("known_class")))
+    return _union(out)
+
+
+@register("w1_learned_terms", S.with_ctes(PREP, S.tfidf(), body="""
+SELECT level, class_id, direction, CAST(least(40, (SELECT count(*) FROM vocab)) AS BIGINT) AS n, true AS in_order
+FROM (SELECT 'category' AS level, CAST(category_id AS BIGINT) AS class_id FROM cat_dict
+      UNION ALL SELECT 'sub_category', CAST(subcategory_id AS BIGINT) FROM sub_dict) c,
+     (VALUES ('include'), ('exclude')) d(direction)"""))
+def w1_learned_terms(spark, sf_dir):
+    """W1 on learned weights (M4), read from their block table: the 40 best and worst terms of every class, and
+    whether their ranks follow the weights."""
+    vocab, out = fx.text_features(spark, sf_dir).model.vocab.select("term", "term_idx"), []
+    for lvl, cls in LEVELS:
+        w = fx.linear_models(spark, sf_dir, "hinge")[cls].weights().join(vocab, "term_idx").select(
+            "class_id", "term", "weight")
+        sign = F.when(F.col("direction") == "include", -1).otherwise(1)
+        top = kw.top_terms(w, 40).withColumn("key", F.struct(sign * F.col("weight"), F.col("term")))
+        before = F.lag("key").over(Window.partitionBy("class_id", "direction").orderBy("rank"))
+        out.append(top.withColumn("ok", F.coalesce(before < F.col("key"), F.lit(True))).groupBy("class_id", "direction").agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("in_order")).select(
+            F.lit(lvl).alias("level"), F.col("class_id").cast("long"), "direction", "n", "in_order"))
+    return _union(out)
+
+
 @register("m6_batch_scoring", S.with_ctes(PREP, body="""
 SELECT doc_id, true AS known_category, true AS allowed_subcategory, true AS confidences
 FROM prepared WHERE split = 'val'"""))
