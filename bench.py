@@ -28,21 +28,13 @@ HEADLINE = (
     ("classify_top3", "k4_top3"),
     ("masked_prediction", "m5_masked_prediction"),
     ("feature_table", "s5_feature_store"),
-    ("train_logreg_tfidf", "category_logreg"),
+    # both levels each
+    ("train_logreg_tfidf", "m3_logreg_tfidf"),
+    ("train_svc_tfidf", "m4_svc_tfidf"),
+    ("train_boosting", "m2_boosting"),
 )
 
 
-def category_logreg(spark, sf_dir):
-    """Fit and score the category level on the stored features (the registered query m3 does both
-    levels, whose second one has 80 classes here)."""
-    from pyspark.sql import functions as F
-    from tiercat.operators import train as tr
-    from tiercat.plans import fixtures as fx
-    data, labels = fx.feature_table(spark, sf_dir), fx.prepared_txn(spark, sf_dir).split("train")
-    model = tr.fit(data.where(F.col("split") == "train"), "logreg", "category_id", labels=labels)
-    return tr.probabilities(model, data.where(F.col("split") == "val")).select("doc_id", "prediction", "prob")
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -51,7 +43,7 @@ def main() -> None:
     from tiercat.session import get_session
 
     spark = get_session(f"local[{cpus}]", int(cpus) * 2, app_name="tiercat-bench")
-    qs = queries() | {"category_logreg": category_logreg}
+    qs = queries()
     # session warm-up (JVM start, code generation), not part of any query
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
