@@ -64,7 +64,7 @@ def maybe_frequent(tf: DataFrame, min_df: int, most_bits: int = 24) -> Column:
              .agg(F.expr("bit_or(shiftleft(1L, CAST(cell % 64 AS INT)))").alias("word")))
     every = spark.range((1 << bits) // 64).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.col("id").alias("at"))
     filled = every.join(words, ["k", "at"], "left").groupBy("k").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))),
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))),
         lambda x: x["word"]).alias("words"))
     filled = materialize(spark, filled, "frequent-cells")
     passes = lambda k: F.getbit(F.get(filled.where(F.col("k") == k).select("words").scalar(),
@@ -131,11 +131,11 @@ class TfidfModel:
         If ``tf`` is bucketed by key, nothing is exchanged by key."""
         w = tf.join(self._beside("term", "term_idx", "idf"), "term", "inner").select(
             key, *carry, F.struct("term_idx", "tf", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w")).alias("t"))
-        g = w.groupBy(key, *carry).agg(F.array_sort(F.collect_list("t")).alias("t"))
+        g = w.groupBy(key, *carry).agg(F.sort_array(F.collect_list("t")).alias("t"))
         norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-        g = g.withColumn("norm", norm)
-        return g.select(key, *carry, F.transform("t", lambda x: F.struct(
-            x["term_idx"].alias("term_idx"), x["tf"].alias("tf"), (x["w"] / F.col("norm")).alias("weight"))).alias("terms"))
+        # a lambda that named the norm would evaluate it for every term
+        return g.select(key, *carry, F.zip_with("t", F.array_repeat(norm, F.size("t")), lambda x, n: F.struct(
+            x["term_idx"].alias("term_idx"), x["tf"].alias("tf"), (x["w"] / n).alias("weight"))).alias("terms"))
 
     def weights(self, tf: DataFrame, key: str) -> DataFrame:
         """The weights of new documents in long form: ``(key, ..., term, term_idx, tf, weight)``."""
