@@ -262,7 +262,8 @@ def boosters(spark: SparkSession, sf_dir: str):
     def build():
         p = prepared_txn(spark, sf_dir)
         train = dense_table(spark, sf_dir).where(F.col("split") == "train")
-        return {c: gb.fit(train, c, class_count(d), rounds=12, depth=4)
+        edges = gb.quantile_edges(train)
+        return {c: gb.fit(train, c, class_count(d), rounds=12, depth=4, edges=edges)
                 for c, d in ((prep.CATEGORY_ID, p.categories), (prep.SUBCATEGORY_ID, p.subcategories))}
     return _memo(spark, sf_dir, "boosters", build)
 
