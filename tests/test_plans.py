@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tiercat.operators import keywords as kw
 from tiercat.operators import tfidf
 from tiercat.plans import fixtures as fx
+from tiercat.session import materialize_bucketed
 
 from folders import SF_SMALL
 
@@ -80,3 +81,15 @@ def test_the_sketch_passes_every_frequent_term(spark):
         assert {t for t, n in exact.items() if n >= 10} <= passed
     assert len(passed) < len(exact) / 3
     assert tf.where("false").where(tfidf.maybe_frequent(tf.where("false"), 10)).count() == 0
+
+
+def test_text_a_task_counts_is_bounded(spark):
+    docs = spark.range(40).select(F.col("id").alias("k"), F.repeat(F.lit("x y "), 250).alias("t"))  # 40,000 bytes
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tfidf.text_partitions(docs, "t") == least and tfidf.text_partitions(docs.where("false"), "t") == least
+    n = tfidf.text_partitions(docs, "t", 1000)
+    assert n == 40
+    table = materialize_bucketed(spark, tfidf.term_frequencies(docs, "k", "t", partitions=n), "k", "bounded", n)
+    # adaptive execution must not put them together again, and the buckets must not be dealt once more
+    assert table.count() == 160 and len(table.inputFiles()) > least
+    assert f"{n} out of {n}" in plan(table.groupBy("k").count())
