@@ -63,3 +63,14 @@ def test_neighbours_share_the_class_as_often_as_with_hashing(spark):
         train, val = ([(r.text_vec, r.category_id) for r in d if r.split == s] for s in ("train", "val"))
         share.append(neighbours_alike(train, val))
     assert share[0] >= share[1]
+
+
+def test_tasks_follow_the_sums_not_the_rows(spark, monkeypatch):
+    seen, added_up = [], ve.added_up
+    monkeypatch.setattr(ve, "added_up", lambda parts, *a, **k: (seen.append(parts.rdd.getNumPartitions()),
+                                                               added_up(parts, *a, **k))[1])
+    monkeypatch.setattr(ve, "PASS_BYTES", 0)
+    x = np.random.default_rng(2).normal(size=(90, 20))
+    e = ve.fit(_frame(spark, x).repartition(30), 20, dim=4)
+    assert seen[0] <= spark.sparkContext.defaultParallelism
+    assert np.allclose(e.values, np.linalg.svd(x)[1][:4], rtol=1e-3)

@@ -5,9 +5,10 @@ A random block of ``DIM`` + ``OVER`` directions over the terms is multiplied by
 leading right singular vectors. A last pass gives the rows' small Gram matrix in these directions, whose
 eigenvectors are the singular vectors there. A text's vector is its row times them, of length 1.
 
-  * Passes add sums of doubles by term block (``blocks.added_up``); orthonormalisation multiplies each block by a
-    small matrix told by the blocks' summed Gram matrix, twice for accuracy. The driver solves eigenproblems of
-    DIM + OVER columns only.
+  * Passes add sums by term block (``blocks.added_up``), handed on block by block in single precision. The number of
+    tasks is bounded by the sums they hand on (``PASS_BYTES``), so a pass's traffic does not grow with the rows.
+    Orthonormalisation multiplies each block by a small matrix told by the blocks' summed Gram matrix, twice for
+    accuracy. The driver solves eigenproblems of DIM + OVER columns only.
   * Tasks get the directions as one broadcast of size x (DIM + OVER) x 4 bytes, checked against ``max_bytes``
     before anything runs: 320 MB at the reference's cap of 200,000 terms.
 
@@ -31,6 +32,13 @@ from tiercat.session import materialize
 
 OVER, POWER, BLOCK = 16, 2, 4096
 MAX_BYTES = 1 << 30
+PASS_BYTES = 4 << 30  # of sums that the tasks of a pass hand on together, about
+
+
+def most_tasks(size: int, wide: int, cores: int) -> int:
+    """Tasks of a pass at most, whatever the number of rows: a task hands on its whole sums, so more tasks than this
+    would make a pass's traffic grow with rows x terms x directions. One a core always."""
+    return max(cores, PASS_BYTES // max(size * wide * 4, 1))
 
 
 @dataclass
@@ -141,7 +149,7 @@ def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_byt
     spark, wide = rows.sparkSession, min(dim + OVER, size)
     if size * wide * 4 > max_bytes:
         raise ValueError(f"{size} terms x {wide} directions exceed {max_bytes} bytes")
-    rows = rows.select("indices", "values")
+    rows = rows.select("indices", "values").coalesce(most_tasks(size, wide, spark.sparkContext.defaultParallelism))
     q = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
 
     def passed(gram: bool) -> DataFrame:
@@ -158,13 +166,12 @@ def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_byt
                         z += np.outer(y, y)
                     elif len(at):
                         z[at] += np.outer(x, y)
-            cuts = [(0, z)] if gram else [(k // BLOCK, z[k:k + BLOCK]) for k in range(0, size, BLOCK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in cuts], pa.int32()), pa.array([w.tobytes() for _, w in cuts], pa.binary())],
-                ["block", "sums"])
+            for k, w in [(0, z)] if gram else ((k // BLOCK, z[k:k + BLOCK].astype(np.float32)) for k in range(0, size, BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.tobytes()], pa.binary())],
+                                                 ["block", "sums"])
 
         return materialize(spark, added_up(rows.mapInArrow(run, "block int, sums binary"), lambda k, v: [(k, v.tobytes())],
-                                           "block int, weights binary"), "svd-pass")
+                                           "block int, weights binary", single=not gram), "svd-pass")
 
     blocks = None
     for _ in range(POWER + 1):
