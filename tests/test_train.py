@@ -82,3 +82,14 @@ def test_vectorizer_round_trip(spark, tmp_path):
     again = tfidf.load_model(spark, str(tmp_path / "v"))
     a, b = (sorted(tuple(r) for r in x.weights(tf, "k").collect()) for x in (m, again))
     assert a == b and again.size == m.size
+
+
+def test_a_fit_reads_bounded_partitions(spark, monkeypatch):
+    d = tr.dense_vectors(spark.range(400).coalesce(1).select(
+        F.array(F.col("id") % 2 * 1.0, F.rand(1)).alias("features"), (F.col("id") % 2).cast("int").alias("y")))
+    seen = []
+    monkeypatch.setattr(tr, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, data: seen.append(
+        (data.rdd.getNumPartitions(), data.count()))})())
+    monkeypatch.setattr(tr, "ROWS_A_TASK", 50)
+    tr.fit(d, "logreg", "y")
+    assert seen == [(8, 400)]
