@@ -92,3 +92,35 @@ def test_accents_of_all_scripts(spark):
     for i, t in enumerate(texts):
         want = t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
         assert got[i] == want, (t, got[i], want)
+
+
+def test_words_of_documents_give_the_counts_of_the_long_form(spark, monkeypatch):
+    import pyarrow as pa
+    texts = ["a b a b", "b  c", None, "", "...", "Été b", "a b a b c"] * 3
+    rows = [(i % 8 if i != 5 else None, i % 2, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "k int, y int, t string")
+    tf = tfidf.term_frequencies(docs, "k", "t", ["y"])
+    words = tfidf.word_lists(docs, "k", "t", ["y"], 3).cache()
+    for cap, slice_bytes, broadcast in ((None, 8, 1 << 20), (3, 1 << 20, 1 << 20), (None, 1 << 20, 0)):
+        monkeypatch.setattr(tfidf, "SLICE_BYTES", slice_bytes)
+        monkeypatch.setattr(tfidf, "BROADCAST_BYTES", broadcast)
+        old = tfidf.fit(tf, 21, 2, cap)
+        new = tfidf.fit_words(words, 21, 2, cap, partitions=3)
+        assert sorted(map(tuple, new.vocab.collect())) == sorted(map(tuple, old.vocab.collect())) and new.size == old.size
+        some = lambda d: {(r.k, r.y): [(t.term_idx, t.tf, round(t.weight, 9)) for t in r.terms] for r in d.collect()}
+        got, want = new.rows_of(words, "k", ["y"]), old.rows(tf, "k", ["y"])
+        assert some(got) == some(want) and got.count() == want.count() > 0
+        pairs = lambda d: sorted(map(str, d.select("k", "y", "term", "tf").collect()))
+        assert pairs(new.presence(got)) == pairs(old.presence(tf))
+    row, code, tf3, terms = tfidf.gram_counts(pa.array(["x y \n x y z", None, "x"]), 1, 3)
+    assert sorted((int(r), terms[int(c)].as_py(), int(n)) for r, c, n in zip(row, code, tf3)) == sorted([
+        (0, "x", 2), (0, "y", 2), (0, "z", 1), (0, "x y", 2), (0, "y z", 1), (0, "x y z", 1), (2, "x", 1)])
+    assert len(tfidf.gram_counts(pa.array([], pa.string()), 1, 2)[0]) == 0
+
+
+def test_counting_writes_no_row_a_document_and_term(spark):
+    from test_plans import plan
+    words = tfidf.word_lists(fx.txn(spark, SF_SMALL).select("doc_id", "clean_description"), "doc_id", "clean_description", (), 4)
+    text = plan(words)
+    assert "Generate" not in text and text.count("Exchange hashpartitioning") == 1
+    assert "term-frequencies" not in plan(fx.text_features(spark, SF_SMALL).weights("train"))

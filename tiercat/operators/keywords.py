@@ -29,10 +29,10 @@ def class_sizes(docs: DataFrame, cls: str) -> DataFrame:
     return docs.groupBy(F.col(cls).alias("class_id")).agg(F.count(F.lit(1)).alias("n_class"))
 
 
-def pair_supports(presence: DataFrame, levels) -> DataFrame:
+def pair_supports(presence: DataFrame, levels, term: str = "term") -> DataFrame:
     """``(*levels, term, n)``: documents per combination of labels and term, the one pass over the
-    presence rows that every level's statistics are sums of."""
-    return presence.groupBy(*levels, "term").agg(F.count(F.lit(1)).alias("n"))
+    presence rows that every level's statistics are sums of. ``term`` may name the terms' index."""
+    return presence.groupBy(*levels, term).agg(F.count(F.lit(1)).alias("n"))
 
 
 def level_statistics(supports: DataFrame, sizes: DataFrame, cls: str) -> DataFrame:

@@ -72,7 +72,7 @@ SELECT doc_id, term, tf, round(1 + ln(tf), 6) AS sublinear_tf
 FROM tf WHERE split = 'train' AND term IN (SELECT term FROM vocab)"""))
 def f7_sublinear_tf(spark, sf_dir):
     f = fx.text_features(spark, sf_dir)
-    p = f.model.presence(f.tf.where(F.col("split") == "train"))
+    p = f.model.presence(f.rows.where(F.col("split") == "train"))
     return p.select("doc_id", "term", F.col("tf").cast("long"),
                     _r6(tx.sublinear_tf(F.col("tf"))).alias("sublinear_tf"))
 
@@ -98,5 +98,5 @@ WHERE split = 'train' AND term IN (SELECT term FROM vocab) GROUP BY doc_id"""))
 def p15_presence(spark, sf_dir):
     """Distinct in-vocabulary terms per training document (presence, not weight)."""
     f = fx.text_features(spark, sf_dir)
-    p = f.model.presence(f.tf.where(F.col("split") == "train"))
+    p = f.model.presence(f.rows.where(F.col("split") == "train"))
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
