@@ -93,3 +93,28 @@ def test_a_fit_reads_bounded_partitions(spark, monkeypatch):
     monkeypatch.setattr(tr, "ROWS_A_TASK", 50)
     tr.fit(d, "logreg", "y")
     assert seen == [(8, 400)]
+
+
+def test_dense_logreg_has_the_same_optimum_without_zeros(spark, monkeypatch):
+    d = tr.dense_vectors(spark.range(600).select(
+        (F.col("id") % 3).cast("int").alias("y"), F.array(
+            F.when(F.rand(1) < .6, 0.0).otherwise(F.rand(2) + F.col("id") % 3), F.when(F.rand(3) < .7, 0.0).otherwise(F.rand(4) * 5),
+            F.lit(2.0), F.col("id") % 2 * F.rand(5)).alias("features"))).cache()
+    seen, estimator = [], tr.estimator
+    monkeypatch.setattr(tr, "estimator", lambda family, label, features, *a: seen.append(features) or estimator(family, label, features, *a))
+    plain, dense = tr.fit(d, "logreg", "y"), tr.fit(d, "logreg", "y", dense=True)
+    a, b = ({r.features: r.prob for r in tr.probabilities(m, d).collect()} for m in (plain, dense))
+    assert seen == ["features", tr.SCALED] and "_scaled" not in tr.probabilities(dense, d).columns
+    assert all(abs(x - y) < 1e-4 for k in a for x, y in zip(a[k], b[k]))
+    # the long weights are by the features as given
+    w, v = ({(r.class_id, r.term_idx): r.weight for r in tr.linear_weights(spark, m).collect()} for m in (plain, dense))
+    assert len(w) == 12 and all(abs(w[k] - v[k]) < 1e-3 for k in w)
+
+
+def test_the_feature_join_sorts_bounded_partitions(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(0).alias("y"))
+    terms = F.array(F.struct(F.lit(1).alias("term_idx"), F.lit(1.0).alias("weight"))).alias("terms")
+    rows = spark.range(0, 300, 2).select(F.col("id").alias("doc_id"), terms)
+    t = tr.feature_table(docs, rows, "doc_id", 3, str(tmp_path / "f"), partitions=23)
+    assert len(list((tmp_path / "f").glob("part-*"))) == 23
+    assert {r.doc_id: r.n_terms for r in t.collect()} == {i: 1 - i % 2 for i in range(300)}

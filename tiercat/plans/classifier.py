@@ -41,8 +41,8 @@ class HierarchicalClassifier:
         d = tr.dense_vectors(fe.dense_features(prepared, text, type_col,
                                                fe.HashingEncoder(dim)), "features")
         d = d.select("features", prep.CATEGORY_ID, prep.SUBCATEGORY_ID).cache()
-        cat = tr.fit(d, family, prep.CATEGORY_ID, max_iter=max_iter)
-        sub = tr.fit(d, family, prep.SUBCATEGORY_ID, max_iter=max_iter)
+        cat = tr.fit(d, family, prep.CATEGORY_ID, max_iter=max_iter, dense=True)
+        sub = tr.fit(d, family, prep.SUBCATEGORY_ID, max_iter=max_iter, dense=True)
         d.unpersist()
         tables = {"categories": categories, "subcategories": subcategories,
                   "category-map": prep.category_map(prepared) if cmap is None else cmap}
