@@ -124,3 +124,70 @@ def test_counting_writes_no_row_a_document_and_term(spark):
     text = plan(words)
     assert "Generate" not in text and text.count("Exchange hashpartitioning") == 1
     assert "term-frequencies" not in plan(fx.text_features(spark, SF_SMALL).weights("train"))
+
+
+def test_a_sketch_loses_no_term_of_the_vocabulary(spark, monkeypatch):
+    import random
+    r = random.Random(4)
+    texts = [" ".join(f"w{int(r.paretovariate(.6)) % 900}" for _ in range(40)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    words = tfidf.word_rows(docs, "k", "t", (), 3).cache()
+    want = {x: tfidf.fit_words(words, 400, *x) for x in ((2, 150), (10, 150), (2, 10**6), (3, None), (1, 30))}
+    counted, real = [], tfidf._counted
+    monkeypatch.setattr(tfidf, "_counted", lambda *a: counted.append(real(*a)) or counted[-1])
+    monkeypatch.setattr(tfidf, "SKETCH_BYTES", 0)
+    monkeypatch.setattr(tfidf, "MERGE_ROWS", 500)
+    monkeypatch.setattr(tfidf, "SLICE_BYTES", 3000)
+    for x, m in want.items():
+        got = tfidf.fit_words(words, 400, *x, partitions=3)
+        assert sorted(map(tuple, got.vocab.collect())) == sorted(map(tuple, m.vocab.collect())) and got.size == m.size > 0
+    # rare terms were not counted
+    assert counted[0].count() < real(words, 1, 2, None, None).count() / 2
+    # a threshold that too few terms reach is lowered
+    monkeypatch.setattr(tfidf.Sketch, "threshold", lambda self, counters: 300 if counters < 4000 else 1)
+    counted.clear()
+    got = tfidf.fit_words(words, 400, 2, 150)
+    assert len(counted) > 1 and sorted(map(tuple, got.vocab.collect())) == sorted(map(tuple, want[2, 150].vocab.collect()))
+    # nothing to count
+    assert tfidf.fit_words(words.where("false"), 0, 2, 10).size == 0
+
+
+def test_only_texts_whose_key_repeats_are_shuffled(spark):
+    from test_plans import plan
+    rows = [(1, 0, "a b"), (2, 1, "b  c"), (3, 0, None), (None, 1, "c")]
+    docs = spark.createDataFrame(rows, "k int, y int, t string")
+    alone = tfidf.word_rows(docs, "k", "t", ["y"], 3)
+    assert "Exchange" not in plan(alone)
+    more = spark.createDataFrame([*rows, (2, 1, "d"), (3, 1, "e"), (None, 1, "f"), (None, 0, "f")], "k int, y int, t string")
+    some = tfidf.word_rows(more, "k", "t", ["y"], 3)
+    for d, n in ((alone, docs), (some, more)):
+        assert sorted(map(str, d.select("k", "y", "words").collect())) == sorted(
+            map(str, tfidf.word_lists(n, "k", "t", ["y"], 3).collect()))
+    assert {(r.k, r.y): (r.copies, r.again) for r in some.collect()} == {
+        (1, 0): (1, False), (2, 1): (2, True), (3, 0): (1, True), (3, 1): (1, True), (None, 1): (2, True), (None, 0): (1, True)}
+
+
+def test_stored_counts_give_the_rows_of_the_feature_table(spark, monkeypatch, tmp_path):
+    from tiercat.operators import train as tr
+    rows = [(i, i % 3, f"a{i % 4} b{i % 5} c a{i % 4}", "train" if i % 4 else "val") for i in range(40)]
+    rows += [(7, 1, "a1 c", "train"), (7, 2, "zz b3", "train"), (8, 2, "", "val"), (None, 1, "a1 b1", "train"), (99, 0, "q", "val")]
+    for more in ([], [(None, 2, "a1 b1", "train"), (50, 0, "q", "val"), (50, 0, "p", "val")]):
+        d = spark.createDataFrame(rows[:40] + rows[44:] + more if not more else rows + more,
+                                  "doc_id long, category_id int, clean_description string, split string") \
+            .withColumn("subcategory_id", F.col("category_id") + 1)
+        words = tfidf.word_rows(d, "doc_id", "clean_description", fx.CARRY, 3).cache()
+        model = tfidf.fit_words(words, 40, 2)
+        carry = [*fx.CARRY, "copies", "again"]
+        want = None
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(tfidf, "BROADCAST_BYTES", most)
+            f = fx.TextFeatures(fx.Prepared(d, None, None), model, model.sparse_of(words, "doc_id", carry).cache(), 3)
+            if want is None:
+                docs = d.select("doc_id", "category_id", "subcategory_id", "split")
+                path = str(tmp_path / f"f{len(more)}")
+                t = tr.feature_table(docs, f.rows, "doc_id", model.size, path)
+                want = tr.read_rows(spark, path, t.schema)
+            same = lambda x: sorted((str(r.doc_id), r.category_id, r.subcategory_id, r.split, tuple(r.indices),
+                                     tuple(round(v, 12) for v in r["values"])) for r in x.collect())
+            assert same(model.valued(f.documents())) == same(want)
+    assert f.repeated and f.documents().count() == want.count() > d.count()
