@@ -74,3 +74,43 @@ def test_tasks_follow_the_sums_not_the_rows(spark, monkeypatch):
     e = ve.fit(_frame(spark, x).repartition(30), 20, dim=4)
     assert seen[0] <= spark.sparkContext.defaultParallelism
     assert np.allclose(e.values, np.linalg.svd(x)[1][:4], rtol=1e-3)
+
+
+def test_products_of_slices_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((90, 30)) * (rng.random((90, 30)) < np.linspace(.01, .9, 30))
+    x[7] = 0
+    ends, at = np.append(0, (x > 0).sum(axis=1).cumsum()), np.nonzero(x)
+    d = rng.normal(size=(30, 4)).astype(np.float32)
+    for dense in (0, .3, 2):
+        monkeypatch.setattr(ve, "DENSE", dense)
+        p = ve.Product(d)
+        for a in range(0, 90, 25):
+            e = ends[a:min(a + 25, 90) + 1]
+            y, rest = p.times(e - e[0], at[1][e[0]:e[-1]], x[at][e[0]:e[-1]].astype(np.float32))
+            assert np.allclose(y, x[a:a + 25] @ d, atol=1e-5)
+            p.add(y, rest)
+        assert np.allclose(p.total(), x.T @ (x @ d), atol=1e-3) and (p.total() == p.total()).all()
+    assert not ve.Product(d).total().any()
+
+
+def test_rows_of_counts_give_the_vectors_of_weights(spark, monkeypatch):
+    monkeypatch.setattr(ve, "SLICE_ROWS", 7)
+    rng = np.random.default_rng(4)
+    tf = rng.integers(1, 4, (60, 20)) * (rng.random((60, 20)) < .4)
+    tf[5] = 0
+    idf, rows = rng.random(20) + 1, []
+    for i, r in enumerate(tf):
+        at = np.flatnonzero(r)
+        w = (1 + np.log(r[at])) * idf[at]
+        n = float(np.sqrt((w * w).sum()))
+        rows.append((i, at.tolist(), r[at].tolist(), n, (w / (n or 1)).tolist()))
+    d = spark.createDataFrame(rows, "id long, indices array<int>, tf array<int>, norm double, values array<double>").repartition(3)
+    a, b = ve.fit(d, 20, dim=3), ve.fit(d, 20, dim=3, idf=idf)
+    assert np.allclose(a.values, b.values, rtol=1e-4)
+    for m, got in ((b, b.encode(d.drop("values"), idf=idf)), (a, a.encode(d.select("id", "indices", "values")))):
+        v = {r.id: np.array(r.text_vec) for r in got.collect()}
+        want = np.array([w @ m.matrix()[at] if at else np.zeros(3) for _, at, _, _, w in rows])
+        norms = np.linalg.norm(want, axis=1, keepdims=True)
+        assert np.allclose([v[i] for i in range(60)], want / np.where(norms > 0, norms, 1), atol=1e-4)
+        assert not v[5].any()

@@ -9,6 +9,8 @@ eigenvectors are the singular vectors there. A text's vector is its row times th
     tasks is bounded by the sums they hand on (``PASS_BYTES``), so a pass's traffic does not grow with the rows.
     Orthonormalisation multiplies each block by a small matrix told by the blocks' summed Gram matrix, twice for
     accuracy. The driver solves eigenproblems of DIM + OVER columns only.
+  * A task works on slices of rows in single precision: terms of many rows as a dense block, others row by row
+    (:class:`Product`). With ``idf`` rows hold counts in place of weights (:meth:`tfidf.TfidfModel.sparse_of`).
   * Tasks get the directions as one broadcast of size x (DIM + OVER) x 4 bytes, checked against ``max_bytes``
     before anything runs: 320 MB at the reference's cap of 200,000 terms.
 
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiercat.operators.blocks import added_up
 from tiercat.operators.features import TEXT_DIM
+from tiercat.operators.tfidf import weighed
 from tiercat.session import materialize
 
 OVER, POWER, BLOCK = 16, 2, 4096
+SLICE_ROWS, DENSE, DENSE_TERMS = 512, .03, 4096  # rows worked on at once; share of rows that makes a term dense; at most
 MAX_BYTES = 1 << 30
 PASS_BYTES = 4 << 30  # of sums that the tasks of a pass hand on together, about
 
@@ -52,26 +56,28 @@ class LearnedEncoder:
     def matrix(self) -> np.ndarray:
         return _whole(self.blocks, self.size)
 
-    def encode(self, rows: DataFrame, out: str = "text_vec") -> DataFrame:
-        """``rows`` (``indices``, ``values``, ...) with the vectors ``out`` in their place."""
-        rest = [c for c in rows.columns if c not in ("indices", "values")]
+    def encode(self, rows: DataFrame, out: str = "text_vec", idf: np.ndarray | None = None) -> DataFrame:
+        """``rows`` (``indices``, ``values``, ...; or ``indices``, ``tf``, ``norm``, ... with ``idf``) with the vectors
+        ``out`` in their place."""
+        payload = _payload(idf)
+        rest = [c for c in rows.columns if c not in payload]
         schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
-        sent, dim = rows.sparkSession.sparkContext.broadcast(self.matrix()), self.dim
+        sent, dim = rows.sparkSession.sparkContext.broadcast((self.matrix(), idf)), self.dim
 
         def run(batches):
-            basis = sent.value
+            basis, known = sent.value
+            p = Product(basis)
             for b in batches:
                 v = np.zeros((b.num_rows, dim), np.float32)
-                for i, (at, x) in enumerate(_rows(b)):
-                    if len(at):
-                        y = x @ basis[at]
-                        n = np.sqrt(y @ y)
-                        v[i, :len(y)] = y / n if n > 0 else 0
+                for a, part in _parts(b, known):
+                    y = p.times(*part)[0]
+                    n = np.sqrt(np.square(y, dtype=np.float64).sum(axis=1, keepdims=True))
+                    v[a:a + len(y), :y.shape[1]] = np.divide(y, n, out=np.zeros_like(y, np.float64), where=n > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[2:], pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))],
+                    [*b.columns[len(payload):], pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))],
                     [*rest, out])
 
-        return rows.select("indices", "values", *[F.col(f"`{c}`") for c in rest]).mapInArrow(
+        return rows.select(*payload, *[F.col(f"`{c}`") for c in rest]).mapInArrow(
             run, ", ".join(x for x in (schema, f"{out} array<float>") if x))
 
     def save(self, path: str) -> None:
@@ -87,37 +93,105 @@ def load(spark: SparkSession, path: str) -> LearnedEncoder:
     return LearnedEncoder(spark.read.parquet(os.path.join(path, "blocks")), **meta)
 
 
-def _rows(batch: pa.RecordBatch):
-    """(terms, values) of every row from the first two columns."""
-    at, x = batch.column(0), batch.column(1)
-    a, b, terms, values = at.offsets.to_numpy(), x.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
-    for i in range(batch.num_rows):
-        yield terms[a[i]:a[i + 1]], values[b[i]:b[i + 1]]
+def _payload(idf) -> list[str]:
+    return ["indices", "values"] if idf is None else ["indices", "tf", "norm"]
+
+
+def _parts(batch: pa.RecordBatch, idf: np.ndarray | None):
+    """(first row, (ends, terms, values)) of slices of a batch, from its first columns."""
+    if idf is None:
+        at, x = batch.column(0), batch.column(1)
+        ends, begin = at.offsets.to_numpy(), x.offsets.to_numpy()
+        terms, values = (c.values.to_numpy()[o[0]:o[-1]] if len(at) else np.zeros(0, int) for c, o in ((at, ends), (x, begin)))
+        ends = ends - ends[0] if len(at) else ends
+    else:
+        (ends, terms), _, values = weighed(batch, 0, idf)
+    for a in range(0, batch.num_rows, SLICE_ROWS):
+        e = ends[a:min(a + SLICE_ROWS, batch.num_rows) + 1]
+        yield a, (e - e[0], terms[e[0]:e[-1]], values[e[0]:e[-1]].astype(np.float32))
+
+
+class Product:
+    """Products of sparse rows with a matrix ``d`` (term x direction) in single precision, and sums of rows' transposes
+    times such products. Which terms are dense is told by the first slice; others would only take longer."""
+
+    def __init__(self, d: np.ndarray):
+        self.d, self.head, self.sums = d, None, None
+        self.one = self.two = np.empty((0, d.shape[1]), np.float32)
+
+    def times(self, ends: np.ndarray, terms: np.ndarray, x: np.ndarray):
+        """The rows' products, and what :meth:`add` needs."""
+        d, n = self.d, len(ends) - 1
+        if self.head is None:
+            seen = np.bincount(terms, minlength=len(d))
+            self.head = np.flatnonzero(seen > DENSE * n)
+            self.head = self.head[np.argsort(-seen[self.head], kind="stable")[:DENSE_TERMS]]
+            self.place = np.full(len(d), -1, np.int32)
+            self.place[self.head] = np.arange(len(self.head))
+            self.dense = d[self.head]
+        row, at = np.repeat(np.arange(n), np.diff(ends)), self.place[terms]
+        some = at >= 0
+        block = np.zeros((n, len(self.head)), np.float32)
+        block[row[some], at[some]] = x[some]
+        y = block @ self.dense
+        terms, x, row = terms[~some], x[~some], row[~some]
+        e = np.searchsorted(row, np.arange(n + 1))
+        most = int(np.diff(e).max(initial=0))
+        if most > len(self.one):
+            self.one, self.two = (np.empty((most, d.shape[1]), np.float32) for _ in range(2))
+        for i in np.flatnonzero(np.diff(e)).tolist():
+            a, b = e[i], e[i + 1]
+            y[i] += x[a:b] @ d.take(terms[a:b], axis=0, out=self.one[:b - a], mode="clip")
+        return y, (block, e, terms, x)
+
+    def add(self, y: np.ndarray, rest) -> None:
+        """Adds the rows' transpose times ``y``."""
+        if self.sums is None:
+            self.sums, self.dense_sums = np.zeros(self.d.shape, np.float32), np.zeros(self.dense.shape, np.float32)
+        block, e, terms, x = rest
+        self.dense_sums += block.T @ y
+        for i in np.flatnonzero(np.diff(e)).tolist():
+            a, b = e[i], e[i + 1]
+            new = np.multiply(x[a:b, None], y[i], out=self.one[:b - a])
+            new += self.sums.take(terms[a:b], axis=0, out=self.two[:b - a], mode="clip")
+            self.sums[terms[a:b]] = new
+
+    def total(self) -> np.ndarray:
+        if self.sums is None:
+            return np.zeros(self.d.shape, np.float32)
+        self.sums[self.head] += self.dense_sums
+        self.dense_sums[:] = 0
+        return self.sums
 
 
 def _whole(blocks: DataFrame, size: int) -> np.ndarray:
-    """All blocks as one float32 matrix."""
-    out = None
-    for r in blocks.toLocalIterator():
-        w = np.frombuffer(r["weights"])
-        terms = min(BLOCK, size - r["block"] * BLOCK)
-        w = w.reshape(terms, -1)
+    """All blocks as one float32 matrix; the next part of the table is fetched meanwhile."""
+    out, kind = None, np.float64
+    if "single" in blocks.columns:
+        blocks, kind = blocks.select("block", "single"), np.float32
+    for block, raw in blocks.toLocalIterator(prefetchPartitions=True):
+        terms = min(BLOCK, size - block * BLOCK)
+        w = np.frombuffer(raw, kind).reshape(terms, -1)
         if out is None:
             out = np.zeros((size, w.shape[1]), np.float32)
-        out[r["block"] * BLOCK:r["block"] * BLOCK + terms] = w
+        out[block * BLOCK:block * BLOCK + terms] = w
     return np.zeros((size, 0), np.float32) if out is None else out
 
 
-def _multiplied(blocks: DataFrame, by: np.ndarray) -> DataFrame:
-    """The blocks times a small matrix."""
-    wide = len(by)
-
+def _multiplied(blocks: DataFrame, by: list[np.ndarray], single: bool = False) -> DataFrame:
+    """The blocks times small matrices, one after the other; ``single``: in single precision besides."""
     def run(batches):
         for b in batches:
-            w = [(np.frombuffer(x).reshape(-1, wide) @ by).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.binary())], ["block", "weights"])
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = np.frombuffer(x).reshape(-1, len(by[0]))
+                for m in by:
+                    w = w @ m
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())
+                                                  for v in (w, *([w.astype(np.float32)] if single else [])))],
+                    ["block", "weights", "single"][:2 + single])
 
-    return blocks.mapInArrow(run, "block int, weights binary")
+    return blocks.select("block", "weights").mapInArrow(run, "block int, weights binary" + ", single binary" * single)
 
 
 def _gram(blocks: DataFrame, wide: int) -> np.ndarray:
@@ -135,38 +209,44 @@ def _gram(blocks: DataFrame, wide: int) -> np.ndarray:
 
 
 def orthonormal(blocks: DataFrame, wide: int) -> tuple[DataFrame, int]:
-    """Blocks whose columns span the same directions and are orthonormal, and their number."""
+    """Blocks whose columns span the same directions and are orthonormal, and their number. What is between the two
+    rounds is not written."""
+    by: list[np.ndarray] = []
     for _ in range(2):
-        s, u = np.linalg.eigh(_gram(blocks, wide))
+        s, u = np.linalg.eigh(_gram(_multiplied(blocks, by) if by else blocks, wide))
         keep = s > max(s.max(initial=0.0), 0.0) * 1e-13
-        blocks = materialize(blocks.sparkSession, _multiplied(blocks, u[:, keep] / np.sqrt(s[keep])), "directions")
+        by.append(u[:, keep] / np.sqrt(s[keep]))
         wide = int(keep.sum())
-    return blocks, wide
+    return materialize(blocks.sparkSession, _multiplied(blocks, by, single=True), "directions"), wide
 
 
-def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_bytes: int = MAX_BYTES) -> LearnedEncoder:
-    """The leading ``dim`` right singular vectors of ``rows`` (``indices``, ``values``) over ``size`` terms."""
+def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_bytes: int = MAX_BYTES,
+        idf: np.ndarray | None = None) -> LearnedEncoder:
+    """The leading ``dim`` right singular vectors of ``rows`` (``indices``, ``values``; or ``indices``, ``tf``, ``norm``
+    with ``idf``) over ``size`` terms."""
     spark, wide = rows.sparkSession, min(dim + OVER, size)
     if size * wide * 4 > max_bytes:
         raise ValueError(f"{size} terms x {wide} directions exceed {max_bytes} bytes")
-    rows = rows.select("indices", "values").coalesce(most_tasks(size, wide, spark.sparkContext.defaultParallelism))
+    rows = rows.select(*_payload(idf)).coalesce(most_tasks(size, wide, spark.sparkContext.defaultParallelism))
     q = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
 
     def passed(gram: bool) -> DataFrame:
         """Sums over the rows: of x (x q) by term block, or of the rows' Gram matrix in the directions."""
-        sent, n = spark.sparkContext.broadcast(q), q.shape[1]
+        sent, n = spark.sparkContext.broadcast((q, idf)), q.shape[1]
 
         def run(batches):
-            d = sent.value
-            z = np.zeros((n, n) if gram else (size, n))
+            d, known = sent.value
+            p, z = Product(d), np.zeros((n, n))
             for b in batches:
-                for at, x in _rows(b):
-                    y = x @ d[at]
+                for _, part in _parts(b, known):
+                    y, rest = p.times(*part)
                     if gram:
-                        z += np.outer(y, y)
-                    elif len(at):
-                        z[at] += np.outer(x, y)
-            for k, w in [(0, z)] if gram else ((k // BLOCK, z[k:k + BLOCK].astype(np.float32)) for k in range(0, size, BLOCK)):
+                        y = y.astype(np.float64)
+                        z += y.T @ y
+                    else:
+                        p.add(y, rest)
+            z = z if gram else p.total()
+            for k, w in [(0, z)] if gram else ((k // BLOCK, z[k:k + BLOCK]) for k in range(0, size, BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.tobytes()], pa.binary())],
                                                  ["block", "sums"])
 
@@ -180,5 +260,5 @@ def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_byt
     got = passed(True).first() if wide else None
     s, u = np.linalg.eigh(np.frombuffer(got["weights"]).reshape(wide, wide) if got else np.zeros((wide, wide)))
     order = np.argsort(-s)[:dim]
-    basis = materialize(spark, _multiplied(blocks, u[:, order]), "text-basis")
+    basis = materialize(spark, _multiplied(blocks, [u[:, order]]), "text-basis")
     return LearnedEncoder(basis, size, dim, np.sqrt(np.maximum(s[order], 0)).tolist())

@@ -288,7 +288,7 @@ def text_encoder(spark: SparkSession, sf_dir: str):
 
     def build():
         f = text_features(spark, sf_dir)
-        return ve.fit(feature_rows(spark, sf_dir, "train"), f.model.size)
+        return ve.fit(f.documents().where(F.col("split") == "train"), f.model.size, idf=f.model.idf())
     return _memo(spark, sf_dir, "text-encoder", build)
 
 

@@ -287,7 +287,8 @@ SELECT p.doc_id, 385 AS width, CASE WHEN count(w.term) > 0 THEN 1.0 ELSE 0.0 END
 FROM prepared p LEFT JOIN weights w ON w.doc_id = p.doc_id GROUP BY p.doc_id"""))
 def m1_learned_vectors(spark, sf_dir):
     """M1 + P10: text vectors from the truncated SVD of the training rows, and the type feature behind them."""
-    vec = fx.text_encoder(spark, sf_dir).encode(fx.feature_rows(spark, sf_dir).select("doc_id", "indices", "values"))
+    f = fx.text_features(spark, sf_dir)
+    vec = fx.text_encoder(spark, sf_dir).encode(f.documents().select("doc_id", "indices", "tf", "norm"), idf=f.model.idf())
     types = fx.prepared_txn(spark, sf_dir).rows.select("doc_id", "type")
     d = vec.join(types, "doc_id").select("doc_id", "text_vec", fe.concat_type(F.col("text_vec"), F.col("type")).alias("f"))
     square = F.aggregate("text_vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
