@@ -228,7 +228,9 @@ def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_byt
     if size * wide * 4 > max_bytes:
         raise ValueError(f"{size} terms x {wide} directions exceed {max_bytes} bytes")
     rows = rows.select(*_payload(idf)).coalesce(most_tasks(size, wide, spark.sparkContext.defaultParallelism))
-    q = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
+    q, rng = np.empty((size, wide), np.float32), np.random.default_rng(seed)
+    for k in range(0, size, BLOCK):  # one array in doubles would be twice as large
+        q[k:k + BLOCK] = rng.standard_normal((min(BLOCK, size - k), wide))
 
     def passed(gram: bool) -> DataFrame:
         """Sums over the rows: of x (x q) by term block, or of the rows' Gram matrix in the directions."""
@@ -250,12 +252,15 @@ def fit(rows: DataFrame, size: int, dim: int = TEXT_DIM, seed: int = 42, max_byt
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.tobytes()], pa.binary())],
                                                  ["block", "sums"])
 
-        return materialize(spark, added_up(rows.mapInArrow(run, "block int, sums binary"), lambda k, v: [(k, v.tobytes())],
-                                           "block int, weights binary", single=not gram), "svd-pass")
+        summed = materialize(spark, added_up(rows.mapInArrow(run, "block int, sums binary"), lambda k, v: [(k, v.tobytes())],
+                                             "block int, weights binary", single=not gram), "svd-pass")
+        sent.destroy()
+        return summed
 
     blocks = None
     for _ in range(POWER + 1):
         blocks, wide = orthonormal(passed(False), wide)
+        q = None  # the driver holds one copy
         q = _whole(blocks, size)
     got = passed(True).first() if wide else None
     s, u = np.linalg.eigh(np.frombuffer(got["weights"]).reshape(wide, wide) if got else np.zeros((wide, wide)))
